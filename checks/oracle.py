@@ -221,7 +221,7 @@ SELECT event_id, error_code,
     CASE WHEN s = 1 THEN '"service":""' END,
     CASE l WHEN 1 THEN '"severity":"info"' WHEN 5 THEN '"severity":{{"a":1}}' END,
     CASE WHEN l = 6 THEN '"x":1' END
-  ], x -> x IS NOT NULL), ',') || '}}' END AS attributes,
+  ], lambda x: x IS NOT NULL), ',') || '}}' END AS attributes,
   'json-lines' AS source_type
 FROM (SELECT *, event_id % 5 AS m, event_id % 4 AS b, event_id % 7 AS l, event_id % 3 AS s,
         event_id % 5 <> 4 AS ok,
@@ -248,9 +248,9 @@ SELECT event_id, error_code, CASE WHEN ok THEN {_iso('t')} END AS "timestamp",
         CASE WHEN r <> 2 THEN '"instance_id":"s3"' END,
         CASE WHEN r <> 3 THEN '"module_id":"s4"' END,
         CASE WHEN r <> 0 THEN '"service_name":"s1"' END,
-        '"zone":"z"'], x -> x IS NOT NULL), ',') || '}}' END,
+        '"zone":"z"'], lambda x: x IS NOT NULL), ',') || '}}' END,
     CASE WHEN p = 4 THEN '"httpRequest":{{"status":500}},"operation":{{"id":"o"}}' END
-  ], x -> x IS NOT NULL), ',') || '}}' END AS attributes,
+  ], lambda x: x IS NOT NULL), ',') || '}}' END AS attributes,
   'gcp-cloud-logging' AS source_type
 FROM (SELECT *, error_code IS NULL AS ok FROM (
   SELECT *, event_id % 5 AS p, event_id % 6 AS r, event_id % 17 AS w,
@@ -306,8 +306,8 @@ _INSTANT = """CASE event_id % 12 WHEN 0 THEN t WHEN 1 THEN date_trunc('second',
   WHEN 7 THEN t + INTERVAL 90 MINUTE
   WHEN 11 THEN date_trunc('month', t) + INTERVAL 31 DAY END"""
 ORACLE["instants"] = with_events(f"""
-SELECT event_id, CASE WHEN at >= TIMESTAMP '1970-01-01' THEN {_iso('at')} END AS instant
-FROM (SELECT event_id, {_INSTANT} AS at FROM ev)""")
+SELECT event_id, CASE WHEN moment >= TIMESTAMP '1970-01-01' THEN {_iso('moment')} END AS instant
+FROM (SELECT event_id, {_INSTANT} AS moment FROM ev)""")
 
 ORACLE["canonical_json"] = """
 SELECT event_id, '{"a":{"b":["1.0",' || event_id || ',{"c":-2.5,"d":null}],"y":1},"z":"'
@@ -317,7 +317,7 @@ _SPACES = r"[\t\n\v\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f
 ORACLE["first_lines"] = f"""
 SELECT doc_id, coalesce(list_filter(list_transform(
   string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)),
-  x -> trim(regexp_replace(x, '{_SPACES}', ' ', 'g'))), x -> x <> '')[1], '') AS line
+  lambda x: trim(regexp_replace(x, '{_SPACES}', ' ', 'g'))), lambda x: x <> '')[1], '') AS line
 FROM documents"""
 
 ORACLE["span_kinds"] = """
@@ -494,15 +494,15 @@ SELECT fp AS fingerprint, sample AS sample_message, sev AS severity, n AS event_
 # The state machine stepped action by action.
 _STEPS = """
 WITH RECURSIVE first AS (
-  SELECT user_id, arg_min(event_type, event_id) AS kind, min(ts) AS at FROM events GROUP BY 1),
+  SELECT user_id, arg_min(event_type, event_id) AS kind, min(ts) AS moment FROM events GROUP BY 1),
 known AS (
   SELECT 'u' || user_id AS fp, CASE kind WHEN 'view' THEN 'ignored' WHEN 'purchase' THEN 'resolved'
       ELSE 'unresolved' END AS status,
-    CASE WHEN kind IN ('view', 'purchase') THEN at END AS resolved_at, kind = 'click' AS regression
+    CASE WHEN kind IN ('view', 'purchase') THEN moment END AS resolved_at, kind = 'click' AS regression
   FROM first WHERE kind <> 'error'),
 actions AS (
   SELECT 'u' || user_id AS fp, CASE WHEN event_type IN ('click', 'purchase') THEN 'resolve'
-      WHEN event_type IN ('error', 'signup') THEN 'ignore' ELSE 'reopen' END AS action, ts AS at,
+      WHEN event_type IN ('error', 'signup') THEN 'ignore' ELSE 'reopen' END AS action, ts AS moment,
     row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
 walk AS (
   SELECT fp, CAST(0 AS BIGINT) AS i, status, resolved_at, regression, CAST(NULL AS VARCHAR) AS action,
@@ -512,7 +512,7 @@ walk AS (
     CASE WHEN a.action = 'ignore' THEN 'ignored'
       WHEN a.action = 'resolve' AND w.status = 'unresolved' THEN 'resolved'
       WHEN a.action = 'reopen' AND w.status = 'ignored' THEN 'unresolved' ELSE w.status END,
-    CASE WHEN a.action = 'resolve' AND w.status = 'unresolved' THEN a.at
+    CASE WHEN a.action = 'resolve' AND w.status = 'unresolved' THEN a.moment
       WHEN a.action = 'reopen' AND w.status = 'ignored' THEN NULL ELSE w.resolved_at END,
     CASE WHEN a.action = 'resolve' AND w.status = 'unresolved' THEN false ELSE w.regression END,
     a.action, w.status
@@ -554,13 +554,13 @@ WITH jobs AS (
     CASE WHEN event_id % 5 > 0 THEN event_id % 1000 END AS total_lines,
     event_id * k % 1200 AS processed_lines, event_id * k % 1200 % 7 AS parse_errors,
     CASE WHEN event_id % 9 > 0 THEN k * 25 END AS elapsed_ms,
-    CASE WHEN event_type = 'error' THEN 'disk full' END AS error, date_trunc('millisecond', ts) AS at
+    CASE WHEN event_type = 'error' THEN 'disk full' END AS error, date_trunc('millisecond', ts) AS moment
   FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events))
 """
 
 ORACLE["import_status"] = f"""{_JOBS}
 SELECT id, filename, status, source_type, total_lines, processed_lines, parse_errors,
-  {_iso('at')} AS created_at, CASE WHEN status IN ('failed', 'completed') THEN {_iso('at')} END AS finished_at,
+  {_iso('moment')} AS created_at, CASE WHEN status IN ('failed', 'completed') THEN {_iso('moment')} END AS finished_at,
   error, CASE WHEN done THEN processed_lines - parse_errors END AS ingested_records,
   CASE WHEN done THEN elapsed_ms END AS elapsed_ms,
   CASE WHEN done THEN CASE WHEN elapsed_ms <= 0 THEN processed_lines
@@ -573,8 +573,8 @@ SELECT id, status, CASE WHEN total_lines > 0 THEN CAST(least(100,
   status IN ('completed', 'failed') AS terminal FROM jobs"""
 
 ORACLE["list_imports"] = f"""{_JOBS}
-SELECT id, filename, status, {_iso('at')} AS created_at, total_lines, processed_lines, parse_errors
-FROM jobs ORDER BY at DESC, id LIMIT 50"""
+SELECT id, filename, status, {_iso('moment')} AS created_at, total_lines, processed_lines, parse_errors
+FROM jobs ORDER BY moment DESC, id LIMIT 50"""
 
 ORACLE["job_transitions"] = f"""{_JOBS}
 SELECT upper(status) AS status, CAST(CASE status WHEN 'pending' THEN 0 WHEN 'running' THEN 2 ELSE 3 END AS INTEGER) AS step,

@@ -169,7 +169,7 @@ def _walk(actions: DataFrame) -> DataFrame:
 
 def _accepted(before: Column) -> Column:
     action = F.col("action")
-    return (
+    return before.isNotNull() & (
         (action == IGNORE)
         | ((action == RESOLVE) & (before == schema.UNRESOLVED))
         | ((action == REOPEN) & (before == schema.IGNORED))

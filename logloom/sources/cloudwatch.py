@@ -80,7 +80,7 @@ class AwsCloudWatch:
         )
         service = F.regexp_extract(F.col("group"), _SERVICE, 1)
         return base.draft(
-            read,
+            base.settled(read),
             self.source_type,
             timestamp=F.timestamp_millis(F.col("millis")),
             body=body,

@@ -151,7 +151,7 @@ class GcpCloudLogging:
             ).alias("labels"),
         )
         return base.draft(
-            read,
+            base.settled(read),
             self.source_type,
             timestamp=F.col("time"),
             body=F.col("text"),

@@ -128,7 +128,7 @@ class JsonLines:
         picked = {name: F.col(f"picked_{name}") for name in STRING_KEYS}
         picked["body"] = F.coalesce(picked["body"], F.lit(""))
         return base.draft(
-            read,
+            base.settled(read),
             self.source_type,
             timestamp=F.col("time"),
             severity_number=level["severity_number"],
