@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # JSON numbers that need the shorter spelling: 1.0 -> 1, 1.50 -> 1.5. The first
@@ -15,6 +15,19 @@ _STRING_OR_PADDED = (
 _PADDED = r"[0-9]\.[0-9]*0(?![0-9])"
 
 
+def _marked_pair(text: Column) -> Column:
+    return F.try_parse_json(
+        F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]"))
+    )
+
+
+def _first_of_pair(pair: Column, text: Column) -> Column:
+    return F.when(
+        F.try_variant_get(pair, "$[1]", "bigint") == F.xxhash64(text),
+        F.try_variant_get(pair, "$[0]", "variant"),
+    )
+
+
 def parse_strict(text: Column) -> Column:
     """JSON text to VARIANT, NULL when the text is not exactly one JSON value.
 
@@ -23,20 +36,20 @@ def parse_strict(text: Column) -> Column:
     the hash of the text itself. Anything after the first value moves or hides
     that element.
     """
-    pair = F.try_parse_json(
-        F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]"))
-    )
     # A one-element array carries the parsed pair, so that it is parsed once.
     checked = F.transform(
-        F.array(pair),
-        lambda both: F.when(
-            F.try_variant_get(both, "$[1]", "bigint") == F.xxhash64(text),
-            F.try_variant_get(both, "$[0]", "variant"),
-        ),
+        F.array(_marked_pair(text)), lambda pair: _first_of_pair(pair, text)
     )
     return F.get(checked, 0)
 
 
+def with_parsed(frame: DataFrame, text: str, name: str) -> DataFrame:
+    """Add ``parse_strict`` of a column under a name, in two plain projections."""
+    kept = frame.columns
+    paired = frame.select("*", _marked_pair(F.col(text)).alias(name))
+    return paired.select(*kept, _first_of_pair(F.col(name), F.col(text)).alias(name))
+
+
 def starts_object(text: Column) -> Column:
     """Whether JSON text is an object, for text already known to be valid JSON."""
     return F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit("{"))

@@ -26,9 +26,7 @@ class LogSource(Protocol):
 
 def with_document(lines: DataFrame) -> DataFrame:
     """Add ``doc`` (the line as VARIANT, NULL if it is not JSON)."""
-    return lines.select(
-        "arrival", "value", jsontext.parse_strict(F.col("value")).alias("doc")
-    )
+    return jsontext.with_parsed(lines.select("arrival", "value"), "value", "doc")
 
 
 def shape_error(recognized: Column) -> Column:

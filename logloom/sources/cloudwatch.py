@@ -13,9 +13,8 @@ from logloom.sources import base
 _SERVICE = r"^/aws/[^/]+/(.+)\z"
 
 
-def _positive_millis(value: Column) -> Column:
+def _positive_millis(number: Column) -> Column:
     """Epoch ms of a positive whole number, NULL for anything else."""
-    number = jsontext.number_value(value)
     return F.when(
         (number > 0) & (number == F.floor(number)) & (number <= MAX_DATE_MILLIS),
         number.cast("bigint"),
@@ -31,7 +30,9 @@ class AwsCloudWatch:
             base.line_is_object()
             & jsontext.is_string(jsontext.member(doc, "logGroup"))
             & jsontext.is_string(jsontext.member(doc, "logStream"))
-            & _positive_millis(jsontext.member(doc, "timestamp")).isNotNull()
+            & _positive_millis(
+                jsontext.number_value(jsontext.member(doc, "timestamp"))
+            ).isNotNull()
         )
         return F.coalesce(F.avg(F.coalesce(marked, F.lit(False)).cast("int")), F.lit(0.0))
 
@@ -43,12 +44,18 @@ class AwsCloudWatch:
             "arrival",
             "value",
             "doc",
-            _positive_millis(time).alias("millis"),
+            jsontext.number_value(time).alias("number"),
             base.shape_error(base.line_is_object()).alias("shape"),
             time.isNull().alias("timeless"),
             jsontext.string_value(jsontext.member(doc, "message")).alias("message"),
             jsontext.string_value(jsontext.member(doc, "logGroup")).alias("group"),
         ).select(
+            "*",
+            _positive_millis(F.col("number")).alias("millis"),
+            # Only text that opens like an object can be a structured message.
+            F.when(jsontext.starts_object(F.col("message")), F.col("message")).alias("inner"),
+        )
+        read = jsontext.with_parsed(read, "inner", "content").select(
             "arrival",
             "value",
             "doc",
@@ -60,11 +67,7 @@ class AwsCloudWatch:
             ).alias("error_code"),
             "message",
             "group",
-            # Only text that opens like an object can be a structured message.
-            F.when(
-                jsontext.starts_object(F.col("message")),
-                jsontext.parse_strict(F.col("message")),
-            ).alias("content"),
+            "content",
         )
         content = F.col("content")
         level = jsontext.member(content, "level")

@@ -23,41 +23,36 @@ SERVICE_LABELS = {
 _TRACE = r"^projects/[^/]+/traces/(.+)\z"
 
 
-def _absent_or(value: Column, test: Column) -> Column:
-    return value.isNull() | F.coalesce(test, F.lit(False))
-
-
-def _is_string_map(value: Column) -> Column:
+def _string_map(value: Column) -> Column:
+    """Absent, or an object that holds strings only."""
     entries = jsontext.members(value)
-    return entries.isNotNull() & F.forall(F.map_values(entries), jsontext.is_string)
+    return value.isNull() | F.coalesce(
+        F.forall(F.map_values(entries), jsontext.is_string), F.lit(False)
+    )
 
 
 def is_log_entry() -> Column:
     """Whether ``doc`` fits the LogEntry schema; unlisted members are allowed."""
     doc = F.col("doc")
-    checks = [base.line_is_object()]
-    for key in STRINGS:
-        value = jsontext.member(doc, key)
-        checks.append(_absent_or(value, jsontext.is_string(value)))
-    for key in OBJECTS:
-        value = jsontext.member(doc, key)
-        checks.append(_absent_or(value, jsontext.members(value).isNotNull()))
-    resource = jsontext.member(doc, "resource")
-    kind, labels = jsontext.member(resource, "type"), jsontext.member(resource, "labels")
-    checks.append(
-        _absent_or(
-            resource,
-            jsontext.members(resource).isNotNull()
-            & _absent_or(kind, jsontext.is_string(kind))
-            & _absent_or(labels, _is_string_map(labels)),
+    resource_type = F.try_variant_get(doc, "$.resource.type", "variant")
+    typed = F.forall(
+        F.map_entries(jsontext.members(doc)),
+        lambda member: F.when(
+            member["key"].isin(*STRINGS), jsontext.is_string(member["value"])
         )
+        .when(
+            member["key"].isin(*OBJECTS, "resource"),
+            jsontext.is_object(member["value"]),
+        )
+        .otherwise(True),
+    )
+    return (
+        base.line_is_object()
+        & typed
+        & (resource_type.isNull() | jsontext.is_string(resource_type))
+        & _string_map(F.try_variant_get(doc, "$.resource.labels", "variant"))
+        & _string_map(jsontext.member(doc, "labels"))
     )
-    labels = jsontext.member(doc, "labels")
-    checks.append(_absent_or(labels, _is_string_map(labels)))
-    passed = checks[0]
-    for check in checks[1:]:
-        passed = passed & check
-    return passed
 
 
 class GcpCloudLogging:
@@ -171,7 +166,7 @@ class GcpCloudLogging:
         ]
         label_entry = F.struct(
             F.lit("labels").alias("key"),
-            F.parse_json(F.to_json(F.col("labels"))).alias("value"),
+            F.to_variant_object(F.col("labels")).alias("value"),
         )
         extra = F.filter(
             F.array(F.when(F.size("labels") > 0, label_entry), *top),

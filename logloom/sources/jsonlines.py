@@ -25,12 +25,17 @@ STRING_KEYS = {
 CONFIDENCE = 0.3
 
 
-def _first_key(names: dict[str, str]) -> Column:
-    """Key of the first column that has a value."""
-    key = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, column in names.items():
-        key = key.when(F.col(column).isNotNull(), name)
-    return key
+_TEXTS = [key for keys in STRING_KEYS.values() for key in keys]
+
+
+def _first_present(texts: Column, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.try_element_at(texts, F.lit(key)) for key in keys])
+
+
+def _first_key(entries: Column, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(
+        *[F.when(F.map_contains_key(entries, key), key) for key in keys]
+    )
 
 
 class JsonLines:
@@ -43,89 +48,95 @@ class JsonLines:
 
     def parse(self, lines: DataFrame) -> DataFrame:
         # Each step names what the next one uses more than once.
-        doc = F.col("doc")
-        passed = ["arrival", "value", "entries", "error_code"]
-        texts = {key: f"text_{i}" for i, key in enumerate(k for ks in STRING_KEYS.values() for k in ks)}
-        moments = {key: f"moment_{i}" for i, key in enumerate(TIME_KEYS)}
-
+        doc, entries = F.col("doc"), F.col("entries")
+        passed = ["arrival", "value", "entries"]
         read = base.with_document(lines).select(
             "arrival",
             "value",
             jsontext.members(doc).alias("entries"),
             base.shape_error(base.line_is_object()).alias("error_code"),
-            F.coalesce(*[jsontext.member(doc, key) for key in SEVERITY_KEYS]).alias("level"),
-            F.coalesce(
-                *[
-                    F.when(jsontext.member(doc, key).isNotNull(), key)
-                    for key in SEVERITY_KEYS
-                ]
-            ).alias("level_key"),
-            *[jsontext.member(doc, key).alias(name) for key, name in moments.items()],
-            *[jsontext.member(doc, key).alias(name) for key, name in texts.items()],
         )
         read = read.select(
             *passed,
+            "error_code",
+            # Strings under the known names, blank ones left out.
+            F.map_filter(
+                F.transform_values(
+                    F.map_filter(entries, lambda key, _: key.isin(_TEXTS)),
+                    lambda _, value: jsontext.string_value(value),
+                ),
+                lambda _, text: ~is_blank(text),
+            ).alias("texts"),
+            # Time members that are there, most preferred first.
+            F.filter(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(key).alias("key"),
+                            F.try_element_at(entries, F.lit(key)).alias("value"),
+                        )
+                        for key in TIME_KEYS
+                    ]
+                ),
+                lambda member: member["value"].isNotNull(),
+            ).alias("moments"),
+            _first_key(entries, SEVERITY_KEYS).alias("level_key"),
+        )
+        texts, level = F.col("texts"), F.col("level")
+        read = read.select(
+            *passed,
+            "error_code",
+            "texts",
+            F.transform(
+                F.transform(
+                    "moments",
+                    lambda member: F.struct(
+                        member["key"].alias("key"),
+                        trim(jsontext.string_value(member["value"])).alias("text"),
+                        jsontext.number_value(member["value"]).alias("number"),
+                    ),
+                ),
+                lambda moment: F.struct(
+                    moment["key"].alias("key"),
+                    F.coalesce(
+                        times.from_text(moment["text"]), times.from_epoch(moment["number"])
+                    ).alias("instant"),
+                ),
+            ).alias("moments"),
             "level_key",
-            jsontext.string_value(F.col("level")).alias("level_token"),
-            jsontext.number_value(F.col("level")).alias("level_number"),
-            F.to_json("level").alias("level_json"),
-            *[
-                part
-                for name in moments.values()
-                for part in (
-                    trim(jsontext.string_value(F.col(name))).alias(name),
-                    jsontext.number_value(F.col(name)).alias(f"{name}_number"),
-                )
-            ],
-            *[jsontext.string_value(F.col(name)).alias(name) for name in texts.values()],
+            F.try_element_at(entries, F.col("level_key")).alias("level"),
         )
         read = read.select(
             *passed,
+            "error_code",
+            "texts",
+            F.get(
+                F.filter("moments", lambda moment: moment["instant"].isNotNull()), 0
+            ).alias("moment"),
             "level_key",
-            severity.from_parts(
-                F.col("level_token"),
-                F.col("level_number"),
-                jsontext.short_numbers(F.col("level_json")),
-            ).alias("severity"),
-            *[
-                F.when(F.col(name).isNotNull(), times.from_text(F.col(name)))
-                .otherwise(times.from_epoch(F.col(f"{name}_number")))
-                .alias(name)
-                for name in moments.values()
-            ],
-            *[
-                F.when(~is_blank(F.col(name)), F.col(name)).alias(name)
-                for name in texts.values()
-            ],
+            severity.normalize(level).alias("severity"),
         )
         level = F.col("severity")
         used_level = level["severity_number"].isNotNull() | level["severity_text"].isNotNull()
-        consumed = F.array_compact(
-            F.array(
-                _first_key(moments),
-                F.when(used_level, F.col("level_key")),
-                *[
-                    _first_key({key: texts[key] for key in keys})
-                    for keys in STRING_KEYS.values()
-                ],
-                *[F.lit(name) for name in schema.TYPED_ATTRIBUTES],
-            )
-        )
         read = read.select(
-            *passed[:3],
-            F.coalesce(*moments.values()).alias("time"),
+            *passed,
+            "texts",
+            F.col("moment.instant").alias("time"),
             "severity",
-            consumed.alias("consumed"),
-            *[
-                F.coalesce(*[texts[key] for key in keys]).alias(f"picked_{name}")
-                for name, keys in STRING_KEYS.items()
-            ],
+            F.array_compact(
+                F.array(
+                    F.col("moment.key"),
+                    F.when(used_level, F.col("level_key")),
+                    *[_first_key(texts, keys) for keys in STRING_KEYS.values()],
+                    *[F.lit(name) for name in schema.TYPED_ATTRIBUTES],
+                )
+            ).alias("consumed"),
             F.coalesce(
                 F.col("error_code"),
-                F.when(F.coalesce(*moments.values()).isNull(), schema.MISSING_TIME),
+                F.when(F.col("moment").isNull(), schema.MISSING_TIME),
             ).alias("error_code"),
         )
-        picked = {name: F.col(f"picked_{name}") for name in STRING_KEYS}
+        picked = {name: _first_present(texts, keys) for name, keys in STRING_KEYS.items()}
         picked["body"] = F.coalesce(picked["body"], F.lit(""))
         return base.draft(
             base.settled(read),
