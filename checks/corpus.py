@@ -46,7 +46,13 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("decimal(12,2)").cast("string"),
         F.lit(" from 10.0."), (user % 256).cast("string"), F.lit("."), k,
     )
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    cores = spark.sparkContext.defaultParallelism
+    if len(events.inputFiles()) < cores:
+        # A single small file would leave all but one core idle. Tables of many
+        # files are read as they are.
+        events = events.repartition(cores)
+    return events.select(
         F.col("event_id").alias("sequence"),
         F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("timestamp"),
         F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("svc-"), user % 7)).alias(

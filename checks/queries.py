@@ -388,8 +388,9 @@ def canonical_json(spark, sf_dir):
         F.lit('{"z":'), F.col("user_id"), F.lit(',"a":{"y":1.0,"b":["1.0",'), F.col("event_id"),
         F.lit(',{"d":null,"c":-2.50}]},"z":"'), F.col("event_type"), F.lit('"}'),
     )
-    return corpus.table(spark, sf_dir, "events").select(
-        "event_id", jsontext.canonical(jsontext.parse_strict(text)).alias("json")
+    texts = corpus.table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    return jsontext.with_parsed(texts, "text", "doc").select(
+        "event_id", jsontext.canonical(F.col("doc")).alias("json")
     )
 
 

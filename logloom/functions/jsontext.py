@@ -44,10 +44,16 @@ def parse_strict(text: Column) -> Column:
 
 
 def with_parsed(frame: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``parse_strict`` of a column under a name, in two plain projections."""
+    """Add a parsed document under a name; NULL unless the text is exactly one JSON value.
+
+    The document stays inside its marked pair, because taking a VARIANT out of
+    another one copies it. ``member``, ``members`` and ``canonical`` read it there.
+    """
     kept = frame.columns
+    pair = F.col(name)
+    valid = F.try_variant_get(pair, "$[1]", "bigint") == F.xxhash64(F.col(text))
     paired = frame.select("*", _marked_pair(F.col(text)).alias(name))
-    return paired.select(*kept, _first_of_pair(F.col(name), F.col(text)).alias(name))
+    return paired.select(*kept, F.when(valid, pair).alias(name))
 
 
 def starts_object(text: Column) -> Column:
@@ -55,9 +61,19 @@ def starts_object(text: Column) -> Column:
     return F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit("{"))
 
 
-def member(doc: Column, key: str) -> Column:
-    """Member of an object; JSON null is kept as a VARIANT null, absence is NULL."""
-    return F.try_variant_get(doc, f"$.{key}", "variant")
+def member(doc: Column, path: str, kind: str = "variant") -> Column:
+    """Member of a document; JSON null is kept as a VARIANT null, absence is NULL."""
+    return F.try_variant_get(doc, f"$[0].{path}", kind)
+
+
+def members(doc: Column) -> Column:
+    """Document as MAP<STRING, VARIANT>, NULL for anything that is not an object."""
+    return F.try_variant_get(doc, "$[0]", "map<string,variant>")
+
+
+def canonical(doc: Column) -> Column:
+    """Document as JSON text with the keys of every object in order."""
+    return short_numbers(F.try_variant_get(doc, "$[0]", "string"))
 
 
 def kind(value: Column) -> Column:
@@ -93,9 +109,9 @@ def number_value(value: Column) -> Column:
     return F.when(is_number(value), F.try_variant_get(value, "$", "double"))
 
 
-def members(doc: Column) -> Column:
+def entries_of(value: Column) -> Column:
     """Object as MAP<STRING, VARIANT>, NULL for anything that is not an object."""
-    return F.try_variant_get(doc, "$", "map<string,variant>")
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def short_numbers(json: Column) -> Column:
@@ -105,11 +121,6 @@ def short_numbers(json: Column) -> Column:
     ).otherwise(json)
 
 
-def canonical(doc: Column) -> Column:
-    """JSON text with the keys of every object in order."""
-    return short_numbers(F.to_json(doc))
-
-
 def without(entries: Column, keys) -> Column:
     """Map without the given keys (a list of names or an ARRAY<STRING> column)."""
     if isinstance(keys, Column):

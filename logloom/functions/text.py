@@ -13,12 +13,24 @@ WHITESPACE = (
 _SPACE_RUN = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
 
 
+def _is_space(sign: Column) -> Column:
+    return F.contains(F.lit(WHITESPACE), sign)
+
+
 def trim(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+    """Text without whitespace at its ends; text that has none is passed on as it is.
+
+    Trimming a set of characters walks over the whole text, looking at the two
+    ends does not.
+    """
+    ends = _is_space(F.left(text, F.lit(1))) | _is_space(F.right(text, F.lit(1)))
+    return F.when(ends, F.btrim(text, F.lit(WHITESPACE))).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:
-    return trim(text) == ""
+    return F.when(
+        _is_space(F.left(text, F.lit(1))), F.btrim(text, F.lit(WHITESPACE)) == ""
+    ).otherwise(F.when(text.isNotNull(), False))
 
 
 def collapse(text: Column) -> Column:

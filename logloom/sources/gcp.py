@@ -25,7 +25,7 @@ _TRACE = r"^projects/[^/]+/traces/(.+)\z"
 
 def _string_map(value: Column) -> Column:
     """Absent, or an object that holds strings only."""
-    entries = jsontext.members(value)
+    entries = jsontext.entries_of(value)
     return value.isNull() | F.coalesce(
         F.forall(F.map_values(entries), jsontext.is_string), F.lit(False)
     )
@@ -34,7 +34,7 @@ def _string_map(value: Column) -> Column:
 def is_log_entry() -> Column:
     """Whether ``doc`` fits the LogEntry schema; unlisted members are allowed."""
     doc = F.col("doc")
-    resource_type = F.try_variant_get(doc, "$.resource.type", "variant")
+    resource_type = jsontext.member(doc, "resource.type")
     typed = F.forall(
         F.map_entries(jsontext.members(doc)),
         lambda member: F.when(
@@ -50,7 +50,7 @@ def is_log_entry() -> Column:
         base.line_is_object()
         & typed
         & (resource_type.isNull() | jsontext.is_string(resource_type))
-        & _string_map(F.try_variant_get(doc, "$.resource.labels", "variant"))
+        & _string_map(jsontext.member(doc, "resource.labels"))
         & _string_map(jsontext.member(doc, "labels"))
     )
 
@@ -75,10 +75,10 @@ class GcpCloudLogging:
         doc = F.col("doc")
 
         def text(key: str) -> Column:
-            return F.try_variant_get(doc, f"$.{key}", "string")
+            return jsontext.member(doc, key, "string")
 
         def mapped(key: str) -> Column:
-            return F.try_variant_get(doc, f"$.{key}", "map<string,variant>")
+            return jsontext.member(doc, key, "map<string,variant>")
 
         read = base.with_document(lines)
         read = read.withColumn("error_code", base.shape_error(is_log_entry()))

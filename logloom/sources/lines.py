@@ -45,7 +45,9 @@ def expand_envelopes(lines: DataFrame) -> DataFrame:
         & jsontext.starts_object(F.col("value"))
     ) | F.contains(F.col("value"), F.lit("\\u"))
     doc = F.when(candidate, jsontext.parse_strict(F.col("value")))
-    group, stream = (jsontext.member(F.col("_doc"), k) for k in ("logGroup", "logStream"))
+    group, stream = (
+        F.try_variant_get(F.col("_doc"), f"$.{key}", "variant") for key in ("logGroup", "logStream")
+    )
     events = F.try_variant_get(F.col("_doc"), "$.logEvents", "array<variant>")
     envelope = F.create_map(
         F.lit("logGroup"), F.col("_group"), F.lit("logStream"), F.col("_stream")
@@ -53,7 +55,7 @@ def expand_envelopes(lines: DataFrame) -> DataFrame:
 
     def event_line(event: Column) -> Column:
         own = F.coalesce(
-            jsontext.members(event), F.create_map(F.lit("message"), event)
+            jsontext.entries_of(event), F.create_map(F.lit("message"), event)
         )
         return F.to_json(jsontext.overlay(envelope, own))
 
