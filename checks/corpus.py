@@ -172,11 +172,20 @@ def new_folder(spark: SparkSession) -> str:
 
 
 def write_landing(spark: SparkSession, sf_dir: str, folder: str) -> str:
-    """One folder of text files per service, in the service's format."""
+    """One folder of text files per service, in the format of the service."""
     landing = f"{folder}/landing"
-    rows = mixed_lines(spark, sf_dir)
-    # Keyed by place in the table, not by service: no task holds all of a large one.
-    rows.select("value", "file").write.partitionBy("file").text(landing)
+    rows = mixed_lines(spark, sf_dir).select(
+        "value", "file", F.col("arrival.row").alias("sequence")
+    )
+    # Cut by place in the table, not by service: no task holds all of a large one,
+    # and the files of a service follow one another in time.
+    (
+        rows.repartitionByRange(spark.sparkContext.defaultParallelism, "sequence")
+        .sortWithinPartitions("file", "sequence")
+        .drop("sequence")
+        .write.partitionBy("file")
+        .text(landing)
+    )
     return landing
 
 

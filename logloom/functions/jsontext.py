@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.text import once
+
 # JSON numbers that need the shorter spelling: 1.0 -> 1, 1.50 -> 1.5. The first
 # alternative steps over string literals so that digits inside them stay.
 _STRING_OR_PADDED = (
@@ -36,11 +38,7 @@ def parse_strict(text: Column) -> Column:
     the hash of the text itself. Anything after the first value moves or hides
     that element.
     """
-    # A one-element array carries the parsed pair, so that it is parsed once.
-    checked = F.transform(
-        F.array(_marked_pair(text)), lambda pair: _first_of_pair(pair, text)
-    )
-    return F.get(checked, 0)
+    return once(_marked_pair(text), lambda pair: _first_of_pair(pair, text))
 
 
 def with_parsed(frame: DataFrame, text: str, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ WHITESPACE = (
 )
 _SPACE_RUN = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
 
+# Anything a collapse would change: two in a row, or one that is no plain space.
+_NOT_SINGLE_SPACES = "  |[\\t\\n\\x0B\\f\\r\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+
 
 def _is_space(sign: Column) -> Column:
     return F.contains(F.lit(WHITESPACE), sign)
@@ -33,9 +38,19 @@ def is_blank(text: Column) -> Column:
     ).otherwise(F.when(text.isNotNull(), False))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def collapse(text: Column) -> Column:
     """Trim, then turn every whitespace run into one space."""
-    return F.regexp_replace(trim(text), _SPACE_RUN, " ")
+    return once(
+        trim(text),
+        lambda bare: F.when(
+            F.rlike(bare, F.lit(_NOT_SINGLE_SPACES)), F.regexp_replace(bare, _SPACE_RUN, " ")
+        ).otherwise(bare),
+    )
 
 
 def first_line(body: Column) -> Column:
@@ -44,4 +59,4 @@ def first_line(body: Column) -> Column:
     Trimming the body first drops the leading blank lines, so only the head of
     a multi-line text is looked at and no array of lines is built.
     """
-    return collapse(F.substring_index(trim(body), "\n", 1))
+    return once(F.substring_index(trim(body), "\n", 1), collapse)

@@ -95,9 +95,10 @@ def within_range(instant: Column) -> Column:
 
 def from_text(token: Column) -> Column:
     """Numeric or ISO text, already trimmed, to TIMESTAMP."""
+    number = F.when(F.rlike(token, F.lit(_NUMERIC)), token.try_cast("double"))
     return F.when(
-        F.rlike(token, F.lit(_NUMERIC)), from_epoch(token.try_cast("double"))
-    ).otherwise(within_range(from_iso(token)))
+        F.contains(token, F.lit("-")) & (F.length(token) >= 10), within_range(from_iso(token))
+    ).otherwise(from_epoch(number))
 
 
 def iso_text(instant: Column) -> Column:

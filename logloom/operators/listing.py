@@ -8,13 +8,13 @@ import json
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from logloom import schema
-from logloom.functions.times import instant_text, parse_instant
+from logloom.functions.times import instant_text, iso_text, parse_instant
 from logloom.operators import filters
 
 DEFAULT_PAGE, LARGEST_PAGE = 50, 200
@@ -101,13 +101,34 @@ def log_rows(
     )
 
 
-def list_logs(records: DataFrame, *, limit: int = DEFAULT_PAGE, **params) -> Page:
-    """One page of records and the cursor of the next one, None on the last page."""
-    # Time and id travel as text, so that no clock zone of this process interferes.
-    rows = log_rows(records, limit=limit, **params).withColumn(
-        "_at", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    )
-    found = rows.collect()
+# Stretches of time searched one after the other, newest first, before everything.
+LOOK_BACK = (timedelta(days=1), timedelta(days=7), timedelta(days=30))
+
+
+def list_logs(
+    records: DataFrame,
+    *,
+    limit: int = DEFAULT_PAGE,
+    newest: datetime | None = None,
+    **params,
+) -> Page:
+    """One page of records and the cursor of the next one, None on the last page.
+
+    ``newest`` is the time of the newest record, where it is known. The search then
+    goes back from there (or from the cursor, or the upper bound) a day, a week, a
+    month, and reads on only while the page is not full. The page is the same.
+    """
+    found: list[Row] = []
+    for start in _starts(newest, params):
+        bounds = params if start is None else {**params, "start": start}
+        # Time and id travel as text, so that no clock zone of this process interferes.
+        found = (
+            log_rows(records, limit=limit, **bounds)
+            .withColumn("_at", iso_text(F.col("timestamp")))
+            .collect()
+        )
+        if len(found) > limit:
+            break
     page = found[:limit]
     cursor = None
     if len(found) > limit:
@@ -116,6 +137,21 @@ def list_logs(records: DataFrame, *, limit: int = DEFAULT_PAGE, **params) -> Pag
     return Page(shown, cursor)
 
 
+def _starts(newest: datetime | None, params: dict) -> list[datetime | None]:
+    """Lower time bounds to try in turn; None stands for the bound that was asked for."""
+    if newest is None:
+        return [None]
+    latest = parse_instant(newest)
+    if params.get("end") is not None:
+        latest = min(latest, parse_instant(params["end"], "to"))
+    if params.get("cursor") is not None:
+        latest = min(latest, Cursor.decode(params["cursor"]).timestamp)
+    asked = params.get("start")
+    floor = None if asked is None else parse_instant(asked, "from")
+    tries = [latest - back for back in LOOK_BACK]
+    return [start for start in tries if floor is None or start > floor] + [None]
+
+
 def list_issues(
     issues: DataFrame, *, service: str | None = None, severity: Levels = None
 ) -> DataFrame:

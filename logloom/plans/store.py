@@ -14,7 +14,7 @@ time is assumed, as with any plain Parquet table.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from logloom.functions.times import instant_lit, parse_instant
 from logloom.operators import ledger
 
 RECORD, REJECT = "record", "reject"
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 RUNS = T.StructType(
     [
@@ -69,6 +70,11 @@ class Store:
         lines = self._read("lines", schema.LINES)
         return lines.join(self.runs().select("run"), "run", "left_semi")
 
+    def newest(self) -> datetime | None:
+        """Time of the newest record, from the table of runs."""
+        micros = self.runs().agg(F.unix_micros(F.max("last_event"))).first()[0]
+        return None if micros is None else EPOCH + timedelta(microseconds=micros)
+
     def run_lines(self, run: str) -> DataFrame:
         """Lines of one run, published or not."""
         return self._read("lines", schema.LINES).where(F.col("run") == run)

@@ -38,6 +38,21 @@ def _first_key(entries: Column, keys: tuple[str, ...]) -> Column:
     )
 
 
+def _first_instant(moments: Column) -> Column:
+    """STRUCT<key, instant> of the first time member that yields an instant."""
+
+    def read(member: Column) -> Column:
+        text = trim(jsontext.string_value(member["value"]))
+        number = jsontext.number_value(member["value"])
+        return F.struct(
+            member["key"].alias("key"),
+            F.coalesce(times.from_text(text), times.from_epoch(number)).alias("instant"),
+        )
+
+    found = F.filter(F.transform(moments, read), lambda m: m["instant"].isNotNull())
+    return F.get(found, 0)
+
+
 class JsonLines:
     source_type = "json-lines"
 
@@ -82,39 +97,52 @@ class JsonLines:
             ).alias("moments"),
             _first_key(entries, SEVERITY_KEYS).alias("level_key"),
         )
-        texts, level = F.col("texts"), F.col("level")
+        texts, level, moments = F.col("texts"), F.col("level"), F.col("moments")
+        first = F.get(moments, 0)
         read = read.select(
             *passed,
             "error_code",
             "texts",
-            F.transform(
-                F.transform(
-                    "moments",
-                    lambda member: F.struct(
-                        member["key"].alias("key"),
-                        trim(jsontext.string_value(member["value"])).alias("text"),
-                        jsontext.number_value(member["value"]).alias("number"),
-                    ),
-                ),
-                lambda moment: F.struct(
-                    moment["key"].alias("key"),
-                    F.coalesce(
-                        times.from_text(moment["text"]), times.from_epoch(moment["number"])
-                    ).alias("instant"),
-                ),
-            ).alias("moments"),
+            "moments",
+            jsontext.string_value(first["value"]).alias("time_text"),
+            jsontext.number_value(first["value"]).alias("time_number"),
             "level_key",
             F.try_element_at(entries, F.col("level_key")).alias("level"),
+        ).select(
+            "*",
+            trim(F.col("time_text")).alias("time_token"),
+            jsontext.string_value(level).alias("level_token"),
+            jsontext.number_value(level).alias("level_number"),
         )
         read = read.select(
             *passed,
             "error_code",
             "texts",
-            F.get(
-                F.filter("moments", lambda moment: moment["instant"].isNotNull()), 0
-            ).alias("moment"),
+            "moments",
+            F.coalesce(
+                times.from_text(F.col("time_token")), times.from_epoch(F.col("time_number"))
+            ).alias("instant"),
+            "level_key",
+            severity.from_parts(
+                F.col("level_token"),
+                F.col("level_number"),
+                jsontext.short_numbers(F.to_json(level)),
+            ).alias("severity"),
+        )
+        # Most lines settle with their first time member; the others are only
+        # looked at when it yields nothing.
+        read = read.select(
+            *passed,
+            "error_code",
+            "texts",
+            F.when(
+                F.col("instant").isNotNull(),
+                F.struct(first["key"].alias("key"), F.col("instant").alias("instant")),
+            )
+            .when(F.size(moments) > 1, _first_instant(moments))
+            .alias("moment"),
             "level_key",
-            severity.normalize(level).alias("severity"),
+            "severity",
         )
         level = F.col("severity")
         used_level = level["severity_number"].isNotNull() | level["severity_text"].isNotNull()

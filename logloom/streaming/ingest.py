@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logloom import schema
 from logloom.functions.times import instant_lit, parse_instant
 from logloom.operators import ledger, records
-from logloom.plans.ingest import commit_run, job_id, totals_by_job
+from logloom.plans.ingest import commit_run, ingest, job_id, totals_by_job
 from logloom.plans.store import Store
 from logloom.session import configure
 from logloom.sources import lines as line_ops
@@ -59,7 +60,12 @@ def import_batch(
     sources: Sequence[LogSource] = registry.SOURCES,
     fallback: LogSource = registry.FALLBACK,
 ) -> None:
-    """Import one batch; doing it again after a restart changes nothing."""
+    """Import one batch of ``value, file, block`` rows of any stream.
+
+    For streams that are not made of files, such as a message queue, where ``file``
+    names the channel a line came from. Doing a batch again after a restart
+    changes nothing.
+    """
     spark = configure(batch.sparkSession)
     run = f"{name}-{batch_id}"
     store = Store(spark, base)
@@ -143,16 +149,20 @@ def start_import(
     lines = read_stream(spark, landing, max_files_per_batch)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        import_batch(
-            batch,
-            batch_id,
-            base,
-            name=name,
-            source_type=source_type,
-            now=now,
-            sources=sources,
-            fallback=fallback,
-        )
+        # The batch says which files are new; they are then imported like any other
+        # files: heads for the format, one scan by the parser of that format.
+        files = [unquote(row["file"]) for row in batch.select("file").distinct().collect()]
+        if files:
+            ingest(
+                batch.sparkSession,
+                files,
+                base,
+                source_type=source_type,
+                run=f"{name}-{batch_id}",
+                now=now,
+                sources=sources,
+                fallback=fallback,
+            )
 
     # Counted on the fly; listeners see the figure while the query runs.
     observed = lines.observe("import_progress", F.count(F.lit(1)).alias("lines"))

@@ -68,7 +68,8 @@ def test_import_of_a_folder(spark, landing, tmp_path):
     assert store.records().count() == 68
     assert store.issues().where("sample_message = 'hello 0'").first()["event_count"] == 60
 
-    page = listing.list_logs(store.records(), service="api", limit=1)
+    assert store.newest().isoformat() == "2025-09-09T10:00:00+00:00"
+    page = listing.list_logs(store.records(), service="api", limit=1, newest=store.newest())
     assert page.records[0]["body"] == "disk 5 full" and page.next_cursor
     rates = analytics.error_rate(store.records(), "2025-09-08T00:00:00Z", "2025-09-10T00:00:00Z")
     assert rates.agg(F.sum("total"), F.sum("errors")).first() == (68, 4)
@@ -173,7 +174,15 @@ def test_stream_equals_batch(spark, landing, tmp_path):
     # Nothing new has arrived, so nothing changes.
     pump()
     assert stream.runs().count() == 3
-    # A batch that is delivered once more is dropped.
-    lines = spark.createDataFrame([("x", "f", 0)], "value string, file string, block bigint")
-    streaming.import_batch(lines, 0, base)
-    assert stream.runs().count() == 3
+
+
+def test_batches_of_a_stream_without_files(spark, tmp_path):
+    base = str(tmp_path / "store")
+    rows = [(line, name, 0) for name, lines in FILES.items() for line in lines]
+    lines = spark.createDataFrame(rows, "value string, file string, block bigint").coalesce(1)
+    for _ in range(2):  # A batch that is delivered once more is dropped.
+        streaming.import_batch(lines, 7, base)
+    store = Store(spark, base)
+    assert store.runs().count() == 1 and store.records().count() == 34
+    assert store.rejects().count() == 2 and store.issues().count() == 3
+    assert {r["status"] for r in store.jobs().collect()} == {"COMPLETED"}

@@ -405,3 +405,20 @@ def test_ledger_keeps_the_latest_row(spark):
     latest = ledger.latest(rows).first()
     assert (latest["status"], latest["error"]) == ("FAILED", "disk full")
     assert latest["finished_at"] is not None
+
+
+def test_search_from_the_newest_record(records):
+    found = records(
+        *[(f"2026-05-{30 - i // 2:02d}T00:00:00Z", 9) for i in range(20)],
+        *[(f"2025-0{1 + i}-01T00:00:00Z", 17) for i in range(5)],
+    )
+    newest = at("2026-05-30T00:00:00Z")
+    for limit in (1, 3, 7, 50):
+        for extra in ({}, {"level": 17}, {"end": "2026-05-25T00:00:00Z"}, {"start": "2026-05-28T00:00:00Z"}):
+            plain = listing.list_logs(found, limit=limit, **extra)
+            near = listing.list_logs(found, limit=limit, newest=newest, **extra)
+            assert near == plain
+            if limit > 1 and plain.next_cursor:
+                cursor = plain.next_cursor
+                seen = listing.list_logs(found, limit=limit, newest=newest, cursor=cursor, **extra)
+                assert seen == listing.list_logs(found, limit=limit, cursor=cursor, **extra)
