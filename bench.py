@@ -67,7 +67,7 @@ def main() -> None:
         seconds[name] = round(time.monotonic() - started, 3)
 
     folder = corpus.new_folder(spark)
-    landing = corpus.write_landing(spark, sf_dir, folder)
+    landing = corpus.write_landing(spark, sf_dir, f"{folder}/landing")
     started = time.monotonic()
     outcome = ingest(spark, f"{landing}/*", f"{folder}/store", now=corpus.OBSERVED_AT)
     seconds["ingest_files"] = round(time.monotonic() - started, 3)

@@ -125,7 +125,7 @@ def mixed_lines(spark: SparkSession, sf_dir: str, damaged: bool = True) -> DataF
         line = broken(line, _timeless("json-lines"))
     file = F.coalesce("service_name", F.lit("none"))
     return log_events(spark, sf_dir).select(
-        arrival(file), line.alias("value"), kind.alias("kind"), file.alias("file")
+        arrival(file), line.alias("value"), kind.alias("kind"), file.alias("file"), "timestamp"
     )
 
 
@@ -171,10 +171,14 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/logloom-{uuid.uuid4().hex}"
 
 
-def write_landing(spark: SparkSession, sf_dir: str, folder: str) -> str:
-    """One folder of text files per service, in the format of the service."""
-    landing = f"{folder}/landing"
-    rows = mixed_lines(spark, sf_dir).select(
+def write_landing(
+    spark: SparkSession, sf_dir: str, landing: str, when: Column | None = None
+) -> str:
+    """Folders of text files per service, in the format of the service.
+
+    ``when`` cuts the events by time, for files that arrive in waves.
+    """
+    rows = mixed_lines(spark, sf_dir).where(F.lit(True) if when is None else when).select(
         "value", "file", F.col("arrival.row").alias("sequence")
     )
     # Cut by place in the table, not by service: no task holds all of a large one,
@@ -194,7 +198,7 @@ def ingested(spark: SparkSession, sf_dir: str) -> Store:
     key = (spark.sparkContext.applicationId, sf_dir, "batch")
     if key not in _STORES:
         folder = new_folder(spark)
-        landing = write_landing(spark, sf_dir, folder)
+        landing = write_landing(spark, sf_dir, f"{folder}/landing")
         ingest(
             spark, f"{landing}/*", f"{folder}/store", run="first", now=OBSERVED_AT
         )

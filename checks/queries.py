@@ -17,6 +17,7 @@ from logloom.functions.text import first_line
 from logloom.functions.times import iso_text
 from logloom.operators import analytics, filters, integrity, issues, ledger, listing, records
 from logloom.plans import ingest as ingest_plan
+from logloom.plans.store import Store
 from logloom.sources import base, lines as line_ops, registry
 from logloom.streaming import ingest as streaming
 
@@ -883,15 +884,17 @@ def reprocess(spark, sf_dir):
 
 @query
 def stream_issues(spark, sf_dir):
-    """The same files imported as a stream, a few per batch."""
+    """The same events as a stream of files: they arrive in two waves, one batch each."""
     folder = corpus.new_folder(spark)
-    landing = corpus.write_landing(spark, sf_dir, folder)
-    streaming.start_import(
-        spark, f"{landing}/*", f"{folder}/store", f"{folder}/progress",
-        max_files_per_batch=3, now=corpus.OBSERVED_AT,
-    ).awaitTermination()
-    from logloom.plans.store import Store
-
+    waves = (filters.time_bounds(None, SPLIT), filters.time_bounds(SPLIT, None))
+    for n, bounds in enumerate(waves):
+        corpus.write_landing(
+            spark, sf_dir, f"{folder}/landing/{n}", filters.all_of(bounds)
+        )
+        streaming.start_import(
+            spark, f"{folder}/landing/*/*", f"{folder}/store", f"{folder}/progress",
+            now=corpus.OBSERVED_AT,
+        ).awaitTermination()
     return _issue_view(Store(spark, f"{folder}/store").issues()).drop("resolved_at")
 
 
