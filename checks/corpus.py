@@ -32,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows over all cores where the input is fewer files than there are cores.
+
+    A single small file would leave all but one core idle. Tables of many files
+    are read as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+
+
 def _pick(table_: dict, key: Column) -> Column:
     entries = F.create_map(*[F.lit(x) for pair in table_.items() for x in pair])
     return F.try_element_at(entries, key)
@@ -46,12 +56,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("decimal(12,2)").cast("string"),
         F.lit(" from 10.0."), (user % 256).cast("string"), F.lit("."), k,
     )
-    events = table(spark, sf_dir, "events")
-    cores = spark.sparkContext.defaultParallelism
-    if len(events.inputFiles()) < cores:
-        # A single small file would leave all but one core idle. Tables of many
-        # files are read as they are.
-        events = events.repartition(cores)
+    events = spread(table(spark, sf_dir, "events"))
     return events.select(
         F.col("event_id").alias("sequence"),
         F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("timestamp"),

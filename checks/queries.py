@@ -422,7 +422,7 @@ def spans_rebuild_text(spark, sf_dir):
                 F.lit(name).alias("source"), F.col(column).alias("text")
             )
         )
-    texts = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    texts = corpus.spread(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     spans = tokenizer.tokenize(F.col("text"))
     rebuilt = F.array_join(F.transform(spans, lambda s: s["value"]), "")
     return (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections import deque
+from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -98,13 +100,15 @@ def head_sample(lines: DataFrame, size: int = SAMPLE_SIZE) -> DataFrame:
     )
 
 
+# Batches of 200 lines.
+_READ_OFF = 100
 _EMPTY_ENVELOPE = r'"logEvents"\s*:\s*\[\s*\]'
 
 
 def _take_heads(size: int):
     """Per split: keep the leading lines of the file and stop reading."""
 
-    def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = size
         for batch in batches:
             if batch.num_rows == 0:
@@ -122,6 +126,9 @@ def _take_heads(size: int):
             enough = pc.index(reached, pa.scalar(left, pa.int64())).as_py()
             if enough >= 0:
                 yield batch.slice(0, enough + 1)
+                # The rest of a short file is read off, which lets the worker process
+                # be used again; a long file is left where it is.
+                deque(islice(batches, _READ_OFF), maxlen=0)
                 return
             left -= reached[-1].as_py()
             yield batch
