@@ -634,10 +634,10 @@ _RENDERED = {
     "json-lines": f"""'{{"@timestamp":"' || {_iso('t')} || '",' || coalesce('"service":"' || svc || '",', '')
       || '"message":"' || body || '",' || coalesce('"host":"' || host || '",', '')
       || '"env":"production","trace_id":"' || trace || '"' || coalesce(',"level":"' || level || '"', '') || '}}'""",
-    "gcp-cloud-logging": f"""'{{"logName":"projects/log-platform/logs/' || coalesce(svc, 'app')
+    "gcp-cloud-logging": f"""'{{"logName":"projects/sample-project/logs/' || coalesce(svc, 'app')
       || '%2Fstderr","timestamp":"' || {_iso('t')} || '","resource":{{"type":"cloud_run_revision","labels":{{'
       || coalesce('"service_name":"' || svc || '",', '') || '"location":"us-central1"}}}},"textPayload":"' || body
-      || '","trace":"projects/log-platform/traces/' || trace || '"'
+      || '","trace":"projects/sample-project/traces/' || trace || '"'
       || coalesce(',"labels":{{"host":"' || host || '"}}', '') || coalesce(',"severity":"' || {GCP_LEVEL} || '"', '') || '}}'""",
     "aws-cloudwatch": f"""'{{"logGroup":"' || {GROUP} || '","logStream":"' || {STREAM} || '","id":"' || {EVENT_ID}
       || '","timestamp":' || epoch_ms(t) || ',"message":"' || CASE WHEN {STRUCTURED}

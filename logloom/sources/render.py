@@ -14,7 +14,7 @@ from logloom.functions.times import iso_text
 
 # Names of the levels in a LogEntry.
 GCP_LEVELS = {"info": "INFO", "warn": "WARNING", "error": "ERROR", "debug": "DEBUG"}
-PROJECT = "log-platform"
+PROJECT = "sample-project"
 
 
 def _json(*fields: tuple[str, Column]) -> Column:
