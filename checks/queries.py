@@ -738,8 +738,12 @@ def orphan_records(spark, sf_dir):
     store = corpus.ingested(spark, sf_dir)
     stray = integrity.records_without_issue(store.records(), store.issues())
     jobless = integrity.records_without_job(store.records(), store.jobs())
-    return stray.agg(F.count(F.lit(1)).alias("without_issue")).crossJoin(
-        F.broadcast(jobless.agg(F.count(F.lit(1)).alias("without_job")))
+    found = stray.select(F.lit("issue").alias("lacks")).unionByName(
+        jobless.select(F.lit("job").alias("lacks"))
+    )
+    return found.agg(
+        F.count_if(F.col("lacks") == "issue").alias("without_issue"),
+        F.count_if(F.col("lacks") == "job").alias("without_job"),
     )
 
 
