@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.llm import language
+from logloom.llm.decontaminate import find_leaks
 from logloom.llm.exact import exact_dedup
 from logloom.llm.packing import pack_tokens
 
@@ -23,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(parts: int):
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
 @query
 def op1_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrices of packed token ids of all documents."""
@@ -34,3 +41,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document stays, for every document."""
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document leaks."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = find_leaks(docs.select("doc_id", "text"), items)
+    return found.select(
+        "doc_id", "leaked", F.col("leaks.item_id").alias("item_ids"), "leaks"
+    )
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    filters = language.learn(docs.where(~held_out))
+    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), filters).drop("text")
