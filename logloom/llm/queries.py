@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import language
+from logloom.llm import language, licenses
 from logloom.llm.decontaminate import find_leaks
 from logloom.llm.exact import exact_dedup
 from logloom.llm.packing import pack_tokens
+from logloom.llm.pieces import decode_pieces, encode_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +61,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder(4) == 2, F.lit(False))
     filters = language.learn(docs.where(~held_out))
     return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), filters).drop("text")
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.learn(docs)).drop("text")
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each document, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = decode_pieces(encode_pieces(docs))
+    return decoded.select(
+        "doc_id",
+        "pieces",
+        F.size("pieces").alias("n_pieces"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
