@@ -15,4 +15,25 @@ ORACLE = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM folded JOIN groups USING (t)
     """,
+    "op5_chat_format": """
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'
+        ), escaped AS (
+            SELECT *,
+                replace(replace(replace(text, chr(92), chr(92) || chr(92)), '#', chr(92) || '#'),
+                    '<', chr(92) || '<') AS shown,
+                replace(replace(replace(replace(role, chr(92), chr(92) || chr(92)), '#', chr(92) || '#'),
+                    '<', chr(92) || '<'), ':', chr(92) || ':') AS shown_role
+            FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+            sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text))
+                AS loss_sha256,
+            CAST(sum(4 + length(shown_role) + 2 + length(shown) + 9) AS BIGINT) AS formatted_chars
+        FROM escaped GROUP BY conv_id
+    """,
 }

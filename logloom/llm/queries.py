@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import language, licenses
+from logloom.llm import chat, language, licenses
 from logloom.llm.decontaminate import find_leaks
 from logloom.llm.exact import exact_dedup
 from logloom.llm.packing import pack_tokens
@@ -44,6 +44,19 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: A conversation whose texts look like the template.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as read back from the tree."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)]
+    extra = spark.createDataFrame(rows, given.schema)
+    return chat.digests(chat.read_back(chat.chat_tree(given.unionByName(extra))))
+
+
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that each document leaks."""
