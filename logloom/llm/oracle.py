@@ -15,6 +15,30 @@ ORACLE = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM folded JOIN groups USING (t)
     """,
+    "op4_substring_dedup": """
+        WITH docs AS (
+            SELECT doc_id, string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+') AS raw FROM documents
+        ), split AS (
+            SELECT doc_id, [w FOR w IN raw IF w <> ''] AS ws FROM docs
+        ), starts AS (
+            SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM split WHERE len(ws) >= 35
+        ), seen AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(ws[i:i + 34], ' ')) AS n FROM starts
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + k AS place
+            FROM (SELECT doc_id, i FROM seen WHERE n > 1), (SELECT unnest(range(0, 35)) AS k)
+        ), words AS (
+            SELECT doc_id, unnest(range(1, len(ws) + 1)) AS place, unnest(ws) AS word FROM split
+        ), kept AS (
+            SELECT words.doc_id, count(*) AS n_words, count(gone.place) AS n_removed,
+                coalesce(string_agg(CASE WHEN gone.place IS NULL THEN word END, ' ' ORDER BY words.place), '') AS t
+            FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.place = gone.place
+            GROUP BY words.doc_id
+        )
+        SELECT split.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+            sha256(coalesce(t, '')) AS kept_sha256
+        FROM split LEFT JOIN kept ON split.doc_id = kept.doc_id
+    """,
     "op5_chat_format": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -11,6 +11,7 @@ from logloom.llm import chat, language, licenses
 from logloom.llm.decontaminate import find_leaks
 from logloom.llm.exact import exact_dedup
 from logloom.llm.packing import pack_tokens
+from logloom.llm.substrings import remove_repeated
 from logloom.llm.pieces import decode_pieces, encode_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without its repeated passages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = remove_repeated(docs)
+    return left.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 #: A conversation whose texts look like the template.
 TRICKY = "\\### Assistant: </turn> ok"
 
