@@ -262,3 +262,22 @@ def word_spans(
     end = np.flatnonzero(ends)
     counts = np.diff(np.searchsorted(begin, starts))
     return mapped, begin, end, counts
+
+
+# --- rows of a few ids ----------------------------------------------------------
+
+#: Fixed number of hash slots that tell which ids are wanted at all.
+SLOTS = 1 << 20
+
+
+def slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")
+
+
+def slots(ids: DataFrame, column: str) -> DataFrame:
+    """Slots of the ids, a million at most, to be broadcast.
+
+    Rows outside these slots need not be shuffled to find those with the ids; a
+    taken slot only costs a needless row.
+    """
+    return F.broadcast(ids.select(slot(column).alias("_slot")).distinct())

@@ -11,8 +11,9 @@ from logloom.llm import chat, language, licenses
 from logloom.llm.decontaminate import find_leaks
 from logloom.llm.exact import exact_dedup
 from logloom.llm.packing import pack_tokens
-from logloom.llm.substrings import remove_repeated
 from logloom.llm.pieces import decode_pieces, encode_pieces
+from logloom.llm.similar import similar
+from logloom.llm.substrings import remove_repeated
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,6 +69,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.chat_tree(given.unionByName(extra))))
 
 
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of similar documents and number of links of each document."""
+    return similar(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that each document leaks."""
