@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, language, licenses
+from logloom.llm import chat, language, language_model, licenses
 from logloom.llm.decontaminate import find_leaks
 from logloom.llm.exact import exact_dedup
 from logloom.llm.packing import pack_tokens
@@ -85,6 +85,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document under a bigram model of the others."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_model.score(docs, F.coalesce(remainder(7) != 2, F.lit(True)))
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document."""
