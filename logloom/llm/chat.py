@@ -238,7 +238,7 @@ def chat_tree(
     inherited = ways.select(
         F.col("conv").alias("owner"),
         F.expr("transform(filter(path, p -> p.owner <> conv), p -> struct(p.start AS start, p.end AS end))").alias("inherited"),
-        F.expr("filter(path, p -> p.owner = conv)[0].start").alias("own"),
+        F.expr("get(filter(path, p -> p.owner = conv), 0).start").alias("own"),
     )
     owning = starts.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
     whole = join_unique(starts, inherited, ["owner"], ["node"], "inner", owning)
