@@ -31,9 +31,9 @@ DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 29
 #: Cells of the sketch that are merged together.
 CHUNK_BITS = 16
 #: Windows that a task holds before it hands them on; bounds its memory.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Entries that one bucket of candidates is meant to have, and bytes of text of one group of documents.
-BUCKET, GROUP = 1 << 20, 16 << 20
+BUCKET, GROUP = 1 << 19, 8 << 20
 
 _SLICE = 1 << 21
 
