@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logloom.functions.text import once
+
 _HEX = "[0-9a-fA-F]"
 _GROUP = f"{_HEX}{{1,4}}"
 
@@ -22,7 +24,9 @@ _GROUP = f"{_HEX}{{1,4}}"
 UUID = f"{_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}"
 LONG_HEX = f"{_HEX}{{12,}}"
 
-# Kinds of scalar variables in the order they are tried.
+# Kinds of scalar variables in the order they are tried. What may be long
+# before the sign that decides (@ or ::) is bounded, so that a long run without that
+# sign takes a bounded time from each place in it.
 SCALARS = (
     (
         "timestamp",
@@ -31,11 +35,11 @@ SCALARS = (
         r"|[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?",
     ),
     ("uuid", UUID),
-    ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    ("email", r"[A-Za-z0-9._%+-]{1,512}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     (
         "ipv6",
         f"(?:{_GROUP}:){{7}}{_GROUP}"
-        f"|(?:{_GROUP}:)++:{_GROUP}(?::{_GROUP})*+"
+        f"|(?:{_GROUP}:){{1,512}}+:{_GROUP}(?::{_GROUP})*+"
         f"|::{_GROUP}(?::{_GROUP})*+",
     ),
     ("ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
@@ -59,10 +63,25 @@ _PATH = (
 )
 # A number takes the letters stuck to it along, so that it cannot be mistaken for
 # a longer kind when it is looked at on its own; they are given back as text.
-_SCALAR = "|".join(f"(?>{pattern})(?!{_WORD})" for _, pattern in SCALARS)
-_VARIABLE = (
-    f"\"[^\"]++\"|'[^']++'|(?=/){_PATH}|(?<!{_WORD})(?:{_SCALAR}|(?>{NUMBER}){_WORD}*+)"
-)
+# An e-mail address is looked for once per run of its signs. Inside a run it may only
+# begin after a variable that took the run's first signs. Else a long run would be
+# read to its end again from every sign.
+_LOCAL = "[A-Za-z0-9._%+-]"
+_ONCE_PER_RUN = f"(?:(?<!{_LOCAL})|(?<=\\G[.%+-]{{1,8}}))"
+
+
+def _variable(email: bool) -> str:
+    scalars = "|".join(
+        (_ONCE_PER_RUN if kind == "email" else "") + f"(?>{pattern})(?!{_WORD})"
+        for kind, pattern in SCALARS
+        if email or kind != "email"
+    )
+    return (
+        f"\"[^\"]++\"|'[^']++'|(?=/){_PATH}|(?<!{_WORD})(?:{scalars}|(?>{NUMBER}){_WORD}*+)"
+    )
+
+
+_WITH_EMAIL, _WITHOUT_EMAIL = _variable(True), _variable(False)
 _ONLY_PATH_ID = f"^{_PATH_ID}\\z"
 _SHORT_NUMBER = r"^[0-9]{1,11}(?:\.[0-9]+)?\z"
 
@@ -113,8 +132,13 @@ def _render_variable(token: Column, emit: Emit) -> Column:
 
 
 def _render(message: Column, emit: Emit) -> Column:
-    marked = F.regexp_replace(
-        _escape(message), _VARIABLE, f"{_DELIMITER}$0{_DELIMITER}"
+    # A text without @ holds no address.
+    wrapped = f"{_DELIMITER}$0{_DELIMITER}"
+    marked = once(
+        _escape(message),
+        lambda text: F.when(
+            F.contains(text, F.lit("@")), F.regexp_replace(text, _WITH_EMAIL, wrapped)
+        ).otherwise(F.regexp_replace(text, _WITHOUT_EMAIL, wrapped)),
     )
     pieces = F.split(marked, _DELIMITER)
     return F.array_join(
