@@ -46,8 +46,10 @@ def transition(
 def latest(ledger: DataFrame) -> DataFrame:
     """Current row of each job."""
     whole = F.struct(*[field.name for field in schema.JOBS])
+    # A failed job may be tried again under its name; nothing follows its completion.
+    order = F.struct("step", F.col("status") == schema.COMPLETED, "updated_at")
     newest = ledger.groupBy("id").agg(
-        F.max_by(whole, F.struct("step", "updated_at")).alias("job"),
+        F.max_by(whole, order).alias("job"),
         F.count(F.lit(1)).alias("transitions"),
     )
     return newest.select("job.*")

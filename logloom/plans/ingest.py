@@ -6,7 +6,7 @@ import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 from urllib.parse import unquote
 
@@ -43,30 +43,40 @@ def job_id(run: str, file: Column) -> Column:
     return record_id(F.lit(run), file)
 
 
+def file_name(file: Column) -> Column:
+    """Last part of a file's address, as it is called on the file system."""
+    last = F.regexp_extract(file, r"([^/]+)\z", 1)
+    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+
+
 def choose_formats(
     spark: SparkSession,
-    files: DataFrame,
+    paths: str | list[str],
     sources: Sequence[LogSource] = registry.SOURCES,
     fallback: LogSource = registry.FALLBACK,
-) -> dict[str, list[str]]:
-    """Paths of the input files by detected format.
+) -> dict[str, str | list[str]]:
+    """What to read with each format: the given paths if all files have one, else files by format.
 
-    The driver holds one entry per file, as it does for the file listing anyway;
-    of the contents only the first lines of each file are read.
+    Of the contents only the first lines of each file are read. Files come to the
+    driver by name only where formats are mixed.
     """
-    paths = [unquote(row["file"]) for row in files.select("file").collect()]
     heads = line_ops.expand_envelopes(line_ops.read_heads(spark, paths))
-    found = registry.detect(heads, sources, fallback).select("file", "source_type").collect()
-    types = {unquote(row["file"]): row["source_type"] for row in found}
-    grouped: dict[str, list[str]] = {}
-    for path in paths:
-        grouped.setdefault(types.get(path, fallback.source_type), []).append(path)
+    found = registry.detect(heads, sources, fallback).select("file", "source_type")
+    files = line_ops.file_sizes(spark, paths).select("file")
+    kind = F.coalesce("source_type", F.lit(fallback.source_type)).alias("source_type")
+    named = files.join(found, "file", "left").select("file", kind)
+    kinds = [row["source_type"] for row in named.select("source_type").distinct().collect()]
+    if len(kinds) == 1:
+        return {kinds[0]: paths}
+    grouped: dict[str, str | list[str]] = {}
+    for row in named.groupBy("source_type").agg(F.collect_set("file").alias("files")).collect():
+        grouped[row["source_type"]] = [line_ops.literal(unquote(f)) for f in sorted(row["files"])]
     return grouped
 
 
 def parse_files(
     spark: SparkSession,
-    paths_by_type: dict[str, list[str]],
+    paths_by_type: dict[str, str | list[str]],
     sources: Sequence[LogSource] = registry.SOURCES,
 ) -> DataFrame:
     """Drafts of all files; every file is scanned once, by the parser of its format."""
@@ -132,59 +142,106 @@ def ingest(
     size = files.agg(F.sum("size_bytes")).first()[0]
     if not size:
         raise EmptyInput("the input holds no bytes")
-    if store.is_published(run):
-        return _outcome(store, run)
-
-    started = time.monotonic()
     opened = files.select(
         job_id(run, F.col("file")).alias("id"),
         F.lit(run).alias("run"),
-        F.regexp_extract("file", r"([^/]+)\z", 1).alias("filename"),
+        file_name(F.col("file")).alias("filename"),
         F.col("file").alias("storage_key"),
         "size_bytes",
         F.lit(source_type).alias("source_type"),
     )
     at = instant_lit(now)
+    if store.is_published(run):
+        # The run may have ended between its publication and the closing of its jobs.
+        close_jobs(store, run, opened, now, now, None)
+        return _outcome(store, run)
+
+    started = time.monotonic()
     store.append_jobs(
         ledger.transition(opened, schema.PENDING, at).unionByName(
             ledger.transition(opened, schema.RUNNING, at, created_at=at)
         )
     )
+
+    def ended() -> datetime:
+        return now + timedelta(milliseconds=int((time.monotonic() - started) * 1000))
+
     try:
-        if source_type is None:
-            grouped = choose_formats(spark, files, sources, fallback)
-        else:
-            every = [unquote(row["file"]) for row in files.select("file").collect()]
-            grouped = {source_type: every}
+        grouped = (
+            choose_formats(spark, paths, sources, fallback)
+            if source_type is None
+            else {source_type: paths}
+        )
         drafts = parse_files(spark, grouped, sources)
         whole = records.assemble(drafts, now, job_id(run, F.col("arrival.file")))
         store.write_lines(whole, run)
+        # The lines are written; what is left of the run is to publish them.
+        store.append_jobs(progress_rows(store, run, opened, now, ended()))
         commit_run(store, run, now)
     except Exception as error:
         reason = str(error).splitlines()[0] if str(error) else type(error).__name__
         store.append_jobs(
             ledger.transition(
-                opened, schema.FAILED, at, created_at=at, error=F.lit(reason)
+                opened, schema.FAILED, instant_lit(ended()), created_at=at, error=F.lit(reason)
             )
         )
         raise
     elapsed = int((time.monotonic() - started) * 1000)
+    close_jobs(store, run, opened, now, now + timedelta(milliseconds=elapsed), elapsed)
+    return _outcome(store, run, elapsed)
+
+
+def _with_totals(store: Store, run: str, jobs: DataFrame) -> DataFrame:
+    """Jobs with their lines and errors; a file without lines has none of either."""
     per_job = totals_by_job(store.run_lines(run)).withColumnRenamed("import_job_id", "id")
-    finished = opened.join(per_job, "id", "left")
-    lines = F.coalesce("processed_lines", F.lit(0))
+    known = jobs.drop("processed_lines", "parse_errors")
+    return known.join(per_job, "id", "left").fillna(0, ["processed_lines", "parse_errors"])
+
+
+def progress_rows(
+    store: Store, run: str, jobs: DataFrame, created: datetime, at: datetime
+) -> DataFrame:
+    """Ledger rows of jobs whose lines are written but not yet published."""
+    return ledger.transition(
+        _with_totals(store, run, jobs),
+        schema.RUNNING,
+        instant_lit(at),
+        progress=True,
+        created_at=instant_lit(created),
+        total_lines=F.col("processed_lines"),
+    )
+
+
+def close_jobs(
+    store: Store,
+    run: str,
+    jobs: DataFrame,
+    created: datetime,
+    at: datetime,
+    elapsed: int | None,
+) -> None:
+    """Mark the jobs of a published run as completed, unless they are so already.
+
+    Files of a run are read together, so the time of a job is that of its run, from
+    its opening to its end; it is not known of a run that was interrupted.
+    """
+    done = store.transitions().where(F.col("status") == schema.COMPLETED).select("id")
+    left = jobs.join(done, "id", "left_anti")
+    if left.isEmpty():
+        return
+    opening = store.transitions().where(F.col("run") == run).groupBy("id")
+    opening = opening.agg(F.min("created_at").alias("opened_at"))
+    whole = _with_totals(store, run, left).join(opening, "id", "left")
     store.append_jobs(
         ledger.transition(
-            finished,
+            whole,
             schema.COMPLETED,
-            at,
-            created_at=at,
-            total_lines=lines,
-            processed_lines=lines,
-            parse_errors=F.coalesce("parse_errors", F.lit(0)),
+            instant_lit(at),
+            created_at=F.coalesce("opened_at", instant_lit(created)),
+            total_lines=F.col("processed_lines"),
             elapsed_ms=F.lit(elapsed),
         )
     )
-    return _outcome(store, run, elapsed)
 
 
 def _outcome(store: Store, run: str, elapsed: int | None = None) -> Outcome:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 from itertools import islice
@@ -19,6 +20,11 @@ from logloom.session import configure
 SAMPLE_SIZE = 20
 
 
+def literal(path: str) -> str:
+    """A listed path as the reader takes it: signs of patterns stand for themselves."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def with_arrival(scan: DataFrame) -> DataFrame:
     """Text scan to ``arrival, value``; must sit directly on the scan."""
     return scan.select(
@@ -61,8 +67,13 @@ def expand_envelopes(lines: DataFrame) -> DataFrame:
         )
         return F.to_json(jsontext.overlay(envelope, own))
 
-    staged = lines.select("arrival", "value", doc.alias("_doc")).select(
-        "arrival",
+    # The finished lines of an envelope are one array, and a line that is no envelope
+    # is an array of itself: nothing but the arrival passes beside what is exploded.
+    place = [F.col(f"arrival.{x}").alias(f"_{x}") for x in ("file", "block", "row")]
+    staged = lines.select(*place, "value", doc.alias("_doc")).select(
+        "_file",
+        "_block",
+        "_row",
         "value",
         group.alias("_group"),
         stream.alias("_stream"),
@@ -70,23 +81,24 @@ def expand_envelopes(lines: DataFrame) -> DataFrame:
             jsontext.is_string(group) & jsontext.is_string(stream), events
         ).alias("_events"),
     )
-    # A line that is no envelope goes through as a single element.
-    exploded = staged.select(
-        "arrival",
-        "value",
-        "_group",
-        "_stream",
-        F.col("_events").isNotNull().alias("_expanded"),
-        F.posexplode(
-            F.coalesce(F.col("_events"), F.array(F.lit(None).cast("variant")))
-        ).alias("_position", "_event"),
+    whole = staged.select(
+        "_file",
+        "_block",
+        "_row",
+        F.when(F.col("_events").isNotNull(), F.transform("_events", event_line))
+        .otherwise(F.array("value"))
+        .alias("_lines"),
+    )
+    exploded = whole.select(
+        "_file", "_block", "_row", F.posexplode("_lines").alias("_position", "value")
     )
-    return exploded.select(
-        F.col("arrival").withField("event", F.col("_position")).alias("arrival"),
-        F.when(F.col("_expanded"), event_line(F.col("_event")))
-        .otherwise(F.col("value"))
-        .alias("value"),
+    arrival = F.struct(
+        F.col("_file").alias("file"),
+        F.col("_block").alias("block"),
+        F.col("_row").alias("row"),
+        F.col("_position").alias("event"),
     )
+    return exploded.select(arrival.alias("arrival"), "value")
 
 
 def head_sample(lines: DataFrame, size: int = SAMPLE_SIZE) -> DataFrame:

@@ -151,7 +151,10 @@ def start_import(
     def handle(batch: DataFrame, batch_id: int) -> None:
         # The batch says which files are new; they are then imported like any other
         # files: heads for the format, one scan by the parser of that format.
-        files = [unquote(row["file"]) for row in batch.select("file").distinct().collect()]
+        files = [
+            line_ops.literal(unquote(row["file"]))
+            for row in batch.select("file").distinct().collect()
+        ]
         if files:
             ingest(
                 batch.sparkSession,

@@ -56,7 +56,7 @@ def test_import_of_a_folder(spark, landing, tmp_path):
 
     jobs = {r["filename"]: r for r in store.jobs().collect()}
     assert {name: (r["status"], r["total_lines"], r["parse_errors"]) for name, r in jobs.items()} == {
-        "a.jsonl": ("COMPLETED", 4, 2), "b.json": ("COMPLETED", 2, 0), "c%20d.json": ("COMPLETED", 30, 0),
+        "a.jsonl": ("COMPLETED", 4, 2), "b.json": ("COMPLETED", 2, 0), "c d.json": ("COMPLETED", 30, 0),
     }
     assert integrity.records_without_issue(store.records(), store.issues()).count() == 0
     assert integrity.records_without_job(store.records(), store.jobs()).count() == 0
@@ -124,6 +124,61 @@ def test_a_failed_run_stays_invisible(spark, landing, tmp_path, monkeypatch):
     assert store.records().count() == 34
 
 
+NAMES = ["app[1].log", "app1.log", "a {x,y} 50%*?+.log", "back\\slash.log", "%5B.log"]
+
+
+def test_file_names_are_no_patterns(spark, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    for k, name in enumerate(NAMES):
+        lines = [json.dumps({"time": "2030-01-01T00:00:00Z", "msg": f"{name} {i}"}) for i in range(k + 1)]
+        (folder / name).write_text("\n".join(lines) + "\n")
+    # A second format, so that files have to be read by name.
+    (folder / "g].json").write_text(json.dumps({"logName": "l", "timestamp": "2030-01-01T00:00:00Z", "textPayload": "g"}))
+    base = str(tmp_path / "store")
+    assert ingest(spark, f"{folder}/*", base, run="one").ingested_records == 16
+    store = Store(spark, base)
+    bodies = sorted(r["body"] for r in store.records().collect())
+    assert bodies == sorted([f"{name} {i}" for k, name in enumerate(NAMES) for i in range(k + 1)] + ["g"])
+    jobs = {r["filename"]: (r["status"], r["total_lines"], r["processed_lines"]) for r in store.jobs().collect()}
+    assert jobs == {**{n: ("COMPLETED", k + 1, k + 1) for k, n in enumerate(NAMES)}, "g].json": ("COMPLETED", 1, 1)}
+    query = streaming.start_import(spark, str(folder), f"{base}2", str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    assert Store(spark, f"{base}2").records().count() == 16
+
+
+def test_a_run_that_ended_after_its_publication_is_closed(spark, landing, tmp_path, monkeypatch):
+    base = str(tmp_path / "store")
+
+    def die(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr("logloom.plans.ingest.close_jobs", die)
+    with pytest.raises(KeyboardInterrupt):
+        ingest(spark, str(landing), base, run="one")
+    monkeypatch.undo()
+    store = Store(spark, base)
+    jobs = store.jobs().collect()
+    assert {r["status"] for r in jobs} == {"RUNNING"}
+    # What is known so far: lines that are written, with their errors.
+    assert sorted((r["processed_lines"], r["parse_errors"]) for r in jobs) == [(2, 0), (4, 2), (30, 0)]
+    ingest(spark, str(landing), base, run="one")
+    assert store.records().count() == 34
+    jobs = store.jobs().collect()
+    assert {r["status"] for r in jobs} == {"COMPLETED"}
+    assert sorted((r["processed_lines"], r["parse_errors"]) for r in jobs) == [(2, 0), (4, 2), (30, 0)]
+    assert all(r["finished_at"] >= r["created_at"] for r in jobs)
+    count = store.transitions().count()
+    ingest(spark, str(landing), base, run="one")
+    assert store.transitions().count() == count
+
+
+def test_envelope_events_are_exploded_alone(spark, lines):
+    plan = line_ops.expand_envelopes(lines("x"))._jdf.queryExecution().optimizedPlan().toString()
+    (generate,) = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    assert "value" not in generate.split("posexplode(")[0] and "_events" not in generate
+
+
 def test_heads_of_files(spark, landing, tmp_path):
     long = landing / "long.json"
     filler = ['{"logGroup":"g","logStream":"s","logEvents":[]}', "  "] * 30
@@ -131,8 +186,7 @@ def test_heads_of_files(spark, landing, tmp_path):
     heads = line_ops.read_heads(spark, [str(long)])
     values = [r["value"] for r in heads.orderBy("arrival").collect()]
     assert values == filler + [f"line {i}" for i in range(20)]
-    files = line_ops.file_sizes(spark, str(landing))
-    found = {path.rsplit("/", 1)[1]: kind for kind, paths in choose_formats(spark, files).items() for path in paths}
+    found = {path.rsplit("/", 1)[1]: kind for kind, paths in choose_formats(spark, str(landing)).items() for path in paths}
     assert found == {
         "a.jsonl": "json-lines", "b.json": "aws-cloudwatch", "c d.json": "gcp-cloud-logging",
         "long.json": "json-lines",
