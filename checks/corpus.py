@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.times import iso_text
-from logloom.operators import issues, records
-from logloom.plans.ingest import ingest
+from logloom.operators import records
+from logloom.plans.ingest import commit_run, ingest
 from logloom.plans.store import Store
 from logloom.session import configure, shared_dir
 from logloom.sources import render
@@ -32,16 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Rows over all cores where the input is fewer files than there are cores.
-
-    A single small file would leave all but one core idle. Tables of many files
-    are read as they are.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
-
-
 def _pick(table_: dict, key: Column) -> Column:
     entries = F.create_map(*[F.lit(x) for pair in table_.items() for x in pair])
     return F.try_element_at(entries, key)
@@ -56,7 +46,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("decimal(12,2)").cast("string"),
         F.lit(" from 10.0."), (user % 256).cast("string"), F.lit("."), k,
     )
-    events = spread(table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events")
     return events.select(
         F.col("event_id").alias("sequence"),
         F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("timestamp"),
@@ -134,7 +124,7 @@ def mixed_lines(spark: SparkSession, sf_dir: str, damaged: bool = True) -> DataF
     )
 
 
-def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def built_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all events, built without a detour over text."""
     drafts = log_events(spark, sf_dir).select(
         arrival(F.lit("events")),
@@ -158,13 +148,26 @@ def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("attributes"),
         F.lit("json-lines").alias("source_type"),
     )
-    whole = records.assemble(drafts, OBSERVED_AT, F.lit(JOB))
-    return whole.drop("error_code")
+    return records.assemble(drafts, OBSERVED_AT, F.lit(JOB))
+
+
+def canonical_store(spark: SparkSession, sf_dir: str) -> Store:
+    """Store with a record for every event; lists and dashboards read it as users do."""
+    key = (spark.sparkContext.applicationId, sf_dir, "canonical")
+    if key not in _STORES:
+        store = Store(spark, f"{new_folder(spark)}/store")
+        store.write_lines(built_records(spark, sf_dir), "canonical")
+        commit_run(store, "canonical", OBSERVED_AT)
+        _STORES[key] = store.base
+    return Store(spark, _STORES[key])
+
+
+def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_store(spark, sf_dir).records()
 
 
 def canonical_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = issues.fold(records.occurrences(canonical_records(spark, sf_dir)))
-    return issues.opened(folded)
+    return canonical_store(spark, sf_dir).issues()
 
 
 # --- files and stores on shared storage -------------------------------------
@@ -186,11 +189,9 @@ def write_landing(
     rows = mixed_lines(spark, sf_dir).where(F.lit(True) if when is None else when).select(
         "value", "file", F.col("arrival.row").alias("sequence")
     )
-    # Cut by place in the table, not by service: no task holds all of a large one,
-    # and the files of a service follow one another in time.
+    # Each split of the table writes its own files, so no task holds all of a service.
     (
-        rows.repartitionByRange(spark.sparkContext.defaultParallelism, "sequence")
-        .sortWithinPartitions("file", "sequence")
+        rows.sortWithinPartitions("file", "sequence")
         .drop("sequence")
         .write.partitionBy("file")
         .text(landing)

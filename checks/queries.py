@@ -422,7 +422,7 @@ def spans_rebuild_text(spark, sf_dir):
                 F.lit(name).alias("source"), F.col(column).alias("text")
             )
         )
-    texts = corpus.spread(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    texts = parts[0].unionByName(parts[1]).unionByName(parts[2])
     spans = tokenizer.tokenize(F.col("text"))
     rebuilt = F.array_join(F.transform(spans, lambda s: s["value"]), "")
     return (
@@ -738,14 +738,16 @@ def orphan_records(spark, sf_dir):
     store = corpus.ingested(spark, sf_dir)
     stray = integrity.records_without_issue(store.records(), store.issues())
     jobless = integrity.records_without_job(store.records(), store.jobs())
-    found = stray.select(F.lit("issue").alias("lacks")).unionByName(
-        jobless.select(F.lit("job").alias("lacks"))
-    )
-    return found.agg(
-        F.count_if(F.col("lacks") == "issue").alias("without_issue"),
-        F.count_if(F.col("lacks") == "job").alias("without_job"),
+    found = stray.select(F.lit("issue").alias("lacks"), "records").unionByName(
+        jobless.select(F.lit("job").alias("lacks"), "records")
     )
 
+    def lacking(what: str) -> Column:
+        counted = F.sum(F.when(F.col("lacks") == what, F.col("records")))
+        return F.coalesce(counted, F.lit(0)).cast("bigint").alias(f"without_{what}")
+
+    return found.agg(lacking("issue"), lacking("job"))
+
 
 # --- jobs -----------------------------------------------------------------------------------
 

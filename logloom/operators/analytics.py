@@ -17,9 +17,6 @@ SPIKE_FACTOR = 3
 
 Instant = str | datetime
 
-# Up to this many buckets a series is small enough to send to every executor.
-_SMALL_SERIES = 100_000
-
 
 def _errors():
     return F.count_if(F.col("severity_number") >= severity.ERROR)
@@ -45,9 +42,6 @@ def error_rate(records: DataFrame, start: Instant, end: Instant) -> DataFrame:
         .groupBy(F.date_trunc(window.bucket_unit(), "timestamp").alias("bucket"))
         .agg(F.count(F.lit(1)).alias("total"), _errors().alias("errors"))
     )
-    # The aggregate has at most one row per bucket of the window.
-    if window.bucket_count() <= _SMALL_SERIES:
-        counted = F.broadcast(counted)
     total = F.coalesce("total", F.lit(0)).cast("bigint")
     errors = F.coalesce("errors", F.lit(0)).cast("bigint")
     return (
