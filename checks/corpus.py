@@ -214,3 +214,64 @@ def ingested(spark: SparkSession, sf_dir: str) -> Store:
 
 def shown(instant: str) -> Column:
     return iso_text(F.col(instant)).alias(instant)
+
+
+SERVICES = [*(f"svc-{k}" for k in range(7)), "none"]
+
+
+def odd_names(spark: SparkSession, sf_dir: str) -> Store:
+    """Store imported from folders whose names hold the signs of patterns."""
+    folder = new_folder(spark)
+    rows = mixed_lines(spark, sf_dir)
+    for k, service in enumerate(SERVICES):
+        name = f"in [{k}] {{x,y}} 50%*?+ {service}"
+        rows.where(F.col("file") == service).select("value").write.text(f"{folder}/landing/{name}")
+    ingest(spark, f"{folder}/landing/*", f"{folder}/store", run="odd", now=OBSERVED_AT)
+    return Store(spark, f"{folder}/store")
+
+
+def envelope_store(spark: SparkSession, sf_dir: str) -> Store:
+    """Store imported from envelopes: one with all events of the first user, else 40 in each."""
+    folder = new_folder(spark)
+    event = F.struct(
+        F.col("sequence").cast("string").alias("id"),
+        F.unix_millis("timestamp").alias("timestamp"),
+        F.col("body").alias("message"),
+    )
+    part = F.when(F.col("user_id") == 0, 0).otherwise(F.floor(F.col("sequence") / 40))
+    envelopes = (
+        log_events(spark, sf_dir)
+        .groupBy("user_id", part.alias("part"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("sequence"), event.alias("event")))).alias("rows"))
+    )
+    line = F.to_json(
+        F.struct(
+            F.concat(F.lit("/aws/lambda/u"), F.col("user_id")).alias("logGroup"),
+            F.lit("s").alias("logStream"),
+            F.col("rows.event").alias("logEvents"),
+        )
+    )
+    envelopes.select(line.alias("value")).write.text(f"{folder}/landing")
+    ingest(spark, f"{folder}/landing", f"{folder}/store", run="envelopes", now=OBSERVED_AT)
+    return Store(spark, f"{folder}/store")
+
+
+def kinds_message() -> Column:
+    """A message with one kind of variable, by turns all nine."""
+    digest, user = F.md5(F.col("sequence").cast("string").cast("binary")), F.col("user_id")
+    cuts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    forms = [
+        F.concat(F.lit("seen "), iso_text(F.col("timestamp")), F.lit(" ok")),
+        F.concat(F.lit("job "), F.concat_ws("-", *cuts), F.lit(" done")),
+        F.concat(F.lit("to user"), user, F.lit(".x@shop.test now")),
+        F.concat(F.lit("peer fd00::"), F.lower(F.hex(user)), F.lit(" up")),
+        F.concat(F.lit("from 10.0."), user % 256, F.lit(".7 end")),
+        F.concat(F.lit("key "), digest, F.lit(" kept")),
+        F.concat(F.lit("took "), F.col("sequence"), F.lit("ms")),
+        F.concat(F.lit('got "'), F.col("body"), F.lit('" back')),
+        F.concat(F.lit("GET /users/"), F.col("sequence"), F.lit("/view ok")),
+    ]
+    message = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        message = F.when(F.col("sequence") % 9 == k, form).otherwise(message)
+    return message

@@ -326,6 +326,29 @@ SELECT * FROM (
   UNION ALL SELECT 'variable', 'ipv4', count(*) FROM events
   UNION ALL SELECT 'text', NULL, 4 * count(*) FROM events) WHERE n > 0"""
 
+_KINDS_MESSAGE = [
+    ("'seen |timestamp| ok'", f"'timestamp=' || {_iso('t')}"),
+    (
+        "'job |uuid| done'",
+        "'uuid=' || substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-' || substr(d, 13, 4) || '-'"
+        " || substr(d, 17, 4) || '-' || substr(d, 21, 12)",
+    ),
+    ("'to |email| now'", "'email=user' || user_id || '.x@shop.test'"),
+    ("'peer |ipv6| up'", "'ipv6=fd00::' || lower(printf('%x', user_id))"),
+    ("'from |ipv4| end'", "'ipv4=10.0.' || (user_id % 256) || '.7'"),
+    ("'key |hex| kept'", "'hex=' || d"),
+    ("'took |number|ms'", "'number=' || event_id"),
+    ("'got \"|quoted|\" back'", "'quoted=' || body"),
+    ("'GET /users/|path-id|/view ok'", "'path-id=' || event_id"),
+]
+ORACLE["span_kinds_all"] = with_events(
+    "SELECT event_id, CASE event_id % 9 "
+    + " ".join(f"WHEN {k} THEN {shape}" for k, (shape, _) in enumerate(_KINDS_MESSAGE))
+    + " END AS structure, CASE event_id % 9 "
+    + " ".join(f"WHEN {k} THEN {value}" for k, (_, value) in enumerate(_KINDS_MESSAGE))
+    + " END AS found FROM (SELECT *, md5(CAST(event_id AS VARCHAR)) AS d FROM ev)"
+)
+
 ORACLE["spans_rebuild_text"] = """
 SELECT 'documents' AS source, count(*) AS texts, 0 AS changed FROM documents
 UNION ALL SELECT 'conversations', count(*), 0 FROM conversations
@@ -625,6 +648,18 @@ SELECT coalesce(svc, 'none') AS service, 'completed' AS status, count(*) AS tota
   count(*) FILTER (turn NOT IN (5,6,7,8)) AS ingested_records
 FROM ev GROUP BY 1""")
 
+ORACLE["ingest_odd_names"] = with_events("""
+SELECT coalesce(svc, 'none') AS service, 'completed' AS status, count(*) AS lines,
+  count(*) FILTER (turn NOT IN (5,6,7,8)) AS records, count(*) FILTER (turn IN (5,6,7,8)) AS rejects
+FROM ev GROUP BY 1""")
+
+ORACLE["ingest_envelopes"] = with_events(f"""
+SELECT 'u' || user_id AS service_name, count(*) AS events,
+  count(DISTINCT CASE WHEN user_id = 0 THEN 0 ELSE event_id // 40 END) AS envelopes,
+  min(body) AS first_body, max(body) AS last_body,
+  {_iso('min(t)')} AS first_seen, {_iso('max(t)')} AS last_seen
+FROM ev GROUP BY user_id""")
+
 ORACLE["reprocess"] = with_events(f"""
 SELECT {KIND} AS source_type, {ERROR_CODE} AS error_code, count(*) AS n,
   count(*) FILTER (turn NOT IN (5,6,7,8)) AS bodies

@@ -412,6 +412,18 @@ def span_kinds(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def span_kinds_all(spark, sf_dir):
+    """Structure and values of messages with each of the nine kinds."""
+    message = corpus.kinds_message()
+    spans = F.filter(tokenizer.tokenize(message), lambda s: s["type"] == "variable")
+    return corpus.log_events(spark, sf_dir).select(
+        F.col("sequence").alias("event_id"),
+        F.replace(tokenizer.structure(message), F.lit("\x1f"), F.lit("|")).alias("structure"),
+        F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit("="), s["value"])), ";").alias("found"),
+    )
+
+
 @query
 def spans_rebuild_text(spark, sf_dir):
     """Whole free texts: the spans of a text add up to the text."""
@@ -879,6 +891,39 @@ def ingest_jobs(spark, sf_dir):
     )
 
 
+@query
+def ingest_odd_names(spark, sf_dir):
+    """Every file is read once, whatever its folder is called."""
+    store = corpus.odd_names(spark, sf_dir)
+    service = F.regexp_extract("storage_key", "(svc-[0-6]|none)/[^/]*$", 1).alias("service")
+    jobs = store.jobs().select("id", service, F.lower("status").alias("status"), "processed_lines")
+    good = store.records().groupBy(F.col("import_job_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    bad = store.rejects().groupBy(F.col("import_job_id").alias("id")).agg(F.count(F.lit(1)).alias("m"))
+    return (
+        jobs.join(good, "id", "left")
+        .join(bad, "id", "left")
+        .groupBy("service", "status")
+        .agg(
+            F.sum("processed_lines").alias("lines"),
+            F.sum(F.coalesce("n", F.lit(0))).alias("records"),
+            F.sum(F.coalesce("m", F.lit(0))).alias("rejects"),
+        )
+    )
+
+
+@query
+def ingest_envelopes(spark, sf_dir):
+    """Events of envelopes, landed as files and imported."""
+    return corpus.envelope_store(spark, sf_dir).records().groupBy("service_name").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_distinct("arrival.file", "arrival.row").alias("envelopes"),
+        F.min("body").alias("first_body"),
+        F.max("body").alias("last_body"),
+        iso_text(F.min("timestamp")).alias("first_seen"),
+        iso_text(F.max("timestamp")).alias("last_seen"),
+    )
+
+
 @query
 def reprocess(spark, sf_dir):
     """Stored lines parsed again; good and bad ones come out as before."""
