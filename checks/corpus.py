@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.times import iso_text
 from logloom.operators import records
+from logloom.plans.actions import store_actions
 from logloom.plans.ingest import commit_run, ingest
 from logloom.plans.store import Store
 from logloom.session import configure, shared_dir
@@ -216,6 +217,21 @@ def shown(instant: str) -> Column:
     return iso_text(F.col(instant)).alias(instant)
 
 
+def resolved_store(spark: SparkSession, sf_dir: str, split: str) -> Store:
+    """Store with the events before ``split``, all issues resolved then, and the later events."""
+    store = Store(spark, f"{new_folder(spark)}/store")
+    whole = built_records(spark, sf_dir)
+    store.write_lines(whole.where(F.col("timestamp") < F.lit(split).cast("timestamp")), "early")
+    commit_run(store, "early", OBSERVED_AT)
+    actions = store.issues().select(
+        "fingerprint", F.lit("resolve").alias("action"), F.lit(split).cast("timestamp").alias("at")
+    )
+    store_actions(store, actions, "resolve", OBSERVED_AT)
+    store.write_lines(whole.where(F.col("timestamp") >= F.lit(split).cast("timestamp")), "late")
+    commit_run(store, "late", OBSERVED_AT)
+    return store
+
+
 SERVICES = [*(f"svc-{k}" for k in range(7)), "none"]
 
 

@@ -514,6 +514,8 @@ ORACLE["regressions"] = with_events(f"""{_HALVES}
 SELECT fp AS fingerprint, sample AS sample_message, sev AS severity, n AS event_count,
   {_iso('first_seen')} AS first_seen, services FROM merged WHERE known AND hit""")
 
+ORACLE["stored_regressions"] = ORACLE["regressions"]
+
 # The state machine stepped action by action.
 _STEPS = """
 WITH RECURSIVE first AS (
@@ -641,6 +643,7 @@ SELECT sfp AS fingerprint, arg_min(sbody, event_id) AS sample_message,
 FROM stored GROUP BY sfp""")
 ORACLE["ingest_issues"] = _STORED_ISSUES
 ORACLE["stream_issues"] = _STORED_ISSUES
+ORACLE["reprocess_issues"] = _STORED_ISSUES
 
 ORACLE["ingest_jobs"] = with_events("""
 SELECT coalesce(svc, 'none') AS service, 'completed' AS status, count(*) AS total_lines,

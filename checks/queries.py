@@ -732,6 +732,12 @@ def regressions(spark, sf_dir):
     )
 
 
+@query
+def stored_regressions(spark, sf_dir):
+    """Issues resolved in the store that came back with a later import."""
+    return _summary_view(analytics.regressions(corpus.resolved_store(spark, sf_dir, SPLIT).issues()))
+
+
 @query
 def blast_radius(spark, sf_dir):
     spread = analytics.blast_radius(corpus.canonical_records(spark, sf_dir), *DAYS)
@@ -933,6 +939,15 @@ def reprocess(spark, sf_dir):
     )
 
 
+@query
+def reprocess_issues(spark, sf_dir):
+    """Issues of the stored lines, parsed, stored and folded again."""
+    again = ingest_plan.reprocess_into(
+        corpus.ingested(spark, sf_dir), f"{corpus.new_folder(spark)}/store", corpus.OBSERVED_AT
+    )
+    return _issue_view(again.issues()).drop("resolved_at")
+
+
 @query
 def stream_issues(spark, sf_dir):
     """The same events as a stream of files: they arrive in two waves, one batch each."""

@@ -258,9 +258,11 @@ def _outcome(store: Store, run: str, elapsed: int | None = None) -> Outcome:
     )
 
 
-def reprocess(store: Store, sources: Sequence[LogSource] = registry.SOURCES) -> DataFrame:
-    """Parse the stored lines again from their raw text, under the rules of today."""
-    stored = store.lines()
+def reprocess(
+    store: Store, sources: Sequence[LogSource] = registry.SOURCES, run: str | None = None
+) -> DataFrame:
+    """Parse the stored lines (of one run) again from their raw text, under the rules of today."""
+    stored = store.lines() if run is None else store.lines().where(F.col("run") == run)
     parsed = [
         source.parse(
             stored.where(F.col("source_type") == source.source_type).select(
@@ -270,3 +272,30 @@ def reprocess(store: Store, sources: Sequence[LogSource] = registry.SOURCES) ->
         for source in sources
     ]
     return reduce(DataFrame.unionByName, parsed)
+
+
+def reprocess_into(
+    store: Store,
+    base: str,
+    now: datetime | None = None,
+    sources: Sequence[LogSource] = registry.SOURCES,
+) -> Store:
+    """All imports of ``store`` again, as a store of its own below ``base``.
+
+    Records, rejects, fingerprints and issues are what today's rules make of the
+    stored lines; runs, jobs and places of lines stay the same. Runs already there
+    are left alone, so an interrupted call can be repeated. State changes that users
+    made are not carried over, since fingerprints may differ.
+    """
+    configure(store.spark)
+    now = parse_instant(now or datetime.now(timezone.utc))
+    target = Store(store.spark, base)
+    imports = store.runs().where("processed_lines > 0").orderBy("issues_version", "run")
+    for row in imports.select("run").collect():
+        run = row["run"]
+        if target.is_published(run):
+            continue
+        drafts = reprocess(store, sources, run)
+        target.write_lines(records.assemble(drafts, now, job_id(run, F.col("arrival.file"))), run)
+        commit_run(target, run, now)
+    return target

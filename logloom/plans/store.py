@@ -5,6 +5,7 @@ Layout under the base folder::
     lines/run=<run>/outcome=<record|reject>/event_date=<day>/...   append only
     issues/version=<n>/...                                       whole snapshots
     jobs/...                                     one row per job transition
+    refused/run=<run>/...                          actions that could not be taken
     runs/...                                     one row per published run
 
 Readers follow the ``runs`` table only, so the records and issues of a run
@@ -39,6 +40,15 @@ RUNS = T.StructType(
     ]
 )
 
+REFUSED = T.StructType(
+    [
+        T.StructField("fingerprint", T.StringType()),
+        T.StructField("action", T.StringType()),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("status", T.StringType()),
+    ]
+)
+
 
 class Store:
     def __init__(self, spark: SparkSession, base: str):
@@ -112,6 +122,10 @@ class Store:
     def jobs(self) -> DataFrame:
         return ledger.latest(self.transitions())
 
+    def refused(self, run: str) -> DataFrame:
+        """Actions of a run that no issue could take."""
+        return self.spark.read.schema(REFUSED).parquet(f"{self.base}/refused/run={run}")
+
     # --- writing ---
 
     def write_lines(self, lines: DataFrame, run: str) -> None:
@@ -138,6 +152,11 @@ class Store:
             f"{self.base}/issues/version={version}"
         )
 
+    def write_refused(self, refused: DataFrame, run: str) -> None:
+        refused.select(*[f.name for f in REFUSED]).write.mode("overwrite").parquet(
+            f"{self.base}/refused/run={run}"
+        )
+
     def append_jobs(self, rows: DataFrame) -> None:
         rows.select(*[f.name for f in schema.JOBS]).write.mode("append").parquet(
             f"{self.base}/jobs"

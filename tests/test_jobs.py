@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import analytics, integrity, listing
-from logloom.plans.ingest import EmptyInput, choose_formats, ingest, reprocess
+from logloom.plans.actions import store_actions
+from logloom.plans.ingest import EmptyInput, choose_formats, ingest, reprocess, reprocess_into
 from logloom.plans.store import Store
 from logloom.sources import lines as line_ops
 from logloom.streaming import ingest as streaming
@@ -179,6 +180,27 @@ def test_envelope_events_are_exploded_alone(spark, lines):
     assert "value" not in generate.split("posexplode(")[0] and "_events" not in generate
 
 
+def test_state_changes_and_lines_are_written_back(spark, landing, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    ingest(spark, str(landing), store.base, run="one")
+    at = F.lit("2026-01-01").cast("timestamp")
+    resolve = store.issues().select("fingerprint", F.lit("resolve").alias("action"), at.alias("at"))
+    assert store_actions(store, resolve, "close").count() == 0
+    assert {r["status"] for r in store.issues().collect()} == {"resolved"}
+    reopen = resolve.withColumn("action", F.lit("reopen"))
+    assert store_actions(store, reopen, "wrong").count() == 3
+    assert store_actions(store, resolve, "close").count() == 0
+    again = reprocess_into(store, f"{store.base}-again")
+    ingest(spark, str(landing / "a.jsonl"), store.base, run="two")
+    found = {r["sample_message"]: (r["status"], r["regression"]) for r in store.issues().collect()}
+    assert found == {
+        "disk 5 full": ("unresolved", True), "order 1 failed": ("resolved", False), "hello 0": ("resolved", False),
+    }
+    assert again.records().count() == 34 and again.rejects().count() == 2
+    assert {r["event_count"] for r in again.issues().collect()} == {2, 30}
+    assert reprocess_into(store, again.base).records().count() == 36
+
+
 def test_heads_of_files(spark, landing, tmp_path):
     long = landing / "long.json"
     filler = ['{"logGroup":"g","logStream":"s","logEvents":[]}', "  "] * 30
