@@ -488,9 +488,9 @@ def _heavy_words(texts: DataFrame, shards: int) -> np.ndarray:
                 )
 
     found = texts.mapInArrow(task, "word bigint, n bigint, total bigint")
-    sums = found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    total = F.broadcast(sums.agg(F.sum("total").alias("all")))
-    rows = sums.join(total, F.col("n") > F.col("all") * F.lit(share)).select("word").collect()
+    sums = stored(found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "frequent")
+    total = sums.agg(F.sum("total")).first()[0] or 0
+    rows = sums.where(F.col("n") > total * share).select("word").collect()
     return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
 
 
