@@ -112,12 +112,54 @@ def entries_of(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
+# Numbers with an exponent, as doubles are printed; strings and other text are stepped over.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_EXPONENT = r"-?[0-9]+(?:\.[0-9]+)?E-?[0-9]+"
+_TOKENS = rf'({_STRING}|{_EXPONENT}|-?[0-9]+(?:\.[0-9]+)?|[^"0-9-]++|.)'
+
+
+def _plain_or_short(number: Column) -> Column:
+    """A printed double as JSON writers spell it: in full from 1e-6 up to 1e21, else as 1e+21."""
+    exponent = F.regexp_extract(number, "E(-?[0-9]+)", 1).cast("int")
+    mantissa = F.regexp_replace(F.regexp_extract(number, "^([^E]+)E", 1), r"\.0$", "")
+
+    def full(scale: int) -> Column:
+        return F.regexp_replace(number.cast(f"decimal(38,{scale})").cast("string"), r"\.?0+$", "")
+
+    sign = F.when(exponent > 0, "+").otherwise("")
+    return (
+        F.when(exponent.between(0, 20), full(16))
+        .when(exponent.between(-6, -1), full(24))
+        .otherwise(F.concat(mantissa, F.lit("e"), sign, exponent.cast("string")))
+    )
+
+
 def short_numbers(json: Column) -> Column:
-    """Drop the zero padding of fractions outside string literals."""
-    return F.when(
+    """Numbers outside string literals as JSON writers spell them.
+
+    Zero padding of fractions goes, and doubles lose an exponent that is not needed.
+    """
+    padded = F.when(
         F.rlike(json, F.lit(_PADDED)), F.regexp_replace(json, _STRING_OR_PADDED, "$1$2$3")
     ).otherwise(json)
 
+    def spelled(text: Column) -> Column:
+        tokens = F.regexp_extract_all(text, F.lit(f"(?s){_TOKENS}"), F.lit(1))
+        return F.array_join(
+            F.transform(
+                tokens,
+                lambda token: F.when(
+                    F.rlike(token, F.lit(f"^{_EXPONENT}$")), _plain_or_short(token)
+                ).otherwise(token),
+            ),
+            "",
+        )
+
+    return once(
+        padded,
+        lambda text: F.when(F.rlike(text, F.lit("[0-9]E-?[0-9]")), spelled(text)).otherwise(text),
+    )
+
 
 def without(entries: Column, keys) -> Column:
     """Map without the given keys (a list of names or an ARRAY<STRING> column)."""

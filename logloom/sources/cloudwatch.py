@@ -110,4 +110,4 @@ class AwsCloudWatch:
             ),
             lambda _, value: value.isNotNull(),
         )
-        return F.to_json(present)
+        return jsontext.short_numbers(F.to_json(present))

@@ -177,4 +177,6 @@ class GcpCloudLogging:
             F.create_map().cast("map<string,variant>"),
         )
         merged = jsontext.overlay(payload, F.map_from_entries(extra))
-        return F.to_json(jsontext.without(merged, list(schema.TYPED_ATTRIBUTES)))
+        return jsontext.short_numbers(
+            F.to_json(jsontext.without(merged, list(schema.TYPED_ATTRIBUTES)))
+        )

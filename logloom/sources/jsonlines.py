@@ -172,6 +172,8 @@ class JsonLines:
             timestamp=F.col("time"),
             severity_number=level["severity_number"],
             severity_text=level["severity_text"],
-            attributes=F.to_json(jsontext.without(F.col("entries"), F.col("consumed"))),
+            attributes=jsontext.short_numbers(
+                F.to_json(jsontext.without(F.col("entries"), F.col("consumed")))
+            ),
             **picked,
         )

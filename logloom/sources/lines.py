@@ -65,7 +65,7 @@ def expand_envelopes(lines: DataFrame) -> DataFrame:
         own = F.coalesce(
             jsontext.entries_of(event), F.create_map(F.lit("message"), event)
         )
-        return F.to_json(jsontext.overlay(envelope, own))
+        return jsontext.short_numbers(F.to_json(jsontext.overlay(envelope, own)))
 
     # The finished lines of an envelope are one array, and a line that is no envelope
     # is an array of itself: nothing but the arrival passes beside what is exploded.

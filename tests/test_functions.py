@@ -207,6 +207,20 @@ def test_number_spelling(spark):
     assert text == '{"b":"1.0,2.50","a":[1,2.5,10,-0.1,1e3],"c":"x\\"1.0"}'
 
 
+def test_exponents(spark):
+    cases = {
+        "1e5": "100000", "1e21": "1e+21", "1e20": "100000000000000000000", "1.5e-3": "0.0015", "1e-6": "0.000001",
+        "1e-7": "1e-7", "-2.25E10": "-22500000000", "1.7976931348623157e308": "1.7976931348623157e+308",
+        "123456789.125": "123456789.125", "0.0": "0", "7": "7", "-0.0001": "-0.0001",
+    }
+    rows = [(f'{{"a":[{number}],"t":"{number} 1.0E9 \\\\\\""}}', want) for number, want in cases.items()]
+    frame = spark.createDataFrame(rows, "t string, want string")
+    found = frame.select(jsontext.short_numbers(F.try_parse_json("t").cast("string")), "t", "want").collect()
+    for got, text, want in found:
+        number = text[6 : text.index("]")]
+        assert got == text.replace(f"[{number}]", f"[{want}]")
+
+
 def test_severity(spark):
     cases = [
         ('"error"', None, 17, "error"), ('"  ErRoR "', None, 17, "  ErRoR "), ('"DEFAULT"', None, None, "DEFAULT"),
