@@ -644,6 +644,20 @@ FROM stored GROUP BY sfp""")
 ORACLE["ingest_issues"] = _STORED_ISSUES
 ORACLE["stream_issues"] = _STORED_ISSUES
 ORACLE["reprocess_issues"] = _STORED_ISSUES
+ORACLE["stream_batches"] = _STORED_ISSUES
+
+ORACLE["forced_type"] = with_events(f"""
+SELECT {ERROR_CODE} AS error_code, 'json-lines' AS source_type, count(*) AS n FROM ev GROUP BY 1""")
+
+_NOW = "TIMESTAMP '2024-01-20 06:00:00'"
+ORACLE["time_presets"] = with_events(f"""
+SELECT count(*) FILTER (t >= {_NOW} - INTERVAL 1 HOUR AND t < {_NOW}) AS in_1h,
+  count(*) FILTER (t >= {_NOW} - INTERVAL 24 HOUR AND t < {_NOW}) AS in_24h,
+  count(*) FILTER (t >= {_NOW} - INTERVAL 7 DAY AND t < {_NOW}) AS in_7d,
+  count(*) FILTER (t >= {_NOW} - INTERVAL 30 DAY AND t < {_NOW}) AS in_30d,
+  count(*) FILTER (t >= {_NOW} - INTERVAL 24 HOUR AND t < {_NOW}) AS in_ever,
+  count(*) FILTER (t >= TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-12') AS in_custom
+FROM ev""")
 
 ORACLE["ingest_jobs"] = with_events("""
 SELECT coalesce(svc, 'none') AS service, 'completed' AS status, count(*) AS total_lines,

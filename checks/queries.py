@@ -32,6 +32,7 @@ ODD = ("2024-01-10T00:00:30Z", "2024-01-10T00:07:30Z")
 INVERTED = ("2024-01-12T00:00:00Z", "2024-01-10T00:00:00Z")
 SPIKE = ("2024-01-10T03:00:00Z", "2024-01-10T06:00:00Z")
 SPLIT = "2024-01-15T00:00:00Z"
+NOW = "2024-01-20T06:00:00Z"
 
 
 def query(function: Query) -> Query:
@@ -964,6 +965,43 @@ def stream_issues(spark, sf_dir):
     return _issue_view(Store(spark, f"{folder}/store").issues()).drop("resolved_at")
 
 
+@query
+def stream_batches(spark, sf_dir):
+    """The same files in batches of three; the size of a batch changes no issue."""
+    folder = corpus.new_folder(spark)
+    corpus.write_landing(spark, sf_dir, f"{folder}/landing")
+    streaming.start_import(
+        spark, f"{folder}/landing/*", f"{folder}/store", f"{folder}/progress",
+        max_files_per_batch=3, now=corpus.OBSERVED_AT,
+    ).awaitTermination()
+    return _issue_view(Store(spark, f"{folder}/store").issues()).drop("resolved_at")
+
+
+@query
+def forced_type(spark, sf_dir):
+    """All lines of all formats taken as JSON Lines."""
+    lines = corpus.mixed_lines(spark, sf_dir).select("arrival", "value")
+    drafts = registry.parse_as(lines, "json-lines")
+    return drafts.groupBy("error_code", "source_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def time_presets(spark, sf_dir):
+    """Records in each named range before a moment; an unknown name is a day."""
+    found = corpus.canonical_records(spark, sf_dir)
+    windows = {name: times.time_range(name, NOW) for name in ("1h", "24h", "7d", "30d", "ever")}
+    windows["custom"] = times.time_range("custom", NOW, *HOURS)
+    return found.agg(
+        *[
+            F.count_if(
+                (F.col("timestamp") >= times.instant_lit(w.start))
+                & (F.col("timestamp") < times.instant_lit(w.end))
+            ).alias(f"in_{name}")
+            for name, w in windows.items()
+        ]
+    )
+
+
 @query
 def render_lines(spark, sf_dir):
     """Rendered lines hold what the events hold, in each format."""

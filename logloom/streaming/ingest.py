@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logloom import schema
-from logloom.functions.times import instant_lit, parse_instant
-from logloom.operators import ledger, records
-from logloom.plans.ingest import commit_run, ingest, job_id, totals_by_job
+from logloom.functions.times import parse_instant
+from logloom.operators import records
+from logloom.plans.ingest import close_jobs, commit_run, file_name, ingest, job_id
 from logloom.plans.store import Store
 from logloom.session import configure
 from logloom.sources import lines as line_ops
@@ -69,10 +68,12 @@ def import_batch(
     spark = configure(batch.sparkSession)
     run = f"{name}-{batch_id}"
     store = Store(spark, base)
+    now = parse_instant(now or datetime.now(timezone.utc))
     if store.is_published(run):
+        # The batch may have ended between its publication and the closing of its jobs.
+        _close_batch(store, run, source_type, now, None)
         return
     started = time.monotonic()
-    now = parse_instant(now or datetime.now(timezone.utc))
     lines = line_ops.expand_envelopes(
         batch.select(
             F.struct(
@@ -86,31 +87,24 @@ def import_batch(
     whole = records.assemble(drafts, now, job_id(run, F.col("arrival.file")))
     store.write_lines(whole, run)
     commit_run(store, run, now)
+    _close_batch(store, run, source_type, now, int((time.monotonic() - started) * 1000))
+
 
-    at = instant_lit(now)
-    elapsed = int((time.monotonic() - started) * 1000)
+def _close_batch(
+    store: Store, run: str, source_type: str | None, now: datetime, elapsed: int | None
+) -> None:
+    """One job per channel of the batch, opened and closed with it."""
     files = store.run_lines(run).select(
-        "import_job_id", F.col("arrival.file").alias("file")
+        F.col("import_job_id").alias("id"), F.col("arrival.file").alias("file")
     ).distinct()
-    done = files.join(totals_by_job(store.run_lines(run)), "import_job_id").select(
-        F.col("import_job_id").alias("id"),
+    opened = files.select(
+        "id",
         F.lit(run).alias("run"),
-        F.regexp_extract("file", r"([^/]+)\z", 1).alias("filename"),
+        file_name(F.col("file")).alias("filename"),
         F.col("file").alias("storage_key"),
         F.lit(source_type).alias("source_type"),
-        "processed_lines",
-        "parse_errors",
-    )
-    store.append_jobs(
-        ledger.transition(
-            done,
-            schema.COMPLETED,
-            at,
-            created_at=at,
-            total_lines=F.col("processed_lines"),
-            elapsed_ms=F.lit(elapsed),
-        )
     )
+    close_jobs(store, run, opened, now, now + timedelta(milliseconds=elapsed or 0), elapsed)
 
 
 def read_stream(
@@ -172,3 +166,41 @@ def start_import(
     writer = observed.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return writer.trigger(**trigger).start()
+
+
+def start_lines(
+    lines: DataFrame,
+    base: str,
+    checkpoint: str,
+    *,
+    name: str = "stream",
+    source_type: str | None = None,
+    every: str | None = None,
+    now: datetime | None = None,
+    sources: Sequence[LogSource] = registry.SOURCES,
+    fallback: LogSource = registry.FALLBACK,
+) -> StreamingQuery:
+    """Start the import of a stream of ``value, file, block`` rows, such as a message queue's.
+
+    ``file`` names the channel that a line came from. Without ``every`` it takes what
+    is there and stops.
+    """
+    configure(lines.sparkSession)
+    registry.check_source_type(source_type, sources)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            import_batch(
+                batch,
+                batch_id,
+                base,
+                name=name,
+                source_type=source_type,
+                now=now,
+                sources=sources,
+                fallback=fallback,
+            )
+
+    writer = lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return writer.trigger(**trigger).start()

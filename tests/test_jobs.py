@@ -252,6 +252,17 @@ def test_stream_equals_batch(spark, landing, tmp_path):
     assert stream.runs().count() == 3
 
 
+def test_a_stream_of_lines(spark, tmp_path):
+    rows = [(line, name, 0) for name, lines in FILES.items() for line in lines]
+    schema = "value string, file string, block bigint"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "queue"))
+    base = str(tmp_path / "store")
+    for _ in range(2):
+        lines = spark.readStream.schema(schema).parquet(str(tmp_path / "queue"))
+        streaming.start_lines(lines, base, str(tmp_path / "progress")).awaitTermination()
+    assert Store(spark, base).records().count() == 34 and Store(spark, base).runs().count() == 1
+
+
 def test_batches_of_a_stream_without_files(spark, tmp_path):
     base = str(tmp_path / "store")
     rows = [(line, name, 0) for name, lines in FILES.items() for line in lines]
