@@ -42,7 +42,7 @@ def exact_dedup(
     share its fate; null is the smallest id. Empty tables give empty results. Input
     columns named like a result column are replaced.
     """
-    docs = without(docs, [*RESULT, "_size", "_prefix", "_bucket", "_again", "_hash", "_best", "_n"])
+    docs = without(docs, [*RESULT, "_size", "_prefix", "_bucket", "_again", "_hash", "_best", "_n", "_fan", "_salt"])
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(text)
     prefix = F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX)))
