@@ -59,7 +59,8 @@ def parts_for(amount: float, each: float, least: int = 1) -> int:
     return max(least, int(-(-amount // each)))
 
 
-HEAVY_SHARE = 1000
+#: Keys with more than a thousandth of the rows are dealt over several tasks; few rows never are.
+HEAVY_SHARE, HEAVY_LEAST = 1000, 200
 
 
 def join_unique(
@@ -82,11 +83,13 @@ def join_unique(
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = F.broadcast(
-        counts.where(F.col("n") * HEAVY_SHARE > total).select(
-            *keys, F.ceil(F.col("n") * HEAVY_SHARE / F.lit(max(total, 1))).cast("int").alias("_fan")
-        )
-    )
+    often = (F.col("n") > HEAVY_LEAST) & (F.col("n") * HEAVY_SHARE > total)
+    fan = F.ceil(F.col("n") * HEAVY_SHARE / F.lit(max(total, 1))).cast("int").alias("_fan")
+    listed = counts.where(often).select(*keys, fan)
+    rows = listed.collect()
+    if not rows:
+        return left.join(right, keys, how)
+    heavy = F.broadcast(left.sparkSession.createDataFrame(rows, listed.schema))
     salt = F.when(
         F.col("_fan").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_fan")).cast("int")
     ).otherwise(0)
