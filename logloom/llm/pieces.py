@@ -27,7 +27,7 @@ RESULT = ("pieces",)
 _SPACE = 0x2581
 _OUTSIDE = 1 << 21  # symbols of signs that the vocabulary lacks, plus the code point
 _NONE = np.iinfo(np.int64).max
-_SLICE = 1 << 22
+_SLICE = 1 << 21
 
 
 class PieceModel:
