@@ -193,19 +193,17 @@ def identify(docs: DataFrame, filters: LanguageFilter, text_col: str = "text") -
         names = pa.array([*known.languages, UNDETERMINED])
         plain = re.compile("[A-Za-z]")
         for batch in batches:
-            column = batch.column(place)
-            data, starts = text_buffer(column)
-            best, score = np.zeros(len(column), np.int64), np.zeros(len(column))
-            for a, z in slices(starts, _SLICE):
-                cut = starts[a : z + 1]
-                best[a:z], score[a:z] = known.decide(data[cut[0] : cut[-1]], cut - cut[0])
-            # Most texts have an ASCII letter early on; only the others are read through.
-            for i, text in enumerate(column.to_pylist()):
-                if text is None or not (plain.search(text) or any(map(str.isalpha, text))):
-                    best[i], score[i] = len(known.languages), 0.0
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, names.take(pa.array(best)), pa.array(score)],
-                [*batch.schema.names, "lang_pred", "score"],
-            )
+            data, starts = text_buffer(batch.column(place))
+            for a, z in slices(starts, _SLICE):  # handed on slice by slice, so that little is held
+                cut, part = starts[a : z + 1], batch.slice(a, z - a)
+                best, score = known.decide(data[cut[0] : cut[-1]], cut - cut[0])
+                # Most texts have an ASCII letter early on; only the others are read through.
+                for i, text in enumerate(part.column(place).to_pylist()):
+                    if text is None or not (plain.search(text) or any(map(str.isalpha, text))):
+                        best[i], score[i] = len(known.languages), 0.0
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, names.take(pa.array(best)), pa.array(score)],
+                    [*part.schema.names, "lang_pred", "score"],
+                )
 
     return docs.mapInArrow(task, schema)

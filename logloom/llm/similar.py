@@ -150,24 +150,25 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: st
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = text_buffer(batch.column(0))
-            keys = batch.column(1).to_pylist()
-            sets: list[bytes | None] = [None] * batch.num_rows
-            for a, z in slices(starts, _SLICE):
-                cut = starts[a : z + 1]
+            for a, z in slices(starts, _SLICE):  # handed on slice by slice, so that little is held
+                cut, part = starts[a : z + 1], batch.slice(a, z - a)
                 values, owner = shingles(data[cut[0] : cut[-1]], cut - cut[0])
                 if not len(values):
                     continue
                 firsts = np.flatnonzero(np.diff(owner, prepend=-1))
                 one, two = np.add.reduceat(mix(values), firsts), np.add.reduceat(mix(~values), firsts)
                 ends = np.append(firsts[1:], len(values))
-                for k, doc in enumerate((owner[firsts] + a).tolist()):
+                keys = part.column(1).to_pylist()
+                rows, sets = [], []
+                for k, doc in enumerate(owner[firsts].tolist()):
                     # Another row may have the same id.
                     if np.array([one[k], two[k]]).tobytes() == keys[doc]:
-                        sets[doc] = values[firsts[k] : ends[k]].tobytes()
-            out = pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], pa.array(sets, pa.binary())], [*batch.schema.names[2:], "shingles"]
-            )
-            yield out.filter(pa.array([s is not None for s in sets], pa.bool_()))
+                        rows.append(doc)
+                        sets.append(values[firsts[k] : ends[k]].tobytes())
+                picked = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*picked.columns[2:], pa.array(sets, pa.binary())], [*part.schema.names[2:], "shingles"]
+                )
 
     kinds = "node bigint, component bigint, size bigint, copies bigint, signature binary, shingles binary"
     return chosen.mapInArrow(task, kinds)
