@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +24,15 @@ from logloom.llm.common import (
 #: Consecutive words that make a passage.
 WINDOW = 35
 RESULT = ("n_words", "n_removed", "kept_text")
-#: Rows of the sketch. Each has a power of two of cells, about one for three bytes of text,
-#: between these bounds; a full sketch is broadcast as a bit per cell, 128 MB at most.
-DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 29
-#: Cells of the sketch that are merged together.
-CHUNK_BITS = 16
-#: Windows that a task holds before it hands them on; bounds its memory.
-FLUSH = 1 << 20
+#: Rows of the sketch. Each has a cell for two bytes of text, up to a bound; a merged sketch
+#: is broadcast as a bit per cell, 128 MB at most.
+DEPTH, BYTES_PER_CELL, MOST_CELLS = 2, 2, 1 << 29
+#: Parts of a row of the sketch that are merged on their own. Their number is fixed, so that
+#: what a task sends grows with its windows and not with the sketch.
+CHUNKS = 512
+#: Windows that a task counts before it sends its sketch, and candidates that it holds before it
+#: hands them on; both bound its memory.
+COUNTED, FLUSH = 1 << 22, 1 << 20
 #: Entries that one bucket of candidates is meant to have, and bytes of text of one group of documents.
 BUCKET, GROUP = 1 << 19, 8 << 20
 
@@ -57,42 +58,46 @@ def windows(column: pa.Array, hashers: list[WordHasher], width: int) -> Iterator
         yield [h.runs(h.words(mapped, begin, end), width)[whole] for h in hashers], doc + a, whole - first[doc]
 
 
-def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """Cell of each window in a row of the sketch."""
-    return (mix(hashes + np.uint64(0x9E3779B97F4A7C15 * row % 2**64)) >> np.uint64(64 - bits)).astype(np.int64)
+def cells(hashes: np.ndarray, row: int, size: int) -> np.ndarray:
+    """Cell of each window in a row of the sketch, which has CHUNKS times ``size`` cells; numbered through all rows."""
+    own = mix(hashes + np.uint64(0x9E3779B97F4A7C15 * row % 2**64)) >> np.uint64(32)
+    own *= np.uint64(CHUNKS * size)
+    own >>= np.uint64(32)
+    own += np.uint64(row * CHUNKS * size)
+    return own.astype(np.uint32)
 
 
 # --- sketch -------------------------------------------------------------------
 
 
-def packed(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks with cells, bytes of their gaps, and where each chunk's bytes end.
+def packed(ordered: np.ndarray, size: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks with cells, the gaps between these as numbers of ``kind``, and where each chunk's gaps end.
 
-    A gap of 255 or more takes further bytes of 255.
+    The largest number stands for a part of a gap that goes on.
     """
-    chunk = ordered >> CHUNK_BITS
-    new = np.ones(len(ordered), bool)
-    new[1:] = chunk[1:] != chunk[:-1]
-    gap = np.diff(ordered, prepend=0)
-    gap[new] = ordered[new] & ((1 << CHUNK_BITS) - 1)
-    more = gap // 255
-    last = np.cumsum(more + 1) - 1
-    out = np.full(int(last[-1]) + 1, 255, np.uint8)
-    out[last] = gap % 255
-    firsts = np.flatnonzero(new)
+    most = np.iinfo(kind).max
+    chunk = ordered // np.uint32(size)
+    firsts = np.flatnonzero(np.diff(chunk, prepend=chunk[0] + np.uint32(1)))
+    gap = np.diff(ordered, prepend=np.uint32(0))
+    gap[firsts] = ordered[firsts] % np.uint32(size)
+    more = gap // np.uint32(most)
+    last = np.cumsum(more, dtype=np.int64) + np.arange(len(gap))
+    out = np.full(int(last[-1]) + 1, most, kind)
+    out[last] = gap % np.uint32(most)
     ends = np.append(last[firsts[1:] - 1] + 1, len(out))
     return chunk[firsts], out, ends
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    return np.cumsum(raw, dtype=np.int64)[raw < 255]
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(data, kind)
+    return np.cumsum(raw, dtype=np.int64)[raw < np.iinfo(kind).max]
 
 
-def _partial_rows(hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+def _partial_rows(hashes: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
     """The sketch of some windows: per chunk the cells counted once and those counted more often."""
     for row in range(DEPTH):
-        ordered = np.sort(cells(hashes, row, bits))
+        ordered = cells(hashes, row, size)
+        ordered.sort()
         new = np.ones(len(ordered) + 1, bool)
         new[1:-1] = ordered[1:] != ordered[:-1]
         firsts = np.flatnonzero(new)
@@ -101,19 +106,20 @@ def _partial_rows(hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
             chosen = values[often == twice]
             if not len(chosen):
                 continue
-            chunk, data, ends = packed(chosen)
-            cuts = np.concatenate(([0], ends)).astype(np.int32)
+            wide = len(chosen) * 128 < CHUNKS * size
+            kind = np.uint16 if wide else np.uint8
+            chunk, data, ends = packed(chosen, size, kind)
+            cuts = (np.concatenate(([0], ends)) * data.itemsize).astype(np.int32)
             lists = pa.Array.from_buffers(
                 pa.binary(), len(chunk), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())]
             )
-            chunk = chunk + (row << (bits - CHUNK_BITS))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk.astype(np.int32)), pa.array(np.full(len(chunk), twice)), lists],
-                ["chunk", "twice", "cells"],
+                [pa.array(chunk.astype(np.int32)), pa.array(np.full(len(chunk), twice)), pa.array(np.full(len(chunk), wide)), lists],
+                ["chunk", "twice", "wide", "cells"],
             )
 
 
-def sketch(texts: DataFrame, bits: int, width: int, parts: int) -> np.ndarray:
+def sketch(texts: DataFrame, size: int, width: int, parts: int) -> np.ndarray:
     """A bit per cell of the merged sketch: whether its count is two or more.
 
     Each task sends the sketch of its windows chunk by chunk; chunks are added up
@@ -122,50 +128,50 @@ def sketch(texts: DataFrame, bits: int, width: int, parts: int) -> np.ndarray:
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = WordHasher(0), [], 0
+        hasher, held, amount = WordHasher(0), [], 0
         for batch in batches:
             for (hashes,), _, _ in windows(batch.column(0), [hasher], width):
                 held.append(hashes)
-                size += len(hashes)
-                if size >= FLUSH:
-                    yield from _partial_rows(np.concatenate(held), bits)
-                    held, size = [], 0
-        if size:
-            yield from _partial_rows(np.concatenate(held), bits)
+                amount += len(hashes)
+                if amount >= COUNTED:
+                    yield from _partial_rows(np.concatenate(held), size)
+                    held, amount = [], 0
+        if amount:
+            yield from _partial_rows(np.concatenate(held), size)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, counts = None, np.zeros(1 << CHUNK_BITS, np.uint8)
+        current, counts = None, np.zeros(size, np.uint8)
 
         def closed() -> pa.RecordBatch:
             bitmap = np.packbits(counts > 1).tobytes()
             return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([bitmap])], ["chunk", "bits"])
 
         for batch in batches:
-            for chunk, twice, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for chunk, twice, wide, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if chunk != current:
                     if current is not None and (counts > 1).any():
                         yield closed()
                     current = chunk
                     counts[:] = 0
-                at = unpacked(data)
+                at = unpacked(data, np.uint16 if wide else np.uint8)
                 counts[at] = np.minimum(counts[at] + (2 if twice else 1), 2)
         if current is not None and (counts > 1).any():
             yield closed()
 
-    partials = texts.mapInArrow(partial, "chunk int, twice boolean, cells binary")
+    partials = texts.mapInArrow(partial, "chunk int, twice boolean, wide boolean, cells binary")
     merged = partials.repartition(parts, "chunk").sortWithinPartitions("chunk")
-    out = np.zeros((DEPTH << bits) >> 3, np.uint8)
-    step = 1 << (CHUNK_BITS - 3)
+    out = np.zeros(DEPTH * CHUNKS * size >> 3, np.uint8)
+    step = size >> 3
     for row in merged.mapInArrow(merge, "chunk int, bits binary").toLocalIterator(prefetchPartitions=True):
         out[row["chunk"] * step : (row["chunk"] + 1) * step] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
-def estimated_twice(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+def estimated_twice(bitmap: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
     """Whether the sketch's count of each window is two or more; never false for a repeated one."""
     out = None
     for row in range(DEPTH):
-        at = cells(hashes, row, bits) + (row << bits)
+        at = cells(hashes, row, size)
         hit = (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
         out = hit if out is None else out & hit
     return out.astype(bool)
@@ -181,17 +187,24 @@ def _bytes_of(*arrays: np.ndarray) -> bytes:
 def _places(keys: np.ndarray, doc: np.ndarray, first: np.ndarray) -> bytes:
     """Documents' keys and, for each window, which of them and at which word."""
     own, inverse = np.unique(doc, return_inverse=True)
-    head = np.array([len(own), len(doc)], np.int32)
-    return _bytes_of(head, keys[own], inverse.astype(np.uint16 if len(own) < 1 << 16 else np.uint32), first.astype(np.uint32))
+    wide = len(first) and int(first.max()) >= 1 << 16
+    head = np.array([len(own), len(doc), int(wide)], np.int32)
+    small = np.uint16 if len(own) < 1 << 16 else np.uint32
+    return _bytes_of(head, keys[own], inverse.astype(small), first.astype(np.uint32 if wide else np.uint16))
 
 
 def _read_places(data: memoryview) -> tuple[np.ndarray, np.ndarray]:
-    docs, n = np.frombuffer(data, np.int32, 2).tolist()
+    docs, n, wide = np.frombuffer(data, np.int32, 3).tolist()
     kind = np.uint16 if docs < 1 << 16 else np.uint32
-    keys = np.frombuffer(data, np.int64, docs, 8)
-    doc = np.frombuffer(data, kind, n, 8 + 8 * docs)
-    first = np.frombuffer(data, np.uint32, n, 8 + 8 * docs + n * doc.itemsize)
-    return keys[doc], first
+    keys = _read_keys(data)
+    doc = np.frombuffer(data, kind, n, 12 + 8 * docs)
+    first = np.frombuffer(data, np.uint32 if wide else np.uint16, n, 12 + 8 * docs + n * doc.itemsize)
+    return keys[doc], first.astype(np.uint32)
+
+
+def _read_keys(data: bytes | memoryview) -> np.ndarray:
+    """Keys of the documents that have places here."""
+    return np.frombuffer(data, np.int64, int(np.frombuffer(data, np.int32, 1)[0]), 12)
 
 
 def _group(keys: np.ndarray, groups: int) -> np.ndarray:
@@ -283,9 +296,9 @@ def _routed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 def repeated_windows(keyed: DataFrame, width: int, total: int) -> tuple[DataFrame, int]:
     """Places of all repeated windows of ``text, key``, by group of documents, and the number of groups."""
     spark = keyed.sparkSession
-    bits = min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(total, 1) / 3))))
+    cells_each = 8 * parts_for(min(total / BYTES_PER_CELL, MOST_CELLS), 8 * CHUNKS)
     groups, buckets = parts_for(total, GROUP), parts_for(total / 16, BUCKET)
-    held = spark.sparkContext.broadcast(sketch(keyed.select("text"), bits, width, groups))
+    held = spark.sparkContext.broadcast(sketch(keyed.select("text"), cells_each, width, groups))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, hashers = held.value, [WordHasher(0), WordHasher(1)]
@@ -309,7 +322,7 @@ def repeated_windows(keyed: DataFrame, width: int, total: int) -> tuple[DataFram
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             owners.append(keys)
             for (one, two), doc, first in windows(batch.column(0), hashers, width):
-                hit = np.flatnonzero(estimated_twice(bitmap, one, bits))
+                hit = np.flatnonzero(estimated_twice(bitmap, one, cells_each))
                 kept.append((one[hit], two[hit], doc[hit] + seen, first[hit]))
                 size += len(hit)
                 if size >= FLUSH:
@@ -361,7 +374,7 @@ def remove_repeated(
        independent bits) and are grouped there exactly.
     3. Repeated places meet their documents, by a hash of id and text.
 
-    A window however common sends one entry per some two million windows, and all
+    A window however common sends one entry per some million windows, and all
     steps work on streams or on parts of bounded size.
 
     Null, empty and blank texts have no words, and an empty kept text. Texts shorter

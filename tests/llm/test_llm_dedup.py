@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,15 +111,14 @@ def test_repeated_passages_odd_tables(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in rows) == [(0, 40), (1, 40), (1, 40), (2, 0)]
 
 
-def test_sketch_chunks_come_back():
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+def test_sketch_chunks_come_back(kind):
     rng = random.Random(4)
-    import numpy as np
-
-    ordered = np.array(sorted(rng.sample(range(1 << 20), 3000)))
-    chunks, data, ends = packed(ordered)
+    ordered = np.array(sorted(rng.sample(range(1 << 24), 3000)), np.uint32)
+    chunks, data, ends = packed(ordered, 100_000, kind)
     begin, out = 0, []
     for chunk, end in zip(chunks.tolist(), ends.tolist()):
-        out += [(chunk << 16) + int(x) for x in unpacked(data[begin:end].tobytes())]
+        out += [chunk * 100_000 + int(x) for x in unpacked(data[begin:end].tobytes(), kind)]
         begin = end
     assert out == ordered.tolist()
 
