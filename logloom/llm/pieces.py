@@ -18,8 +18,6 @@ from logloom.llm.packing import TOKENIZERS, read_bytes
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
-#: Segmentations that one word may have in a run, picked by its place in the text.
-VARIANTS = 8
 #: Words of more signs go through the agenda one by one, shorter ones many at a time.
 WIDE = 48
 RESULT = ("pieces",)
@@ -27,6 +25,7 @@ RESULT = ("pieces",)
 _SPACE = 0x2581
 _OUTSIDE = 1 << 21  # symbols of signs that the vocabulary lacks, plus the code point
 _NONE = np.iinfo(np.int64).max
+_ROWS = 1 << 15
 _SLICE = 1 << 21
 
 
@@ -109,12 +108,20 @@ def ranges(size: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.repeat(begin - step, size) + np.arange(int(size.sum()))
 
 
-def _skipped(key, start, middle, end, limit: int):
-    """Whether the candidate merge of two symbols at these places is left out."""
+def _spot(start, middle, end) -> np.ndarray:
+    """Number of a candidate merge within its word, never 0; ``start < middle < end``."""
     at = np.uint64(start) * np.uint64(0x9E3779B97F4A7C15)
     at = at + np.uint64(middle) * np.uint64(0xC2B2AE3D27D4EB4F)
-    at = at + np.uint64(end) * np.uint64(0x165667B19E3779F9)
-    return mix(at ^ key) < np.uint64(limit)
+    return at + np.uint64(end) * np.uint64(0x165667B19E3779F9)
+
+
+def _skipped(key, spot, limit: int):
+    """Whether the candidate merge of two symbols at this spot is left out."""
+    return mix(spot ^ key) < np.uint64(limit)
+
+
+def _limit(dropout: float) -> int:
+    return min(int(dropout * 2**64), 2**64 - 1)
 
 
 def _agenda(model: PieceModel, symbols: list[int], key: int, limit: int) -> list[int]:
@@ -144,7 +151,7 @@ def _agenda(model: PieceModel, symbols: list[int], key: int, limit: int) -> list
         j = after[i]
         if merges.get(symbols[i] * _OUTSIDE + symbols[j]) != made:
             continue
-        if limit and _skipped(word, np.array([i]), np.array([j]), np.array([stop]), limit)[0]:
+        if limit and _skipped(word, _spot(np.array([i]), np.array([j]), np.array([stop])), limit)[0]:
             continue
         symbols[i], end[i], alive[j] = made, stop, False
         after[i] = after[j]
@@ -156,26 +163,37 @@ def _agenda(model: PieceModel, symbols: list[int], key: int, limit: int) -> list
     return [symbols[i] for i in range(n) if alive[i]]
 
 
-def _together(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _together(
+    model: PieceModel,
+    symbols: np.ndarray,
+    keys: np.ndarray | None = None,
+    limit: int = 0,
+    barred: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for many words of one length at once: in each round every word takes its best merge.
 
-    Whether a candidate is skipped follows from its word, place and the key alone,
-    so the rounds take the same merges as the agenda. Returns the symbols and how
-    many of each row are left.
+    Whether a candidate is skipped follows from its place in the word and the key
+    alone, so the rounds take the same merges as the agenda. ``barred`` names one
+    candidate of each row that is skipped besides. Returns the symbols, how many of
+    each row are left, and the candidates that were merged, with 0 after the last.
     """
     n, width = symbols.shape
     left_over = np.full(n, width)
     done = np.zeros((n, width), np.int64)
     rows = np.arange(n)
     s = symbols.copy()
+    taken = np.zeros((n, width), np.uint64)
     edge = np.broadcast_to(np.arange(width + 1), (n, width + 1)).copy()
 
     def weigh(row: np.ndarray, at: np.ndarray) -> np.ndarray:
         made = model.merged(s[row, at], s[row, at + 1])
         rank = np.where(made >= 0, model.rank[made], _NONE)
-        if limit:
-            gone = _skipped(keys[rows[row]], edge[row, at], edge[row, at + 1], edge[row, at + 2], limit)
-            rank[gone] = _NONE
+        if limit or barred is not None:
+            spot = _spot(edge[row, at], edge[row, at + 1], edge[row, at + 2])
+            if limit:
+                rank[_skipped(keys[rows[row]], spot, limit)] = _NONE
+            if barred is not None:
+                rank[spot == barred[rows[row]]] = _NONE
         return rank
 
     if width > 1:
@@ -193,8 +211,9 @@ def _together(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, limit: i
             left_over[rows[stay]] = count[stay]
             rows, s, edge, cost, count, best = rows[go], s[go], edge[go], cost[go], count[go], best[go]
         if not len(rows):
-            return done, left_over
+            return done, left_over, taken
         r = np.arange(len(rows))
+        taken[rows, width - s.shape[1]] = _spot(edge[r, best], edge[r, best + 1], edge[r, best + 2])
         s[r, best] = model.merged(s[r, best], s[r, best + 1])
         cols = np.arange(s.shape[1] - 1)[None, :]
         s = np.take_along_axis(s, cols + (cols > best[:, None]), axis=1)
@@ -209,37 +228,98 @@ def _together(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, limit: i
             cost[ok, at[ok]] = weigh(ok, at[ok])
 
 
-def encode_units(
-    model: PieceModel, words: list[str], keys: np.ndarray, dropout: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all words one after the other, and how many each has."""
-    limit = min(int(dropout * 2**64), 2**64 - 1)
+def _symbols(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all words, each with a space before it, and how many each has."""
     text = "".join([" " + w for w in words])
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    size = np.array([len(w) + 1 for w in words], np.int64)
-    begin = np.cumsum(size) - size
     symbols = model.sign[points]
-    symbols = np.where(symbols >= 0, symbols, _OUTSIDE + points)
-    flat: list[np.ndarray] = []
-    owner: list[np.ndarray] = []
-    for width in np.unique(size).tolist():
-        rows = np.flatnonzero(size == width)
+    return np.where(symbols >= 0, symbols, _OUTSIDE + points), np.array([len(w) + 1 for w in words], np.int64)
+
+
+def _first_skipped(taken: np.ndarray, row: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
+    """First of the merges in each ``row`` of ``taken`` that ``keys`` skip, -1 if none."""
+    first = np.full(len(row), -1)
+    for a in range(0, len(row), _ROWS):
+        spot = taken[row[a : a + _ROWS]]
+        gone = _skipped(keys[a : a + _ROWS, None], spot, limit) & (spot != 0)
+        some = np.flatnonzero(gone.any(axis=1))
+        first[a + some] = gone[some].argmax(axis=1)
+    return first
+
+
+class _Forms:
+    """Pieces of occurrences, handed in by and by and put in order at the end."""
+
+    def __init__(self, n: int):
+        self.size = np.zeros(n, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, own: np.ndarray, row: np.ndarray, pieces: np.ndarray, left: np.ndarray) -> None:
+        """Occurrences ``own`` have the pieces of these rows."""
+        flat = pieces[np.arange(pieces.shape[1])[None, :] < left[:, None]].astype(np.int32)
+        self.size[own] = left[row]
+        self.held.append((own, row, flat, left))
+
+    def joined(self) -> np.ndarray:
+        begin = np.cumsum(self.size) - self.size
+        ids = np.zeros(int(self.size.sum()), np.int64)
+        for own, row, flat, left in self.held:
+            ids[ranges(left[row], begin[own])] = flat[ranges(left[row], (np.cumsum(left) - left)[row])]
+        return ids
+
+
+def encode_units(
+    model: PieceModel, words: list[str], keys: np.ndarray, dropout: float, word: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all words one after the other, and how many each has.
+
+    With ``word``, those of the occurrences ``words[word]``, each with a key of its
+    own. Work is saved exactly: the merges of a word without dropout hold for every
+    occurrence whose key skips none of them. So do those with one candidate skipped
+    for every occurrence whose key skips that one first and none after it. All
+    others are merged on their own.
+    """
+    limit = _limit(dropout)
+    symbols, size = _symbols(model, words)
+    begin = np.cumsum(size) - size
+    if word is None:
+        word = np.arange(len(words))
+    forms = _Forms(len(word))
+    width_of = size[word]
+    order = np.argsort(width_of, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(width_of[order])) + 1):
+        if not len(own):
+            continue
+        width = int(width_of[own[0]])
+        kinds, kind = np.unique(word[own], return_inverse=True)
+        start = symbols[begin[kinds][:, None] + np.arange(width)]
         if width > WIDE:
-            for i in rows.tolist():
-                own = symbols[begin[i] : begin[i] + width].tolist()
-                out = _agenda(model, own, int(keys[i]), limit)
-                flat.append(np.array(out, np.int64))
-                owner.append(np.full(len(out), i))
+            each = [(own[i : i + 1], k) for i, k in enumerate(kind.tolist())]
+            for some, k in each if limit else [(own[kind == k], k) for k in range(len(kinds))]:
+                out = np.array([_agenda(model, start[k].tolist(), int(keys[some[0]]), limit)])
+                forms.add(some, np.zeros(len(some), np.int64), out, np.array([out.shape[1]]))
             continue
-        got, left = _together(model, symbols[begin[rows][:, None] + np.arange(width)], keys[rows], limit)
-        inside = np.arange(width)[None, :] < left[:, None]
-        flat.append(got[inside])
-        owner.append(np.repeat(rows, left))
-    ids, of = np.concatenate(flat), np.concatenate(owner)
-    order = np.argsort(of, kind="stable")
-    ids, of = ids[order], of[order]
+        got, left, taken = _together(model, start)
+        if limit:
+            first = _first_skipped(taken, kind, keys[own], limit)
+            calm = first < 0
+            forms.add(own[calm], kind[calm], got, left)
+            own, kind, first = own[~calm], kind[~calm], first[~calm]
+            pairs, pair = np.unique(kind * width + first, return_inverse=True)
+            got, left, taken = _together(model, start[pairs // width], barred=taken[pairs // width, pairs % width])
+            calm = _first_skipped(taken, pair, keys[own], limit) < 0
+            forms.add(own[calm], pair[calm], got, left)
+            own, kind = own[~calm], kind[~calm]
+            for a in range(0, len(own), _ROWS):
+                part = own[a : a + _ROWS]
+                got, left, _ = _together(model, start[kind[a : a + _ROWS]], keys[part], limit)
+                forms.add(part, np.arange(len(part)), got, left)
+        else:
+            forms.add(own, kind, got, left)
+    ids, size = forms.joined(), forms.size
     strange = np.flatnonzero(ids >= _OUTSIDE)
     if len(strange):  # signs outside the vocabulary become their bytes
+        of = np.repeat(np.arange(len(word)), size)
         raw = [chr(x).encode("utf-8", "surrogatepass") for x in (ids[strange] - _OUTSIDE).tolist()]
         times = np.ones(len(ids), np.int64)
         times[strange] = [len(x) for x in raw]
@@ -247,12 +327,11 @@ def encode_units(
         ids, of = np.repeat(ids, times), np.repeat(of, times)
         places = ranges(times[strange], at[strange])
         ids[places] = model.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-    return ids, np.bincount(of, minlength=len(words))
+        size = np.bincount(of, minlength=len(word))
+    return ids, size
 
 
-def encode_texts(
-    model: PieceModel, texts: list[str], seed: int, dropout: float, variants: int
-) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(model: PieceModel, texts: list[str], seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts one after the other, and how many each has."""
     known: dict[str, int] = {}
     place: list[int] = []
@@ -263,25 +342,16 @@ def encode_texts(
         place += [known.setdefault(w, len(known)) for w in words]
     if not place:
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    words = list(known)
-    hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], np.uint64)
     word, count = np.array(place, np.int64), np.array(counts, np.int64)
+    keys = np.zeros(len(word), np.uint64)
     if dropout > 0:
         nth = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-        draw = mix(hashes[word] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        word = word * variants + (draw % np.uint64(variants)).astype(np.int64)
-        forms, form = np.unique(word, return_inverse=True)
-        base, variant = forms // variants, (forms % variants).astype(np.uint64)
-        keys = mix(hashes[base] + variant * np.uint64(0xD6E8FEB86659FD93))
-        ids, size = encode_units(model, [words[i] for i in base.tolist()], keys, dropout)
-    else:
-        form = word
-        ids, size = encode_units(model, words, hashes, 0.0)
-    begin = np.cumsum(size) - size
-    out = ids[ranges(size[form], begin[form])]
+        own = np.array([xxhash.xxh3_64_intdigest(t, seed) for t in texts], np.uint64)
+        keys = mix(np.repeat(own, count) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ids, size = encode_units(model, list(known), keys, dropout, word)
     per_text = np.zeros(len(texts), np.int64)
-    np.add.at(per_text, np.repeat(np.arange(len(texts)), count), size[form])
-    return out, per_text
+    np.add.at(per_text, np.repeat(np.arange(len(texts)), count), size)
+    return ids, per_text
 
 
 def encode_pieces(
@@ -289,15 +359,14 @@ def encode_pieces(
     text_col: str = "text",
     seed: int = 0,
     dropout: float = DROPOUT,
-    variants: int = VARIANTS,
     model: str = f"{TOKENIZERS}/{MODEL}",
 ) -> DataFrame:
     """``docs`` with ``pieces``, the piece ids of the whole text.
 
     Adjacent symbols are merged in the order of the pieces' scores. Each candidate
     merge is skipped with probability ``dropout``; a hash keyed by ``seed``, the
-    word, one of ``variants`` drawn from the word's place in the text, and the
-    candidate's place in the word decides, so a repeated task gives the same pieces.
+    whole text, the word's place in it and the candidate's place in the word decides,
+    so every occurrence is drawn by itself and a repeated task gives the same pieces.
     Without dropout the pieces are those of the model itself. Signs outside the
     vocabulary, and a literal U+2581, become byte pieces, so that decoding is
     lossless.
@@ -317,7 +386,7 @@ def encode_pieces(
             for a, z in slices(starts, _SLICE):
                 part = batch.slice(a, z - a)
                 texts = [t or "" for t in part.column(at).to_pylist()]
-                ids, size = encode_texts(own, texts, seed, dropout, variants)
+                ids, size = encode_texts(own, texts, seed, dropout)
                 cuts = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "pieces"])

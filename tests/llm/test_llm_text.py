@@ -123,6 +123,35 @@ def test_rounds_take_the_merges_of_the_agenda(monkeypatch):
         assert all((x == y).all() for x, y in zip(a, b))
 
 
+def test_dropout_is_drawn_per_occurrence(spark):
+    model = pieces_module.PieceModel(read_bytes(f"{TOKENIZERS}/{MODEL}"))
+    texts = [f"international{' x' * k}" for k in range(200)] + ["international " * 4000]
+    rows = {r["doc_id"]: r["pieces"] for r in encode_pieces(docs(spark, texts), dropout=0.3).collect()}
+    ends = {k: np.cumsum(model.raw_size[ids]) for k, ids in rows.items()}
+    size = len(" international")
+    first = {tuple(ends[k][ends[k] <= size].tolist()) for k in range(200)}
+    assert len(first) > 8  # the same word at the same place of different texts
+    within = {tuple((own % size).tolist()) for own in np.split(ends[200], np.searchsorted(ends[200], size * np.arange(1, 4000), side="right"))}
+    assert len(within) > 8  # the same word in one text
+    again = encode_pieces(docs(spark, texts[::-1]).repartition(3), dropout=0.3).collect()
+    assert {r["text"]: r["pieces"] for r in again} == {t: rows[k] for k, t in enumerate(texts)}
+
+
+def test_saved_merges_are_those_of_the_agenda(monkeypatch):
+    model = pieces_module.PieceModel(read_bytes(f"{TOKENIZERS}/{MODEL}"))
+    rng = random.Random(12)
+    kinds = ["".join(rng.choice("aeionrst é日 ") for _ in range(rng.randrange(1, 12))) for _ in range(40)]
+    kinds += ["the", "international", "x" * 60]
+    word = np.array([rng.randrange(len(kinds)) for _ in range(4000)])
+    keys = np.arange(4000, dtype=np.uint64) * np.uint64(977)
+    for dropout in (0.0, 0.1, 0.5):
+        a = pieces_module.encode_units(model, kinds, keys, dropout, word)
+        monkeypatch.setattr(pieces_module, "WIDE", 0)
+        b = pieces_module.encode_units(model, [kinds[i] for i in word], keys, dropout)
+        monkeypatch.undo()
+        assert all((x == y).all() for x, y in zip(a, b))
+
+
 def test_pieces_odd_tables(spark):
     assert decode_pieces(encode_pieces(docs(spark, []))).count() == 0
     none = spark.createDataFrame([(None,)], "pieces array<int>")
