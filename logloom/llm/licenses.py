@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,17 @@ class LicenseModel:
         """Largest part of a template of the family that the paragraph has."""
         return max(float(np.isin(t, grams).mean()) for t in self.templates[family])
 
+    @cached_property
+    def listed(self) -> list[tuple[int, np.ndarray, int]]:
+        """Family of each template, which of the known n-grams it has, and the words of a window for it."""
+        out = []
+        for k, name in enumerate(self.families[:-1]):
+            for own, text in zip(self.templates[k], TEMPLATES[name]):
+                data, starts = text_buffer(pa.array([text], pa.string()))
+                words = len(word_spans(data, starts, ALNUM)[1])
+                out.append((k, np.isin(self.grams, own), words + words // 2))
+        return out
+
 
 def _variants(text: str, count: int, filler: list[str], rng: np.random.Generator) -> list[str]:
     """The text with words lost, other numbers and other words around."""
@@ -227,13 +239,69 @@ def _lines(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return every, np.searchsorted(starts, begin, side="right") - 1
 
 
+def _notices(
+    known: LicenseModel, gram: np.ndarray, at: np.ndarray, width: np.ndarray
+) -> Iterator[tuple[int, int, int, float, float]]:
+    """First and last word, family, probability and similarity of each notice in one paragraph.
+
+    ``gram``, ``at`` and ``width`` tell of its known n-grams by place. Windows somewhat
+    longer than a template are held against it. The one with most n-grams comes first,
+    and a word counts for one notice only, so that a name within another name is not a
+    second notice.
+    """
+    taken = np.zeros(int((at + width).max()), bool)
+    order = np.argsort(at, kind="stable")
+    gram, at, width = gram[order], at[order], width[order]
+
+    def inside(t: int, start: int) -> np.ndarray:
+        _, has, size = known.listed[t]
+        a, z = np.searchsorted(at, [start, start + size])
+        own = np.arange(a, z)
+        own = own[has[gram[a:z]] & (at[a:z] + width[a:z] <= start + size)]
+        free = [not taken[at[i] : at[i] + width[i]].any() for i in own.tolist()]
+        return own[np.array(free, bool)]
+
+    windows = []
+    for t, (_, has, size) in enumerate(known.listed):
+        need = CONFIRM * has.sum()
+        hit = has[gram]
+        if len(np.unique(gram[hit])) < need:
+            continue
+        spots = at[hit]
+        starts = np.unique(spots)
+        starts = starts[np.searchsorted(spots, starts + size) - np.searchsorted(spots, starts) >= need]
+        for start in starts.tolist():
+            n = len(np.unique(gram[inside(t, start)]))
+            if n >= need:
+                windows.append((-n, -n / has.sum(), -start, t))
+    for _, _, start, t in sorted(windows):
+        family, has, _ = known.listed[t]
+        own = inside(t, -start)
+        own = own[np.argsort(at[own] + width[own], kind="stable")]
+        same, once = np.unique(gram[own], return_index=True)
+        # The window ends with the last n-gram that is new in it.
+        own, same = own[: once.max(initial=-1) + 1], len(same) / has.sum()
+        runs = own[width[own] > 1]
+        if same < CONFIRM or not len(runs):
+            continue
+        first, last = int(at[runs].min()), int((at[runs] + width[runs]).max())
+        near = gram[(at >= first) & (at + width <= last)]
+        chance = known.probabilities(known.logits(known.grams[near], np.zeros(len(near), np.int64), 1))[0]
+        if chance.argmax() == family and chance[family] > 0.5:
+            for i in runs.tolist():
+                taken[at[i] : at[i] + width[i]] = True
+            yield first, last - 1, family, float(chance[family]), float(same)
+
+
 def scan(docs: DataFrame, model: LicenseModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_paragraphs``, ``families`` and ``licenses``.
 
-    A paragraph is a line with a word in it; all of the whole text are judged. One
-    is reported if the calibrated probability of a family is over one half and at
-    least half of the n-grams of one of its templates are there. ``paragraph`` counts
-    from 0, ``families`` are sorted names.
+    All lines with a word are judged, and all windows as long as a template and half
+    of it in a run of such lines, so that wrapped and commented notices and several in
+    one line are found. One is reported if the calibrated probability of a family is
+    over one half and at least half of the n-grams of one of its templates are there.
+    ``n_paragraphs`` counts the lines with a word, ``paragraph`` is the one of them,
+    from 0, in which the notice begins; ``families`` are sorted names.
 
     Null, empty and blank texts have no paragraphs. Repeated rows are judged alike,
     empty tables give empty results, and input columns named like a result column
@@ -254,32 +322,68 @@ def scan(docs: DataFrame, model: LicenseModel, text_col: str = "text") -> DataFr
     def judge(known: LicenseModel, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, dict[int, list]]:
         docs_here = len(starts) - 1
         cuts, doc = _lines(data, starts)
-        grams, owner = paragraph_grams(data, cuts)
-        filled = np.zeros(len(doc), bool)
-        filled[owner] = True
+        mapped, begin, end, in_line = word_spans(data, cuts, ALNUM)
+        words = _HASHER.words(mapped, begin, end)
+        line = np.repeat(np.arange(len(doc)), in_line)
+        filled = in_line > 0
         # Numbers of the filled lines within their documents.
         rank = np.cumsum(filled) - 1
         count = np.bincount(doc[filled], minlength=docs_here)
         first = np.cumsum(count) - count
+        # Runs of filled lines; a line of comment signs alone has no word.
+        full = np.flatnonzero(filled)
+        fresh = np.ones(len(full), bool)
+        fresh[1:] = (np.diff(full) > 1) | (doc[full[1:]] != doc[full[:-1]])
+        block = np.repeat(np.cumsum(fresh) - 1, in_line[full])
+        ids, places, widths = [], [], []
+        for width in WIDTHS:
+            run = mix(_HASHER.runs(words, width) + np.uint64(width))
+            at = np.minimum(np.searchsorted(known.grams, run), len(known.grams) - 1)
+            n = len(run)
+            hit = np.flatnonzero((known.grams[at] == run) & (block[:n] == block[width - 1 : width - 1 + n]))
+            ids.append(at[hit])
+            places.append(hit)
+            widths.append(np.full(len(hit), width))
+        gram, at, wide = np.concatenate(ids), np.concatenate(places), np.concatenate(widths)
+        within = line[at] == line[at + wide - 1]
+        grams, owner = known.grams[gram[within]], line[at[within]]
         chance = known.probabilities(known.logits(grams, owner, len(doc)))
         best = chance.argmax(axis=1)
         unknown = len(known.families) - 1
         picked = np.flatnonzero((best != unknown) & filled & (chance.max(axis=1) > 0.5))
+        rows: dict[tuple[int, int], tuple[float, float]] = {}
+        for x in picked.tolist():
+            family = int(best[x])
+            same = known.similarity(family, grams[owner == x])
+            if same >= CONFIRM:
+                rows[x, family] = float(chance[x, family]), same
+        # Only paragraphs that have half of a template somewhere can have a notice.
+        size = len(known.grams)
+        pair = np.unique(block[at] * size + gram)
+        of, have = pair // size, pair % size
+        hopeful = np.zeros(int(fresh.sum()), bool)
+        for _, has, _ in known.listed:
+            hopeful |= np.bincount(of[has[have]], minlength=len(hopeful)) >= CONFIRM * has.sum()
+        wanted = np.flatnonzero(hopeful[block[at]])
+        wanted = wanted[np.argsort(block[at[wanted]], kind="stable")]
+        edges = np.flatnonzero(np.diff(block[at[wanted]])) + 1
+        for own in np.split(wanted, edges) if len(wanted) else []:
+            offset = int(at[own].min())
+            for a, z, family, p, same in _notices(known, gram[own], at[own] - offset, wide[own]):
+                a, z = int(line[a + offset]), int(line[z + offset])
+                for x in range(a + 1, z + 1):  # a line of a wrapped notice that was found by itself
+                    rows.pop((x, family), None)
+                rows.setdefault((a, family), (p, same))
         found: dict[int, list] = {}
-        if len(picked):
-            wanted = np.isin(owner, picked)
-            grams, owner = grams[wanted], owner[wanted]
-            for line in picked.tolist():
-                same = known.similarity(int(best[line]), grams[owner == line])
-                if same >= CONFIRM:
-                    found.setdefault(int(doc[line]), []).append(
-                        {
-                            "paragraph": int(rank[line] - first[doc[line]]),
-                            "family": known.families[best[line]],
-                            "probability": float(chance[line, best[line]]),
-                            "similarity": same,
-                        }
-                    )
+        for (x, family), (p, same) in sorted(rows.items()):
+            found.setdefault(int(doc[x]), []).append(
+                {
+                    "paragraph": int(rank[x] - first[doc[x]]),
+                    "family": known.families[family],
+                    "probability": p,
+                    "similarity": same,
+                }
+            )
         return count, found
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

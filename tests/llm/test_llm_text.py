@@ -189,6 +189,25 @@ def test_licences(spark):
     assert licenses.scan(docs(spark, []), model).count() == 0
 
 
+def test_wrapped_commented_and_dual_licences(spark):
+    mit = licenses.TEMPLATES["mit"][2].split()
+    gpl = licenses.TEMPLATES["gpl"][1].split()
+    lines = lambda words, n, sign="": "\n".join(sign + " ".join(words[k : k + n]) for k in range(0, len(words), n))
+    apache, both = "Licensed under the Apache License, Version 2.0", "Released under the MIT License"
+    filler = "the river and the green house of public work " * 40
+    texts = [
+        f"Title\n\n{lines(mit, 8)}\n\nend", f"/*\n{lines(gpl, 7, ' * ')}\n */", lines(gpl, 7, "# "),
+        f"{apache} or {both}.", f"{filler} {both}. {filler} {apache}. {filler}",
+        "Licensed under CC BY-NC\n4.0.", filler, lines("the free software of the general public house is green".split(), 2),
+        lines(mit, 8).replace("\n", "\n\n").split("person")[0],
+    ]
+    model = licenses.learn(docs(spark, [*texts, *(f"{filler} {k}" for k in range(50))]))
+    rows = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts), model).collect()}
+    wanted = [["mit"], ["gpl"], ["gpl"], ["apache", "mit"], ["apache", "mit"], ["cc-by-nc"], [], [], []]
+    assert [rows[k]["families"] for k in range(len(texts))] == wanted
+    assert [x["paragraph"] for k in range(3) for x in rows[k]["licenses"]] == [1, 0, 0]
+
+
 # --- chats ----------------------------------------------------------------------
 
 TURNS = [
