@@ -20,12 +20,11 @@ WIDTHS = (3, 4, 5)
 SAMPLE = 4000
 #: n-grams kept per language at most, the most frequent first.
 GRAMS = 1 << 15
-#: Positions of the filter; each holds one bit per language.
+#: Positions of the filter; each holds one bit per language, 64 of them in a word.
 POSITIONS = 1 << 21
 HASHES = 2
 #: An n-gram belongs to each language where it is at least this frequent, relative to where it is most.
 SHARE = 0.4
-MAX_LANGUAGES = 64
 RESULT = ("lang_pred", "score")
 
 _SLICE = 1 << 20
@@ -58,7 +57,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray
 
 @dataclass(frozen=True)
 class LanguageFilter:
-    """For each position of the filter a mask of languages; its size is fixed."""
+    """For each position of the filter a mask of languages, in as many rows of words as they need."""
 
     languages: tuple[str, ...]
     masks: np.ndarray
@@ -66,11 +65,12 @@ class LanguageFilter:
     prior: np.ndarray
 
     def lookup(self, grams: np.ndarray) -> np.ndarray:
-        """Mask of all languages that hold each n-gram."""
+        """Mask of all languages that hold each n-gram, a row per word of the mask."""
         found = None
         for k in range(HASHES):
             at = _position(grams, k)
-            found = self.masks[at] if found is None else found & self.masks[at]
+            own = self.masks[:, at]
+            found = own if found is None else found & own
         return found
 
     def counts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -84,7 +84,7 @@ class LanguageFilter:
             total += np.bincount(owner, minlength=docs)
             found = self.lookup(grams)
             for k in range(n):
-                bit = (found >> np.uint64(k)) & np.uint64(1)
+                bit = (found[k // 64] >> np.uint64(k % 64)) & np.uint64(1)
                 hits[:, k] += np.bincount(owner, weights=bit, minlength=docs)
         expected = total[:, None] * self.false_rate[None, :]
         return np.maximum(0.0, (hits - expected) / (1 - self.false_rate)[None, :])
@@ -111,22 +111,20 @@ def _position(grams: np.ndarray, k: int) -> np.ndarray:
 def _sampled(labelled: DataFrame, size: int) -> DataFrame:
     """About ``size`` documents of each language, by hash of the text."""
     per = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    per = F.broadcast(per.orderBy(F.desc("_n"), "lang").limit(MAX_LANGUAGES))
     drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.join(per, "lang").where(drawn < F.lit(size) / F.col("_n"))
+    return labelled.join(F.broadcast(per), "lang").where(drawn < F.lit(size) / F.col("_n"))
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageFilter:
     """Filters of the labelled ``docs``; rows with null text or language are left out.
 
-    About ``sample`` documents per language are counted (a documented bound); at
-    most 64 languages, the most frequent ones, can be learned.
+    About ``sample`` documents per language are counted (a documented bound). All
+    languages are learned, however many; a filter has 16 MB per 64 of them.
     """
     labelled = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")).dropna()
     prior = {
         r["lang"]: r["n"]
-        for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+        for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     }
     languages = tuple(sorted(prior))
 
@@ -151,7 +149,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     grams = _sampled(labelled, sample).select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
     # Occurrences of an n-gram by language: a row per n-gram, of which only the frequent
     # ones are of use. The cut is the feature: a filter holds GRAMS n-grams a language.
-    masks = np.zeros(POSITIONS, np.uint64)
+    masks = np.zeros((-(-len(languages) // 64), POSITIONS), np.uint64)
     if languages:
         counts = [F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(x) for x in languages]
         wide = stored(grams.groupBy("gram").agg(*counts), "grams")
@@ -165,8 +163,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
             rows = own.orderBy(F.desc(f"`{name}`"), "gram").limit(GRAMS).select("gram").toPandas()
             values = rows["gram"].to_numpy(np.int64).astype(np.uint64)
             for j in range(HASHES):
-                masks[_position(values, j)] |= np.uint64(1 << k)
-    fill = [float(((masks >> np.uint64(k)) & np.uint64(1)).mean()) for k in range(len(languages))]
+                masks[k // 64, _position(values, j)] |= np.uint64(1 << k % 64)
+    fill = [float(((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(languages))]
     return LanguageFilter(
         languages, masks, np.array(fill) ** HASHES, np.array([prior[x] for x in languages], np.float64)
     )

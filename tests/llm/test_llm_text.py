@@ -417,3 +417,14 @@ def test_languages(spark):
     assert language.identify(frame.limit(0), filters).count() == 0
     nothing = language.learn(frame.limit(0))
     assert {r["lang_pred"] for r in language.identify(frame, nothing).collect()} == {"und"}
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    rng = random.Random(10)
+    stems = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(4)] for k in range(67)}
+    rows = [(n, " ".join(rng.choices(own, k=12)), lang) for lang, own in stems.items() for n in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, lang string").coalesce(1)
+    filters = language.learn(frame)
+    assert filters.languages == tuple(stems)
+    found = language.identify(frame, filters).collect()
+    assert [r["lang_pred"] for r in found] == [r["lang"] for r in found]
