@@ -40,6 +40,12 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table of an earlier step that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, language, language_model, licenses
+from logloom.llm import chat, codes, language, language_model, licenses, toxicity
 from logloom.llm.decontaminate import find_leaks
 from logloom.llm.exact import exact_dedup
 from logloom.llm.packing import pack_tokens
 from logloom.llm.pieces import decode_pieces, encode_pieces
+from logloom.llm.resample import resample
 from logloom.llm.similar import similar
 from logloom.llm.substrings import remove_repeated
 
@@ -120,3 +121,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
     )
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector."""
+    return codes.digests(codes.vector_codes(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn to resemble the benchmark."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    machine = toxicity.learn(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), machine).drop("text")
