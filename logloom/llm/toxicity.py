@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import ALNUM, WordHasher, mix, parts_for, slices, stored, text_buffer, without, word_spans
+from logloom.llm.common import ALNUM, WordHasher, mix, parts_for, slices, small_batches, stored, text_buffer, without, word_spans
 
 #: Bounds of what is fitted: labelled documents, hashed terms (the most frequent ones),
 #: documents a term must be in, factors per term.
@@ -141,6 +141,11 @@ def _step(
         move("factors", used, summed(e[:, None] * (total[owner] - v)) / n + DECAY * model["factors"][used])
 
 
+def _narrow(n: int) -> type:
+    """Smallest type for places among ``n`` terms."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def _start(n: int, factors: int) -> dict[str, np.ndarray]:
     model = {
         "bias": np.zeros(1),
@@ -166,9 +171,9 @@ def _fitted(examples: DataFrame, n: int, factors: int, rounds: int, passes: int)
         def task(batches: Iterator[pa.RecordBatch], turn: int = turn, held=held) -> Iterator[pa.RecordBatch]:
             own = {k: v.astype(np.float64) for k, v in held.value.items()}
             rows = [
-                (label, passages, np.frombuffer(terms, np.int32).reshape(2, -1))
+                (label, np.frombuffer(sizes, np.int32), np.frombuffer(terms, _narrow(n)))
                 for batch in batches
-                for label, passages, terms in zip(*(batch.column(x).to_pylist() for x in ("label", "passages", "terms")))
+                for label, sizes, terms in zip(*(batch.column(x).to_pylist() for x in ("label", "sizes", "terms")))
             ]
             if not rows:
                 return
@@ -177,10 +182,10 @@ def _fitted(examples: DataFrame, n: int, factors: int, rounds: int, passes: int)
                 order = rng.permutation(len(rows))
                 for a in range(0, len(order), STEP):
                     part = [rows[i] for i in order[a : a + STEP]]
-                    passages = np.array([n for _, n, _ in part], np.int64)
-                    begin = np.cumsum(passages) - passages
-                    index = np.concatenate([t[0] for *_, t in part]).astype(np.int64)
-                    owner = np.concatenate([t[1] + begin[i] for i, (*_, t) in enumerate(part)])
+                    passages = np.array([len(sizes) for _, sizes, _ in part], np.int64)
+                    sizes = np.concatenate([sizes for _, sizes, _ in part])
+                    index = np.concatenate([t for *_, t in part]).astype(np.int64)
+                    owner = np.repeat(np.arange(len(sizes)), sizes)
                     _step(index, owner, passages, np.array([float(x) for x, *_ in part]), own)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([len(rows)]), *(pa.array([own[k].astype(np.float32).tobytes()]) for k in names)],
@@ -213,21 +218,21 @@ def learn(
 ) -> Machine:
     """Fit to the labelled ``docs``; rows with a null id, text or label are left out.
 
-    The ``sample`` documents whose ids have the least hashes are fitted, one row of
-    each id (a documented bound). An id with several labels is toxic if one says so.
+    The ``sample`` documents whose ids have the least hashes are fitted (a documented
+    bound). An id with several labels is toxic if one says so; one that several rows
+    share is left out, as its label may be that of any of them.
     Terms are words (letters, digits, signs beyond ASCII; A-Z in lower case) and their
     beginnings, hashed to 64 bits; a passage has a term or not. A document counts with its most toxic
     passage, in fitting as in scoring, so a long one is not drowned. Without labels every score is one half.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
     marked = marked.groupBy("id").agg(F.max("label").alias("label"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
-    present = marked.join(texts.select("id"), "id", "left_semi")
-    drawn = present.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample)
-    # At most ``sample`` ids and labels go to all tasks. Of rows that repeat an id one counts.
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
+    single = texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("id")
+    drawn = marked.join(single, "id", "left_semi").orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample)
+    # At most ``sample`` ids and labels go to all tasks; texts stay where they are read.
+    drawn = stored(drawn, "drawn")
     chosen = texts.join(F.broadcast(drawn), "id")
-    one = chosen.groupBy("id").agg(F.min(F.struct("label", "text")).alias("one")).select("id", "one.*")
-    examples = stored(one, "examples")
     kind = chosen.schema["id"].dataType.simpleString()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +249,7 @@ def learn(
                     [pa.array(values[real].astype(np.int64)), pa.array(n[real])], ["term", "n"]
                 )
 
-    met = examples.select("text").mapInArrow(counted, "term bigint, n bigint")
+    met = chosen.select("text").mapInArrow(counted, "term bigint, n bigint")
     often = met.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
     top = often.orderBy(F.desc("n"), "term").limit(terms).select("term").toArrow()
     known = np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
@@ -256,26 +261,27 @@ def learn(
                 cut, part = starts[a : z + 1], batch.slice(a, z - a)
                 hashes, counts = _hashed(data[cut[0] : cut[-1]], cut - cut[0])
                 index, owner, passages = known_terms(hashes, counts, known)
-                begin = np.cumsum(passages) - passages
-                own = np.searchsorted(owner, [*begin, int(passages.sum())]).tolist()
-                terms = [
-                    np.concatenate((index[b:e], owner[b:e] - begin[k])).astype(np.int32).tobytes()
-                    for k, (b, e) in enumerate(zip(own[:-1], own[1:]))
-                ]
+                sizes = np.bincount(owner, minlength=int(passages.sum())).astype(np.int32)
+                last = np.cumsum(passages).tolist()
+                end = np.cumsum(sizes)[np.array(last, np.int64) - 1].tolist()
+                index = index.astype(_narrow(len(known)))
+                cuts = [sizes[b:e].tobytes() for b, e in zip([0, *last], last)]
+                terms = [index[b:e].tobytes() for b, e in zip([0, *end], end)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("label"), pa.array(passages), pa.array(terms, pa.binary())],
-                    ["id", "label", "passages", "terms"],
+                    [part.column("id"), part.column("label"), pa.array(cuts, pa.binary()), pa.array(terms, pa.binary())],
+                    ["id", "label", "sizes", "terms"],
                 )
 
     if not len(known):
-        share = examples.agg(F.avg("label")).first()[0]
+        share = drawn.agg(F.avg("label")).first()[0]
         odds = 0.0 if share is None else float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
         return Machine(known, odds, np.zeros(0), np.zeros((0, factors)))
     shards = parts_for(sample, -(-sample // SHARDS))
-    dealt = examples.mapInArrow(placed, f"id {kind}, label int, passages bigint, terms binary")
-    # What is in a shard, and in which order, follows from the ids.
-    whole = stored(dealt, "placed").repartition(shards, F.xxhash64("id", F.lit(6))).sortWithinPartitions("id")
-    model = _fitted(whole.select("label", "passages", "terms"), len(known), factors, rounds, passes)
+    dealt = chosen.select("id", "label", "text").mapInArrow(placed, f"id {kind}, label int, sizes binary, terms binary")
+    dealt = stored(dealt.repartition(shards, F.xxhash64("id", F.lit(6))), "examples")
+    # As many tasks as shards at most, so that the models of a round have a bounded size.
+    whole = dealt.coalesce(shards).sortWithinPartitions("id")
+    model = _fitted(whole.select("label", "sizes", "terms"), len(known), factors, rounds, passes)
     return Machine(
         known, float(model["bias"][0]), model["weights"].astype(np.float32), model["factors"].astype(np.float32)
     )
@@ -289,7 +295,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFram
     the bias alone gives. Repeated rows are scored alike, empty tables give empty
     results, and input columns named like a result column are replaced.
     """
-    docs = without(docs, RESULT)
+    docs = small_batches(without(docs, RESULT))
     held = docs.sparkSession.sparkContext.broadcast(machine)
     place = docs.columns.index(text_col)
     schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema

@@ -99,9 +99,10 @@ def test_toxicity_odd_tables(spark, machine_and_rows):
     blank = toxicity.learn(docs, nothing)
     assert {r["score"] for r in toxicity.score(docs, blank).collect()} == {0.5}
     assert toxicity.learn(docs.limit(0), nothing).terms.size == 0
-    # Several labels and rows of one id: toxic if one label says so, and one row counts.
-    few = spark.createDataFrame([(2, 0), (2, 1), (4, None), (None, 1)], "doc_id bigint, toxic int")
+    # Several labels of one id: toxic if one says so. Id 2 has two rows and is left out.
+    few = spark.createDataFrame([(2, 0), (4, 0), (4, 1), (4, None), (None, 1)], "doc_id bigint, toxic int")
     assert toxicity.learn(docs, few).bias > 5
+    assert toxicity.learn(docs, few.where("doc_id = 2")).bias == 0
 
 
 # --- vector codes ---------------------------------------------------------------------
