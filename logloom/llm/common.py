@@ -147,6 +147,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 # --- texts in Arrow batches ---------------------------------------------------
 
+#: Rows that go to a Python worker at once; the default of 10,000 long texts would fill it.
+BATCH_ROWS = 1000
+
+
+def small_batches(frame: DataFrame) -> DataFrame:
+    """The frame, in a session that hands texts to workers in small batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = frame.sparkSession
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return frame
+
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a column of strings, and where each begins; null counts as empty."""

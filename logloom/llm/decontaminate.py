@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import without
+from logloom.llm.common import small_batches, without
 
 #: Edits allowed, as a share of the item's length.
 ERROR_RATE = 0.1
@@ -187,7 +187,7 @@ def find_leaks(
     rows are judged alike, empty tables give empty results or no leaks, and input
     columns named like a result column are replaced.
     """
-    docs = without(docs, RESULT)
+    docs = small_batches(without(docs, RESULT))
     out = docs.withColumn("leaks", F.expr(f"cast(array() as {LEAKS})"))
     for block in item_blocks(items, item_id, item_text, block_chars):
         out = _search(out, text_col, Items.of(block, error_rate))

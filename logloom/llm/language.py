@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import mix, slices, stored, text_buffer, without
+from logloom.llm.common import mix, slices, small_batches, stored, text_buffer, without
 
 UNDETERMINED = "und"
 #: Bytes of an n-gram (lower-case ASCII letters; bytes beyond ASCII as they are).
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, filters: LanguageFilter, text_col: str = "text") -
     nothing was learned, ``und``. Repeated rows are judged alike, empty tables give
     empty results, and input columns named like a result column are replaced.
     """
-    docs = without(docs, RESULT)
+    docs = small_batches(without(docs, RESULT))
     if not filters.languages:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     held = docs.sparkSession.sparkContext.broadcast(filters)

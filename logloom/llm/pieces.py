@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from logloom.llm.common import mix, slices, text_buffer, without
+from logloom.llm.common import mix, slices, small_batches, text_buffer, without
 from logloom.llm.packing import TOKENIZERS, read_bytes
 
 MODEL = "piece_bpe_32k.model"
@@ -374,7 +374,7 @@ def encode_pieces(
     Null and empty texts have no pieces. Repeated rows get the same pieces, empty
     tables give empty results, and an input column ``pieces`` is replaced.
     """
-    docs = without(docs, RESULT)
+    docs = small_batches(without(docs, RESULT))
     held = docs.sparkSession.sparkContext.broadcast(read_bytes(model))
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField("pieces", ArrayType(IntegerType()))])
@@ -405,7 +405,7 @@ def decode_pieces(
     Null and empty lists decode to an empty text; ids that the model lacks are an
     error. An input column named like ``to`` is replaced.
     """
-    frame = without(frame, [to])
+    frame = small_batches(without(frame, [to]))
     held = frame.sparkSession.sparkContext.broadcast(read_bytes(model))
     at = frame.columns.index(pieces_col)
     schema = StructType([*frame.schema.fields, StructField(to, StringType())])

@@ -18,6 +18,7 @@ from logloom.llm.common import (
     slices,
     slot,
     slots,
+    small_batches,
     stored,
     text_buffer,
     without,
@@ -33,6 +34,8 @@ HASHES, BANDS, ROWS = 128, 25, 5
 STEP, TOLERANCE = 16, 1e-6
 #: Members of a candidate component that are compared with one another in one place.
 BLOCK = 256
+#: Shingles of such a block, roughly; a component of long texts is cut into more blocks.
+BLOCK_SHINGLES = 1 << 18
 RESULT = ("class_id", "n_links")
 
 _SLICE = 1 << 20
@@ -90,7 +93,7 @@ _SIGNED = "set_key binary, n_shingles int, signature binary"
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: the id, a 128-bit key of the shingle set (null without words), and MinHash values."""
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +127,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def candidate_components(classes: DataFrame) -> DataFrame:
-    """``node, component, size`` of classes that share a band with another."""
+    """``node, component, size`` of classes that share a band with another.
+
+    ``size`` counts members; where texts are long it grows, so that blocks hold fewer.
+    """
     width = 4 * ROWS
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
@@ -135,8 +141,12 @@ def candidate_components(classes: DataFrame) -> DataFrame:
     buckets = stored(buckets, "buckets")
     edges = join_unique(members, buckets.drop("n"), ["band"], ["node"], "inner", buckets.select("band", "n"))
     found = stored(components(edges.select(F.col("node").alias("a"), F.col("lead").alias("b"))), "components")
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    return join_unique(found, sizes.withColumn("size", F.col("n")).drop("n"), ["component"], ["node"], "inner", sizes)
+    weighed = found.join(classes.select("node", "n_shingles"), "node")
+    long = F.ceil(F.sum("n_shingles") * BLOCK / BLOCK_SHINGLES)
+    sizes = weighed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), long.cast("bigint").alias("long"))
+    sizes = stored(sizes.select("component", "n", F.greatest("n", "long").alias("size")), "sizes")
+    counts = sizes.select("component", "n")
+    return join_unique(found, sizes.drop("n"), ["component"], ["node"], "inner", counts)
 
 
 def _with_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -308,7 +318,8 @@ def similar(
     signed = stored(signatures(docs, id_col, text_col), "signatures")
     filled = signed.where("set_key IS NOT NULL")
     classes = filled.groupBy("set_key").agg(
-        F.max("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature")
+        F.max("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"),
+        F.first("n_shingles").alias("n_shingles"),
     )
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     found = candidate_components(classes)
