@@ -139,8 +139,15 @@ def candidate_components(classes: DataFrame) -> DataFrame:
     members = stored(classes.select("node", F.explode(keys).alias("band")), "bands")
     buckets = members.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = stored(buckets, "buckets")
-    edges = join_unique(members, buckets.drop("n"), ["band"], ["node"], "inner", buckets.select("band", "n"))
-    found = stored(components(edges.select(F.col("node").alias("a"), F.col("lead").alias("b"))), "components")
+    shared = join_unique(members, buckets.drop("n"), ["band"], ["node"], "inner", buckets.select("band", "n"))
+    # A node goes with the least lead of its bands; what is left to connect are the leads
+    # that a node has in common, which are few where a group of copies is large.
+    led = shared.groupBy("node").agg(F.collect_set("lead").alias("leads"))
+    led = stored(led.select("node", "leads", F.array_min("leads").alias("parent")), "led")
+    pairs = led.select(F.explode("leads").alias("a"), F.col("parent").alias("b")).where("a <> b").distinct()
+    tops = components(pairs).select(F.col("node").alias("parent"), "component")
+    known = join_unique(led.select("node", "parent"), tops, ["parent"], ["node"])
+    found = stored(known.select("node", F.coalesce("component", "parent").alias("component")), "components")
     weighed = found.join(classes.select("node", "n_shingles"), "node")
     long = F.ceil(F.sum("n_shingles") * BLOCK / BLOCK_SHINGLES)
     sizes = weighed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), long.cast("bigint").alias("long"))
