@@ -14,7 +14,8 @@ _STRING_OR_PADDED = (
     r"|(?<![0-9.])(-?[0-9]+)\.0+(?![0-9.eE])"
     r"|(?<![0-9.])(-?[0-9]+\.[0-9]*[1-9])0+(?![0-9.eE])"
 )
-_PADDED = r"[0-9]\.[0-9]*0(?![0-9])"
+# What any number to respell has in it; few lines do, and the others are passed on.
+_ODD = r"[0-9](?:\.[0-9]*0(?![0-9])|E-?[0-9])"
 
 
 def _marked_pair(text: Column) -> Column:
@@ -139,10 +140,6 @@ def short_numbers(json: Column) -> Column:
 
     Zero padding of fractions goes, and doubles lose an exponent that is not needed.
     """
-    padded = F.when(
-        F.rlike(json, F.lit(_PADDED)), F.regexp_replace(json, _STRING_OR_PADDED, "$1$2$3")
-    ).otherwise(json)
-
     def spelled(text: Column) -> Column:
         tokens = F.regexp_extract_all(text, F.lit(f"(?s){_TOKENS}"), F.lit(1))
         return F.array_join(
@@ -155,10 +152,14 @@ def short_numbers(json: Column) -> Column:
             "",
         )
 
-    return once(
-        padded,
-        lambda text: F.when(F.rlike(text, F.lit("[0-9]E-?[0-9]")), spelled(text)).otherwise(text),
-    )
+    def short(text: Column) -> Column:
+        return once(
+            F.regexp_replace(text, _STRING_OR_PADDED, "$1$2$3"),
+            lambda plain: F.when(F.rlike(plain, F.lit("[0-9]E-?[0-9]")), spelled(plain)).otherwise(plain),
+        )
+
+    # The text is made once; a branch of its own would make it again.
+    return once(json, lambda text: F.when(F.rlike(text, F.lit(_ODD)), short(text)).otherwise(text))
 
 
 def without(entries: Column, keys) -> Column:

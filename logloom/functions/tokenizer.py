@@ -24,9 +24,8 @@ _GROUP = f"{_HEX}{{1,4}}"
 UUID = f"{_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}"
 LONG_HEX = f"{_HEX}{{12,}}"
 
-# Kinds of scalar variables in the order they are tried. What may be long
-# before the sign that decides (@ or ::) is bounded, so that a long run without that
-# sign takes a bounded time from each place in it.
+# Kinds of scalar variables in the order they are tried. Eight groups and
+# more are an address of the first form of IPv6, so before :: there are seven at most.
 SCALARS = (
     (
         "timestamp",
@@ -35,11 +34,11 @@ SCALARS = (
         r"|[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?",
     ),
     ("uuid", UUID),
-    ("email", r"[A-Za-z0-9._%+-]{1,512}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     (
         "ipv6",
         f"(?:{_GROUP}:){{7}}{_GROUP}"
-        f"|(?:{_GROUP}:){{1,512}}+:{_GROUP}(?::{_GROUP})*+"
+        f"|(?:{_GROUP}:){{1,7}}+:{_GROUP}(?::{_GROUP})*+"
         f"|::{_GROUP}(?::{_GROUP})*+",
     ),
     ("ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
@@ -63,11 +62,18 @@ _PATH = (
 )
 # A number takes the letters stuck to it along, so that it cannot be mistaken for
 # a longer kind when it is looked at on its own; they are given back as text.
-# An e-mail address is looked for once per run of its signs. Inside a run it may only
-# begin after a variable that took the run's first signs. Else a long run would be
-# read to its end again from every sign.
-_LOCAL = "[A-Za-z0-9._%+-]"
-_ONCE_PER_RUN = f"(?:(?<!{_LOCAL})|(?<=\\G[.%+-]{{1,8}}))"
+# An e-mail address is looked for once per run of its signs, however long the run is:
+# if the run's first sign begins none, no later sign does. It is looked for again only
+# past what may have taken the run's first signs before: a date, the end of a time, a
+# UUID or a path. Else a long run would be read to its end again from every sign.
+_LOCAL, _SIGN = "[A-Za-z0-9._%+-]", "[.%+-]"
+_AFTER = (
+    r"(?<=[0-9]{4}-[0-9]{2}-[0-9]{2}" + _SIGN + ")",
+    r"(?<=:[0-9]{2}(?:\.[0-9]{1,40})?(?:Z|[+-][0-9]{2}:?[0-9]{2})?" + _SIGN + ")",
+    f"(?<=-{_HEX}{{12}}{_SIGN})",
+    rf"(?<=\+)(?<=/{_SEGMENT}{{0,255}}\+)",
+)
+_ONCE_PER_RUN = f"(?:(?<!{_LOCAL})|\\G|{'|'.join(_AFTER)})"
 
 
 def _variable(email: bool) -> str:

@@ -1,5 +1,6 @@
 """Tokenizer, fingerprint, severity, times and JSON reading."""
 
+import time
 import hashlib
 import random
 from datetime import timedelta
@@ -294,3 +295,37 @@ def test_time_ranges(utc):
     assert custom == times.Window(utc(2026, 1, 1), utc(2026, 1, 2))
     assert times.time_range("custom", now, "2026-01-02T00:00:00Z", "2026-01-01T00:00:00Z") == day
     assert times.time_range("custom", now, None, "2026-01-01T00:00:00Z") == day
+
+
+def test_addresses_behind_long_runs(spark):
+    runs = {n: "-" * n + "joe@b.com" for n in (600, 60_000)}
+    cases = {f"to {run} now": [("email", run)] for run in runs.values()}
+    cases |= {
+        "a" * 60_000 + "@b.com": [("email", "a" * 60_000 + "@b.com")],
+        "ab:" * 7 + ":1": [("ipv6", "ab:" * 7 + ":1")],
+        # Eight groups are an address of their own, so of a longer run the last ones are left.
+        "ab:" * 9 + ":1": [("ipv6", "ab:" * 7 + "ab"), ("ipv6", "ab::1")],
+        "2025-01-01.joe@b.com": [("timestamp", "2025-01-01"), ("email", "joe@b.com")],
+        "2025-01-01.-+joe@b.com": [("timestamp", "2025-01-01"), ("email", "-+joe@b.com")],
+        "/a/b-1-+joe@b.com x": [("path-id", "b-1-"), ("email", "+joe@b.com")],
+        "1.1.joe@b.com": [("email", "1.1.joe@b.com")],
+    }
+    frame = spark.createDataFrame([(m,) for m in cases], "m string")
+    for row in frame.select("m", tokenizer.tokenize(F.col("m")).alias("spans")).collect():
+        assert [(s["kind"], s["value"]) for s in row["spans"] if s["type"] == "variable"] == cases[row["m"]], row["m"][:40]
+        assert "".join(s["value"] for s in row["spans"]) == row["m"]
+
+
+@pytest.mark.parametrize("unit", ["-", "a", "ab:", "a.", "1-"])
+def test_runs_without_an_address_take_linear_time(spark, unit):
+    """Six times the signs take far less than the 36 times of quadratic work."""
+
+    def seconds(n):
+        text = unit * n + " or @ and ::"
+        frame = spark.createDataFrame([(text,)] * 3, "m string").coalesce(1).select(tokenizer.structure(F.col("m")).alias("m"))
+        frame.write.format("noop").mode("overwrite").save()
+        begin = time.perf_counter()
+        frame.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begin
+
+    assert seconds(60_000) < 15 * max(seconds(10_000), 0.1)
