@@ -55,6 +55,20 @@ def latest(ledger: DataFrame) -> DataFrame:
     return newest.select("job.*")
 
 
+def live(ledger: DataFrame, counts: DataFrame) -> DataFrame:
+    """Ledger rows of running jobs, one for each count taken while their run was written.
+
+    ``counts`` holds ``run, at, lines``. The files of a run are written together: until
+    its own lines are known, a file has its share of them by size. Counts from before
+    a job was last opened belong to an attempt that failed.
+    """
+    opened = latest(ledger.where(F.col("step") == STEPS[schema.RUNNING]))
+    sizes = opened.groupBy("run").agg(F.sum("size_bytes").alias("_all"))
+    rows = opened.drop("processed_lines").join(sizes, "run").join(counts, "run").where("at >= updated_at")
+    share = F.floor(F.col("lines") * F.col("size_bytes") / F.col("_all"))
+    return transition(rows.withColumn("processed_lines", share), schema.RUNNING, F.col("at"), progress=True)
+
+
 def list_imports(jobs: DataFrame) -> DataFrame:
     """Latest imports, at most 50."""
     return (

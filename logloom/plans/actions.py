@@ -22,10 +22,11 @@ def store_actions(
     run that is already published is left alone.
     """
     if not store.is_published(run):
-        version = store.issues_version()
-        changed, refused = issue_ops.apply_actions(store.issues(version), actions)
+        version, parts = store.issues_version(), store.issue_parts()
+        touched = store.touched(actions, len(parts))
+        changed, refused = issue_ops.apply_actions(store.issues(buckets=touched), actions)
         store.write_refused(refused, run)
-        store.write_issues(changed, version + 1)
+        parts = store.write_issues(changed, version + 1, parts, touched)
         nothing = store.spark.range(1).select(
             F.lit(0).cast("bigint").alias("processed_lines"),
             F.lit(0).cast("bigint").alias("parse_errors"),
@@ -33,5 +34,5 @@ def store_actions(
             F.lit(None).cast("timestamp").alias("last_event"),
         )
         at = parse_instant(now or datetime.now(timezone.utc))
-        store.publish(run, version + 1, nothing, at)
+        store.publish(run, version + 1, parts, nothing, at)
     return store.refused(run)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import reduce
@@ -18,6 +18,7 @@ from logloom.functions.fingerprint import record_id
 from logloom.functions.times import instant_lit, parse_instant
 from logloom.operators import issues as issue_ops
 from logloom.operators import ledger, records
+from logloom.plans.progress import Watch
 from logloom.plans.store import RECORD, Store
 from logloom.session import configure
 from logloom.sources import lines as line_ops
@@ -36,6 +37,7 @@ class Outcome:
     parse_errors: int
     ingested_records: int
     elapsed_ms: int
+    failed_files: int = 0
 
 
 def job_id(run: str, file: Column) -> Column:
@@ -102,21 +104,48 @@ def fold_run(store: Store, run: str) -> DataFrame:
     return issue_ops.fold(records.occurrences(written))
 
 
-def commit_run(store: Store, run: str, at: datetime) -> DataFrame:
-    """Merge the run's issues into a new snapshot and publish both together."""
-    version = store.issues_version()
-    merged = issue_ops.merge(store.issues(version), fold_run(store, run))
-    store.write_issues(merged, version + 1)
+def commit_run(store: Store, run: str, at: datetime, failed: Sequence[str] = ()) -> DataFrame:
+    """Merge the run's issues into the buckets they fall into and publish both together."""
+    version, parts = store.issues_version(), store.issue_parts()
+    folded = store.write_fold(fold_run(store, run), run)
+    touched = store.touched(folded, len(parts))
+    merged = issue_ops.merge(store.issues(buckets=touched), folded)
+    parts = store.write_issues(merged, version + 1, parts, touched)
     totals = store.run_lines(run).agg(
         F.count(F.lit(1)).alias("processed_lines"),
         F.count_if(F.col("outcome") != RECORD).alias("parse_errors"),
         F.min("timestamp").alias("first_event"),
         F.max("timestamp").alias("last_event"),
     )
-    store.publish(run, version + 1, totals, at)
+    store.publish(run, version + 1, parts, totals, at, failed)
     return store.runs().where(F.col("run") == run)
 
 
+def unreadable(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
+    """Files that cannot be read to their end, with the reason.
+
+    Found by halving: a set that is read without an error is done with, so a few bad
+    files among many cost little more than one more reading of all.
+    """
+    bad: dict[str, str] = {}
+    left = [list(files)] if files else []
+    while left:
+        part = left.pop()
+        try:
+            lines = spark.read.text([line_ops.literal(unquote(f)) for f in part])
+            lines.agg(F.sum(F.length("value"))).collect()
+        except Exception as error:
+            if len(part) == 1:
+                bad[part[0]] = _reason(error)
+            else:
+                left += [part[: len(part) // 2], part[len(part) // 2 :]]
+    return bad
+
+
+def _reason(error: Exception) -> str:
+    return str(error).splitlines()[0] if str(error) else type(error).__name__
+
+
 def ingest(
     spark: SparkSession,
     paths: str | list[str],
@@ -127,11 +156,18 @@ def ingest(
     now: datetime | None = None,
     sources: Sequence[LogSource] = registry.SOURCES,
     fallback: LogSource = registry.FALLBACK,
+    count_every: float = 10.0,
 ) -> Outcome:
     """Import files: detect, parse, store records and rejects, update issues.
 
     A run name that is already published is left alone, so a repeated call does
     no harm. Importing the same files under a new run counts them again.
+
+    A file that cannot be read fails alone: its job is marked failed with the reason,
+    none of its lines are stored, and the run goes on with the others. If no file can
+    be read, or the failure is not that of a file, the run fails and is not published.
+    While lines are written, they are counted every ``count_every`` seconds for the
+    ledger.
     """
     configure(spark)
     registry.check_source_type(source_type, sources)
@@ -153,7 +189,7 @@ def ingest(
     at = instant_lit(now)
     if store.is_published(run):
         # The run may have ended between its publication and the closing of its jobs.
-        close_jobs(store, run, opened, now, now, None)
+        close_jobs(store, run, _without(opened, store.failed_files(run)), now, now, None)
         return _outcome(store, run)
 
     started = time.monotonic()
@@ -162,35 +198,69 @@ def ingest(
             ledger.transition(opened, schema.RUNNING, at, created_at=at)
         )
     )
+    # From here on jobs are those of the ledger: a file may be gone by now.
+    running = (F.col("run") == run) & (F.col("step") == ledger.STEPS[schema.RUNNING])
+    opened = ledger.latest(store.transitions().where(running))
 
     def ended() -> datetime:
         return now + timedelta(milliseconds=int((time.monotonic() - started) * 1000))
 
-    try:
+    def write(chosen: str | list[str]) -> None:
         grouped = (
-            choose_formats(spark, paths, sources, fallback)
+            choose_formats(spark, chosen, sources, fallback)
             if source_type is None
-            else {source_type: paths}
+            else {source_type: chosen}
         )
         drafts = parse_files(spark, grouped, sources)
         whole = records.assemble(drafts, now, job_id(run, F.col("arrival.file")))
-        store.write_lines(whole, run)
+        with Watch(store, run, ended, count_every):
+            store.write_lines(whole, run)
+
+    failed: dict[str, str] = {}
+    try:
+        try:
+            write(paths)
+        except Exception:
+            listed = [row["storage_key"] for row in opened.select("storage_key").collect()]
+            failed = unreadable(spark, listed)
+            good = [line_ops.literal(unquote(f)) for f in sorted(listed) if f not in failed]
+            if not failed or not good:
+                raise
+            write(good)
+        _fail(store, opened, failed, ended(), now)
+        good_jobs = _without(opened, failed)
         # The lines are written; what is left of the run is to publish them.
-        store.append_jobs(progress_rows(store, run, opened, now, ended()))
-        commit_run(store, run, now)
+        store.append_jobs(progress_rows(store, run, good_jobs, now, ended()))
+        commit_run(store, run, now, sorted(failed))
     except Exception as error:
-        reason = str(error).splitlines()[0] if str(error) else type(error).__name__
-        store.append_jobs(
-            ledger.transition(
-                opened, schema.FAILED, instant_lit(ended()), created_at=at, error=F.lit(reason)
-            )
-        )
+        left = opened.select("storage_key").collect()
+        _fail(store, opened, {r[0]: failed.get(r[0], _reason(error)) for r in left}, ended(), now)
         raise
     elapsed = int((time.monotonic() - started) * 1000)
-    close_jobs(store, run, opened, now, now + timedelta(milliseconds=elapsed), elapsed)
+    close_jobs(store, run, good_jobs, now, now + timedelta(milliseconds=elapsed), elapsed)
     return _outcome(store, run, elapsed)
 
 
+def _without(jobs: DataFrame, failed: Iterable[str]) -> DataFrame:
+    return jobs.where(~F.col("storage_key").isin(list(failed)))
+
+
+def _fail(store: Store, jobs: DataFrame, reasons: dict[str, str], at: datetime, created: datetime) -> None:
+    """Mark the jobs of the given files as failed, each with its reason."""
+    if not reasons:
+        return
+    why = store.spark.createDataFrame(list(reasons.items()), "storage_key string, why string")
+    store.append_jobs(
+        ledger.transition(
+            jobs.join(F.broadcast(why), "storage_key"),
+            schema.FAILED,
+            instant_lit(at),
+            created_at=instant_lit(created),
+            error=F.col("why"),
+        )
+    )
+
+
 def _with_totals(store: Store, run: str, jobs: DataFrame) -> DataFrame:
     """Jobs with their lines and errors; a file without lines has none of either."""
     per_job = totals_by_job(store.run_lines(run)).withColumnRenamed("import_job_id", "id")
@@ -255,6 +325,7 @@ def _outcome(store: Store, run: str, elapsed: int | None = None) -> Outcome:
         row["parse_errors"],
         row["processed_lines"] - row["parse_errors"],
         elapsed,
+        len(row["failed"] or ()),
     )
 
 

@@ -3,21 +3,29 @@
 Layout under the base folder::
 
     lines/run=<run>/outcome=<record|reject>/event_date=<day>/...   append only
-    issues/version=<n>/...                                       whole snapshots
+    folds/run=<run>/...                            issues of one run alone
+    issues/version=<n>/bucket=<b>/...   buckets of issues that version n rewrote
     jobs/...                                     one row per job transition
+    progress/run=<run>/...                  counts taken while a run is written
     refused/run=<run>/...                          actions that could not be taken
     runs/...                                     one row per published run
+    packed/...                                 what ``compaction`` has merged
 
 Readers follow the ``runs`` table only, so the records and issues of a run
-appear together and a run that died half way is never seen. One writer at a
-time is assumed, as with any plain Parquet table.
+appear together and a run that died half way is never seen. Issues are dealt over
+buckets by a hash of their fingerprint; the row of a run says in which version each
+bucket was last written, so a commit rewrites the buckets it touches and no others.
+One writer at a time is assumed, as with any plain Parquet table.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Sequence
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +36,9 @@ from logloom.operators import ledger
 RECORD, REJECT = "record", "reject"
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
+#: Buckets of issues in a new store; an existing one keeps its number.
+ISSUE_BUCKETS = 32
+
 RUNS = T.StructType(
     [
         T.StructField("run", T.StringType()),
@@ -37,6 +48,10 @@ RUNS = T.StructType(
         T.StructField("first_event", T.TimestampType()),
         T.StructField("last_event", T.TimestampType()),
         T.StructField("published_at", T.TimestampType()),
+        # The version that last wrote each bucket of issues; 0 where none has.
+        T.StructField("issue_parts", T.ArrayType(T.LongType())),
+        # Files that could not be read.
+        T.StructField("failed", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -49,36 +64,143 @@ REFUSED = T.StructType(
     ]
 )
 
+PROGRESS = T.StructType(
+    [
+        T.StructField("run", T.StringType()),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("lines", T.LongType()),
+        T.StructField("tasks_done", T.LongType()),
+        T.StructField("tasks", T.LongType()),
+    ]
+)
+
+FOLDED = T.StructType([f for f in schema.ISSUES if f.name not in ("status", "resolved_at", "regression")])
+_MANIFEST = "manifest.json"
+
 
 class Store:
-    def __init__(self, spark: SparkSession, base: str):
+    def __init__(self, spark: SparkSession, base: str, issue_buckets: int = ISSUE_BUCKETS):
+        if issue_buckets < 1:
+            raise ValueError("issue_buckets must be at least 1")
         self.spark = spark
         self.base = base.rstrip("/")
+        self.issue_buckets = issue_buckets
 
-    # --- reading ---
+    # --- files ---
 
-    def _read(self, table: str, columns: T.StructType) -> DataFrame:
-        path = f"{self.base}/{table}"
-        if not self._exists(path):
-            return self.spark.createDataFrame([], columns)
-        return self.spark.read.schema(columns).parquet(path)
+    def _path(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return target, files
 
     def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        files = target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        target, files = self._path(path)
         return files.exists(target)
 
+    def _names(self, path: str) -> list[str]:
+        """Names in a folder; none if there is no such folder."""
+        target, files = self._path(path)
+        return [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
+
+    def delete(self, path: str) -> None:
+        target, files = self._path(path)
+        files.delete(target, True)
+
+    def write_text(self, path: str, text: str) -> None:
+        """A small file from the driver. It appears whole, under its name, or not at all."""
+        target, files = self._path(path)
+        hidden, _ = self._path(f"{path}._writing")
+        out = files.create(hidden, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if files.exists(target):
+            files.delete(target, False)
+        files.rename(hidden, target)
+
+    def read_text(self, path: str) -> str:
+        return self.spark.read.option("wholetext", True).text(path).first()[0]
+
+    # --- generations ---
+
+    def generation(self) -> int:
+        """Newest finished compaction, 0 if there is none."""
+        found = [0]
+        for name in self._names(f"{self.base}/packed"):
+            number = name.removeprefix("generation=")
+            if number.isdigit() and self._exists(f"{self.base}/packed/{name}/{_MANIFEST}"):
+                found.append(int(number))
+        return max(found)
+
+    def generation_path(self, generation: int) -> str:
+        return f"{self.base}/packed/generation={generation}"
+
+    def line_parts(self, generation: int) -> list[dict]:
+        """Parts that hold the merged lines, each with ``name`` and ``rows``, largest first."""
+        if not generation:
+            return []
+        return json.loads(self.read_text(f"{self.generation_path(generation)}/{_MANIFEST}"))["parts"]
+
+    def publish_generation(self, generation: int, parts: Sequence[dict]) -> None:
+        self.write_text(f"{self.generation_path(generation)}/{_MANIFEST}", json.dumps({"parts": list(parts)}))
+
+    def loose(self, table: str, columns: T.StructType, generation: int) -> DataFrame:
+        """Rows of a table in files that no compaction has merged, with ``_file`` beside."""
+        path = f"{self.base}/{table}"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], columns).withColumn("_file", F.lit(""))
+        found = self.spark.read.schema(columns).parquet(path)
+        found = found.withColumn("_file", F.col("_metadata.file_path"))
+        if not generation:
+            return found
+        merged = self.spark.read.schema("_file string").parquet(f"{self.generation_path(generation)}/sources")
+        return found.join(merged, "_file", "left_anti")
+
+    def _table(self, table: str, columns: T.StructType) -> DataFrame:
+        generation = self.generation()
+        rest = self.loose(table, columns, generation).drop("_file")
+        if not generation:
+            return rest
+        packed = self.spark.read.schema(columns).parquet(f"{self.generation_path(generation)}/{table}")
+        return packed.unionByName(rest)
+
+    # --- reading ---
+
     def runs(self) -> DataFrame:
-        return self._read("runs", RUNS)
+        return self._table("runs", RUNS)
 
     def is_published(self, run: str) -> bool:
         return not self.runs().where(F.col("run") == run).isEmpty()
 
+    def failed_files(self, run: str) -> list[str]:
+        """Files of a published run that could not be read."""
+        row = self.runs().where(F.col("run") == run).select("failed").first()
+        return list(row[0] or []) if row else []
+
+    def _loose_lines(self) -> DataFrame:
+        path = f"{self.base}/lines"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], schema.LINES)
+        return self.spark.read.schema(schema.LINES).parquet(path)
+
+    def packed_lines(self, parts: Iterable[dict]) -> DataFrame:
+        paths = [f"{self.base}/packed/{part['name']}" for part in parts]
+        return reduce(
+            DataFrame.unionByName, [self.spark.read.schema(schema.LINES).parquet(path) for path in paths]
+        )
+
     def lines(self) -> DataFrame:
         """All lines of published runs; filters on run, outcome and day prune files."""
-        lines = self._read("lines", schema.LINES)
-        return lines.join(self.runs().select("run"), "run", "left_semi")
+        generation = self.generation()
+        if not generation:
+            return self._loose_lines().join(self.runs().select("run"), "run", "left_semi")
+        # Runs since the last compaction, by name: merged ones must not even be listed.
+        recent = [r["run"] for r in self.loose("runs", RUNS, generation).select("run").collect()]
+        found = [self.packed_lines([part]) for part in self.line_parts(generation)]
+        if recent or not found:
+            found.append(self._loose_lines().where(F.col("run").isin(recent)))
+        return reduce(DataFrame.unionByName, found)
 
     def newest(self) -> datetime | None:
         """Time of the newest record, from the table of runs."""
@@ -87,7 +209,9 @@ class Store:
 
     def run_lines(self, run: str) -> DataFrame:
         """Lines of one run, published or not."""
-        return self._read("lines", schema.LINES).where(F.col("run") == run)
+        if not self._exists(f"{self.base}/lines/run={run}") and self.generation():
+            return self.lines().where(F.col("run") == run)
+        return self._loose_lines().where(F.col("run") == run)
 
     def records(self) -> DataFrame:
         return (
@@ -107,20 +231,43 @@ class Store:
         newest = self.runs().agg(F.max("issues_version")).first()[0]
         return 0 if newest is None else newest
 
-    def issues(self, version: int | None = None) -> DataFrame:
-        """Issue snapshot, the newest published one by default."""
-        version = self.issues_version() if version is None else version
-        if version == 0:
+    def issue_parts(self, version: int | None = None) -> list[int]:
+        """For every bucket the version that last wrote it, as of ``version`` (the newest by default)."""
+        runs = self.runs().orderBy(F.desc("issues_version"))
+        if version is not None:
+            runs = runs.where(F.col("issues_version") == version)
+        row = runs.select("issue_parts").first()
+        return list(row[0]) if row and row[0] else [0] * self.issue_buckets
+
+    def issues(self, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+        """Issue snapshot, the newest published one by default; of some buckets only if they are given."""
+        parts = self.issue_parts(version)
+        chosen = range(len(parts)) if buckets is None else sorted(buckets)
+        paths = [f"{self.base}/issues/version={parts[b]}/bucket={b}" for b in chosen if parts[b]]
+        if not paths:
             return self.spark.createDataFrame([], schema.ISSUES)
-        return self.spark.read.schema(schema.ISSUES).parquet(
-            f"{self.base}/issues/version={version}"
-        )
+        return self.spark.read.schema(schema.ISSUES).parquet(*paths)
+
+    def issues_near(self, fingerprint: str) -> DataFrame:
+        """The bucket of issues that holds a fingerprint, if any does."""
+        n = len(self.issue_parts())
+        row = self.spark.range(1).select(bucket_of(F.lit(fingerprint), n)).first()
+        return self.issues(buckets=[row[0]])
 
     def transitions(self) -> DataFrame:
-        return self._read("jobs", schema.JOBS)
+        return self._table("jobs", schema.JOBS)
+
+    def progress(self) -> DataFrame:
+        """Counts taken while runs were written."""
+        if not self._exists(f"{self.base}/progress"):
+            return self.spark.createDataFrame([], PROGRESS)
+        files = self.spark.read.schema(PROGRESS).option("recursiveFileLookup", True)
+        return files.option("pathGlobFilter", "*.json").json(f"{self.base}/progress")
 
     def jobs(self) -> DataFrame:
-        return ledger.latest(self.transitions())
+        """Current row of each job; a running one with the lines written so far."""
+        rows = self.transitions()
+        return ledger.latest(rows.unionByName(ledger.live(rows, self.progress())))
 
     def refused(self, run: str) -> DataFrame:
         """Actions of a run that no issue could take."""
@@ -147,10 +294,34 @@ class Store:
             .parquet(f"{self.base}/lines/run={run}")
         )
 
-    def write_issues(self, issues: DataFrame, version: int) -> None:
-        issues.select(*[f.name for f in schema.ISSUES]).write.mode("overwrite").parquet(
-            f"{self.base}/issues/version={version}"
-        )
+    def write_fold(self, folded: DataFrame, run: str) -> DataFrame:
+        """Keep the issues of one run alone, and read them back."""
+        path = f"{self.base}/folds/run={run}"
+        folded.select(*[f.name for f in FOLDED]).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(FOLDED).parquet(path)
+
+    def touched(self, fingerprints: DataFrame, buckets: int) -> list[int]:
+        """Buckets that the fingerprints fall into; at most ``buckets`` numbers."""
+        chosen = fingerprints.select(bucket_of(F.col("fingerprint"), buckets).alias("b")).distinct()
+        return sorted(r["b"] for r in chosen.collect())
+
+    def write_issues(
+        self, issues: DataFrame, version: int, parts: Sequence[int], touched: Iterable[int]
+    ) -> list[int]:
+        """Write the issues of the touched buckets, one file each; returns the new parts."""
+        path = f"{self.base}/issues/version={version}"
+        if touched:
+            (
+                issues.select(*[f.name for f in schema.ISSUES])
+                .withColumn("bucket", bucket_of(F.col("fingerprint"), len(parts)))
+                .repartition("bucket")
+                .write.mode("overwrite")
+                .partitionBy("bucket")
+                .parquet(path)
+            )
+        # A bucket without issues, as of an unknown fingerprint, has no file.
+        written = set(self._names(path)) if touched else set()
+        return [version if f"bucket={b}" in written else known for b, known in enumerate(parts)]
 
     def write_refused(self, refused: DataFrame, run: str) -> None:
         refused.select(*[f.name for f in REFUSED]).write.mode("overwrite").parquet(
@@ -162,12 +333,20 @@ class Store:
             f"{self.base}/jobs"
         )
 
+    def write_progress(self, run: str, at: datetime, lines: int, tasks_done: int, tasks: int) -> None:
+        """One count of a run that is being written. No job runs for it, so it waits for no task."""
+        row = {"run": run, "at": at.isoformat(), "lines": lines, "tasks_done": tasks_done, "tasks": tasks}
+        name = f"{int(at.timestamp() * 1000):016d}-{lines}.json"
+        self.write_text(f"{self.base}/progress/run={run}/{name}", json.dumps(row))
+
     def publish(
         self,
         run: str,
         issues_version: int,
+        issue_parts: Sequence[int],
         totals: DataFrame,
         at: datetime,
+        failed: Sequence[str] = (),
     ) -> None:
         """Make a run visible. ``totals`` holds its single row of counts."""
         row = totals.select(
@@ -178,5 +357,11 @@ class Store:
             "first_event",
             "last_event",
             instant_lit(parse_instant(at)).alias("published_at"),
+            F.array(*[F.lit(p) for p in issue_parts]).cast("array<bigint>").alias("issue_parts"),
+            F.array(*[F.lit(f) for f in failed]).cast("array<string>").alias("failed"),
         )
         row.coalesce(1).write.mode("append").parquet(f"{self.base}/runs")
+
+
+def bucket_of(fingerprint: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(fingerprint), F.lit(buckets)).cast("int")
