@@ -291,3 +291,55 @@ def kinds_message() -> Column:
     for k, form in enumerate(forms):
         message = F.when(F.col("sequence") % 9 == k, form).otherwise(message)
     return message
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = files.create(target, True)
+    out.write(bytearray(content))
+    out.close()
+
+
+def partly_readable(spark: SparkSession, sf_dir: str) -> Store:
+    """Store imported from the files of all services, one more of which is no archive."""
+    key = (spark.sparkContext.applicationId, sf_dir, "partly")
+    if key not in _STORES:
+        folder = new_folder(spark)
+        landing = write_landing(spark, sf_dir, f"{folder}/landing")
+        write_bytes(spark, f"{landing}/file=broken/broken.gz", b"\x1f\x8b\x08 no archive")
+        ingest(
+            spark, f"{landing}/*", f"{folder}/store", run="partly", now=OBSERVED_AT, count_every=0.2
+        )
+        _STORES[key] = f"{folder}/store"
+    return Store(spark, _STORES[key])
+
+
+def store_of_days(spark: SparkSession, sf_dir: str, days: list[str]) -> Store:
+    """Store with a run for the events before, between and after the given days."""
+    store = Store(spark, f"{new_folder(spark)}/store")
+    whole = built_records(spark, sf_dir)
+    at = F.col("timestamp")
+    for k, (a, b) in enumerate(zip([None, *days], [*days, None])):
+        begun = F.lit(True) if a is None else at >= F.lit(a).cast("timestamp")
+        ended = F.lit(True) if b is None else at < F.lit(b).cast("timestamp")
+        store.write_lines(whole.where(begun & ended), f"part-{k}")
+        commit_run(store, f"part-{k}", OBSERVED_AT)
+    return store
+
+
+def long_runs() -> Column:
+    """A message with a long run of signs, by turns before an address, a group sign and nothing."""
+    n = F.lit(600) + F.col("sequence") % 1500
+    user = F.col("user_id").cast("string")
+    forms = [
+        F.concat(F.lit("to "), F.repeat(F.lit("-"), n), user, F.lit("@shop.test now")),
+        F.concat(F.lit("to "), F.repeat(F.lit("a"), n), F.lit("@b.test now")),
+        F.concat(F.lit("at "), F.repeat(F.lit("-"), n), user, F.lit(" @ home")),
+        F.concat(F.lit("peer "), F.repeat(F.lit("ab:"), 7), F.lit(":1 up")),
+        F.concat(F.lit("by a.b-c"), F.repeat(F.lit("%"), n), F.lit("@b.test")),
+    ]
+    message = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        message = F.when(F.col("sequence") % 5 == k, form).otherwise(message)
+    return message

@@ -701,3 +701,37 @@ ORACLE["render_lines"] = with_events(
         for kind, sql in _RENDERED.items()
     )
 )
+
+
+ORACLE["ingest_bad_file"] = with_events("""
+SELECT coalesce(svc, 'none') AS service, 'completed' AS status, count(*) AS lines,
+  count(*) FILTER (turn NOT IN (5,6,7,8)) AS records, false AS explained
+FROM ev GROUP BY 1
+UNION ALL SELECT 'broken', 'failed', 0, 0, true""")
+
+ORACLE["progress_rows"] = with_events("""
+SELECT coalesce(svc, 'none') AS service, count(*) AS lines,
+  count(*) FILTER (turn IN (5,6,7,8)) AS errors, 'running' AS status, true AS steady
+FROM ev GROUP BY 1""")
+
+ORACLE["compacted_store"] = with_events("""
+SELECT phase, CAST(CAST(t AS DATE) AS VARCHAR) AS day, count(*) AS records,
+  count(DISTINCT coalesce(svc, '') || '/' || event_type || '/' || coalesce(level, '')) AS fingerprints,
+  CAST(sum(coalesce(sev, 0)) AS BIGINT) AS levels, 5 AS runs, (SELECT count(*) FROM ev) AS events
+FROM ev, (VALUES ('before'), ('after'), ('vacuumed')) AS p(phase) GROUP BY 1, 2""")
+
+ORACLE["issue_buckets"] = with_events("""
+SELECT CASE WHEN sev = 17 THEN 'resolved' ELSE 'unresolved' END AS status,
+  count(DISTINCT coalesce(svc, '') || '/' || event_type) AS issues, count(*) AS events, true AS sound
+FROM ev GROUP BY 1""")
+
+ORACLE["stream_state"] = ORACLE["ingest_issues"]
+
+ORACLE["long_spans"] = with_events("""
+SELECT event_id,
+  CASE event_id % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'email' WHEN 2 THEN 'number' WHEN 3 THEN 'ipv6' ELSE 'email' END
+    AS kinds,
+  CAST(CASE event_id % 5 WHEN 0 THEN 600 + event_id % 1500 + length(CAST(user_id AS VARCHAR)) + 10
+    WHEN 1 THEN 600 + event_id % 1500 + 7 WHEN 2 THEN length(CAST(user_id AS VARCHAR))
+    WHEN 3 THEN 23 ELSE 600 + event_id % 1500 + 12 END AS INTEGER) AS signs
+FROM ev""")

@@ -16,10 +16,12 @@ from logloom.functions.fingerprint import pattern
 from logloom.functions.text import first_line
 from logloom.functions.times import iso_text
 from logloom.operators import analytics, filters, integrity, issues, ledger, listing, records
+from logloom.plans import compaction
 from logloom.plans import ingest as ingest_plan
-from logloom.plans.store import Store
+from logloom.plans.store import Store, bucket_of
 from logloom.sources import base, lines as line_ops, registry
 from logloom.streaming import ingest as streaming
+from logloom.streaming.state import read_issues, start_issue_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1016,3 +1018,123 @@ def render_lines(spark, sf_dir):
             )
         )
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# --- the store over time -----------------------------------------------------
+
+
+@query
+def ingest_bad_file(spark, sf_dir):
+    """A file that cannot be read fails alone; the others keep their lines."""
+    store = corpus.partly_readable(spark, sf_dir)
+    service = F.regexp_extract("storage_key", "file=([^/]+)/", 1).alias("service")
+    jobs = store.jobs().select("id", service, F.lower("status").alias("status"), "processed_lines", "error")
+    good = store.records().groupBy(F.col("import_job_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return (
+        jobs.join(good, "id", "left")
+        .groupBy("service", "status")
+        .agg(
+            F.coalesce(F.sum("processed_lines"), F.lit(0)).alias("lines"),
+            F.sum(F.coalesce("n", F.lit(0))).alias("records"),
+            F.max(F.col("error").isNotNull()).alias("explained"),
+        )
+    )
+
+
+@query
+def progress_rows(spark, sf_dir):
+    """What the ledger said of each job before it was closed; counts before that only rise."""
+    store = corpus.partly_readable(spark, sf_dir)
+    rows = store.transitions()
+    before = ledger.latest(rows.where(F.col("step") == 2))
+    service = F.regexp_extract("storage_key", "file=([^/]+)/", 1).alias("service")
+    counted = store.progress().agg(F.max("lines")).first()[0] or 0
+    total = rows.where(F.col("status") == schema.COMPLETED).agg(F.sum("processed_lines")).first()[0]
+    return before.groupBy(service).agg(
+        F.sum("processed_lines").alias("lines"),
+        F.sum("parse_errors").alias("errors"),
+        F.lower(F.max("status")).alias("status"),
+        F.lit(counted <= total).alias("steady"),
+    )
+
+
+CUTS = ["2024-01-03", "2024-01-07", "2024-01-12", "2024-01-20"]
+
+
+@query
+def compacted_store(spark, sf_dir):
+    """Records, issues and runs before and after compaction, and after old files are gone."""
+    store = corpus.store_of_days(spark, sf_dir, CUTS)
+    folder = corpus.new_folder(spark)
+    states = []
+
+    def state(phase):
+        path = f"{folder}/{len(states)}"
+        per_day = store.records().groupBy(F.col("event_date").cast("string").alias("day")).agg(
+            F.count(F.lit(1)).alias("records"),
+            F.count_distinct("fingerprint").alias("fingerprints"),
+            F.sum(F.coalesce("severity_number", F.lit(0))).alias("levels"),
+        )
+        figures = {
+            "phase": F.lit(phase),
+            "runs": F.lit(store.runs().count()),
+            "events": F.lit(store.issues().agg(F.sum("event_count")).first()[0]),
+        }
+        per_day.withColumns(figures).write.parquet(path)
+        states.append(path)
+
+    state("before")
+    compaction.compact(store)
+    state("after")
+    compaction.vacuum(store)
+    state("vacuumed")
+    return spark.read.parquet(*states)
+
+
+@query
+def issue_buckets(spark, sf_dir):
+    """Issues after some were resolved, and whether those lie in the buckets that were written again."""
+    store = corpus.store_of_days(spark, sf_dir, CUTS[:1])
+    late = store.issues().where(F.col("severity_number") == 17).select(
+        "fingerprint", F.lit("resolve").alias("action"), F.lit("2024-03-01").cast("timestamp").alias("at")
+    )
+    corpus.store_actions(store, late, "close", corpus.OBSERVED_AT)
+    parts = store.issue_parts()
+    version = store.issues_version()
+    rewritten = [b for b, v in enumerate(parts) if v == version]
+    inside = F.coalesce(bucket_of(F.col("fingerprint"), len(parts)).isin(rewritten), F.lit(False))
+    return store.issues().groupBy("status").agg(
+        F.count(F.lit(1)).alias("issues"),
+        F.sum("event_count").alias("events"),
+        F.min(inside | (F.col("status") != schema.RESOLVED)).alias("sound"),
+    )
+
+
+@query
+def stream_state(spark, sf_dir):
+    """Issues kept as state of a stream that takes the lines in several batches."""
+    folder = corpus.new_folder(spark)
+    rows = corpus.mixed_lines(spark, sf_dir).select("arrival", "value", "kind")
+    rows.repartition(4, F.col("arrival.row")).write.parquet(f"{folder}/queue")
+
+    def lines(kind):
+        reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2)
+        return reader.parquet(f"{folder}/queue").where(F.col("kind") == kind).drop("kind")
+
+    kinds = [source.source_type for source in registry.SOURCES]
+    drafts = registry.route({kind: lines(kind) for kind in kinds})
+    start_issue_state(drafts, f"{folder}/issues", f"{folder}/state").awaitTermination()
+    found = issues.opened(read_issues(spark, f"{folder}/issues"))
+    return _issue_view(found).drop("resolved_at")
+
+
+@query
+def long_spans(spark, sf_dir):
+    """Addresses behind long runs of their signs."""
+    found = corpus.log_events(spark, sf_dir).select(F.col("sequence").alias("event_id"), corpus.long_runs().alias("m"))
+    spans = F.filter(tokenizer.tokenize(F.col("m")), lambda s: s["type"] == "variable")
+    return found.select(
+        "event_id",
+        F.array_join(F.transform(spans, lambda s: s["kind"]), ",").alias("kinds"),
+        F.aggregate(spans, F.lit(0), lambda n, s: n + F.length(s["value"])).alias("signs"),
+    )
