@@ -151,16 +151,20 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     # ones are of use. The cut is the feature: a filter holds GRAMS n-grams a language.
     masks = np.zeros((-(-len(languages) // 64), POSITIONS), np.uint64)
     if languages:
-        counts = [F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(x) for x in languages]
+        # Languages go by number: their names need not be good, or different, column names.
+        own_counts = [f"n{k}" for k in range(len(languages))]
+        counts = [
+            F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(c) for x, c in zip(languages, own_counts)
+        ]
         wide = stored(grams.groupBy("gram").agg(*counts), "grams")
-        totals = wide.agg(*[F.sum(f"`{x}`").alias(x) for x in languages]).first().asDict()
+        totals = wide.agg(*[F.sum(c) for c in own_counts]).first()
         rates = [
-            F.coalesce(F.col(f"`{x}`"), F.lit(0)) / F.lit(float(totals[x] or 1)) for x in languages
+            F.coalesce(F.col(c), F.lit(0)) / F.lit(float(totals[k] or 1)) for k, c in enumerate(own_counts)
         ]
         top = F.greatest(*rates) if len(rates) > 1 else rates[0]
-        for k, name in enumerate(languages):
-            own = wide.where(rates[k] >= F.lit(SHARE) * top).where(F.col(f"`{name}`") > 1)
-            rows = own.orderBy(F.desc(f"`{name}`"), "gram").limit(GRAMS).select("gram").toPandas()
+        for k, c in enumerate(own_counts):
+            own = wide.where(rates[k] >= F.lit(SHARE) * top).where(F.col(c) > 1)
+            rows = own.orderBy(F.desc(c), "gram").limit(GRAMS).select("gram").toPandas()
             values = rows["gram"].to_numpy(np.int64).astype(np.uint64)
             for j in range(HASHES):
                 masks[k // 64, _position(values, j)] |= np.uint64(1 << k % 64)

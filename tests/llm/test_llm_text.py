@@ -428,3 +428,13 @@ def test_more_languages_than_bits_of_a_word(spark):
     assert filters.languages == tuple(stems)
     found = language.identify(frame, filters).collect()
     assert [r["lang_pred"] for r in found] == [r["lang"] for r in found]
+
+
+def test_language_names_need_not_be_column_names(spark):
+    names = ["en", "EN", "gram", "a`b", "n0", ""]
+    rows = [(9 * k + i, f"{chr(97 + 4 * k) * 3}{chr(98 + 3 * k)} " * 40, name) for k, name in enumerate(names) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    filters = language.learn(frame)
+    assert filters.languages == tuple(sorted(names))
+    found = language.identify(frame, filters).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in found)
