@@ -407,6 +407,38 @@ SELECT {_SUMMARY}, issues.n AS event_count, c AS current_count, p AS previous_co
   c::DOUBLE / p AS multiplier
 FROM issues JOIN cur USING (fp) JOIN prev USING (fp) WHERE c >= p * 3""")
 
+_RAGGED = ("2024-01-05 07:11:13.250", "2024-01-24 21:03:59.125")
+_RAGGED_T = f"t >= TIMESTAMP '{_RAGGED[0]}' AND t < TIMESTAMP '{_RAGGED[1]}'"
+
+ORACLE["rollup_error_rate"] = _rate(*_RAGGED, "day")
+ORACLE["rollup_by_service"] = with_events(f"""
+SELECT coalesce(svc, 'unknown') AS service_name, count(*) AS total,
+  count(*) FILTER (sev >= 17) AS errors FROM records WHERE {_RAGGED_T} GROUP BY 1""")
+ORACLE["rollup_top_issues"] = _top(_RAGGED_T, 10)
+ORACLE["rollup_spikes"] = with_events(f"""
+, cur AS (SELECT fp, count(*) AS c FROM records WHERE t >= TIMESTAMP '2024-01-10 03:00:20'
+  AND t < TIMESTAMP '2024-01-10 07:00:50.500' GROUP BY fp),
+prev AS (SELECT fp, count(*) AS p FROM records WHERE t >= TIMESTAMP '2024-01-09 22:59:49.500'
+  AND t < TIMESTAMP '2024-01-10 03:00:20' GROUP BY fp)
+SELECT {_SUMMARY}, issues.n AS event_count, c AS current_count, p AS previous_count,
+  c::DOUBLE / p AS multiplier
+FROM issues JOIN cur USING (fp) JOIN prev USING (fp) WHERE c >= p * 3""")
+ORACLE["rollup_timeline"] = with_events(f"""
+SELECT {_iso('bucket')} AS bucket, count(t) AS total
+FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-24', INTERVAL 1 DAY)) AS bucket)
+LEFT JOIN (SELECT * FROM records WHERE svc = 'svc-1' AND sev = 17 AND {_RAGGED_T})
+  ON date_trunc('day', t) = bucket
+GROUP BY bucket""")
+ORACLE["rollup_blast_radius"] = with_events(f"""
+SELECT translate({PLAIN}, chr(31), '|') AS pattern, count(DISTINCT svc) AS services,
+  count(DISTINCT host) AS hosts, count(*) AS total
+FROM records WHERE {_RAGGED_T} GROUP BY 1""")
+ORACLE["rollup_of_runs"] = with_events(f"""
+SELECT coalesce(svc, 'unknown') AS service_name, count(*) AS total,
+  count(*) FILTER (sev >= 17) AS errors, phase
+FROM records, (VALUES ('before'), ('after'), ('vacuumed')) AS phases(phase)
+WHERE {_RAGGED_T} GROUP BY 1, 4""")
+
 ORACLE["new_issues"] = with_events(f"""
 SELECT {_SUMMARY}, issues.n AS event_count FROM issues
 WHERE first_seen >= TIMESTAMP '2024-01-01 02:00:00' AND first_seen < TIMESTAMP '2024-01-15'""")

@@ -16,7 +16,7 @@ from logloom.functions.fingerprint import pattern
 from logloom.functions.text import first_line
 from logloom.functions.times import iso_text
 from logloom.operators import analytics, filters, integrity, issues, ledger, listing, records
-from logloom.plans import compaction
+from logloom.plans import compaction, dashboards
 from logloom.plans import ingest as ingest_plan
 from logloom.plans.store import Store, bucket_of
 from logloom.sources import base, lines as line_ops, registry
@@ -33,6 +33,8 @@ DAYS = ("2024-01-05T00:00:00Z", "2024-01-25T00:00:00Z")
 ODD = ("2024-01-10T00:00:30Z", "2024-01-10T00:07:30Z")
 INVERTED = ("2024-01-12T00:00:00Z", "2024-01-10T00:00:00Z")
 SPIKE = ("2024-01-10T03:00:00Z", "2024-01-10T06:00:00Z")
+RAGGED = ("2024-01-05T07:11:13.250Z", "2024-01-24T21:03:59.125Z")
+RAGGED_SPIKE = ("2024-01-10T03:00:20Z", "2024-01-10T07:00:50.500Z")
 SPLIT = "2024-01-15T00:00:00Z"
 NOW = "2024-01-20T06:00:00Z"
 
@@ -514,6 +516,59 @@ def new_issues(spark, sf_dir):
     return _summary_view(analytics.new_issues(known, "2024-01-01T02:00:00Z", SPLIT))
 
 
+# The same from the counts that imports keep, for windows that cut minutes and days.
+
+
+@query
+def rollup_error_rate(spark, sf_dir):
+    rate = dashboards.error_rate(corpus.canonical_store(spark, sf_dir), *RAGGED)
+    return rate.select(shown("bucket"), "total", "errors", "ratio")
+
+
+@query
+def rollup_by_service(spark, sf_dir):
+    return dashboards.by_service(corpus.canonical_store(spark, sf_dir), *RAGGED)
+
+
+@query
+def rollup_top_issues(spark, sf_dir):
+    return _summary_view(dashboards.top_issues(corpus.canonical_store(spark, sf_dir), *RAGGED))
+
+
+@query
+def rollup_spikes(spark, sf_dir):
+    return _summary_view(dashboards.spikes(corpus.canonical_store(spark, sf_dir), *RAGGED_SPIKE))
+
+
+@query
+def rollup_timeline(spark, sf_dir):
+    store = corpus.canonical_store(spark, sf_dir)
+    return dashboards.timeline(store, _error_of("svc-1"), *RAGGED).select(shown("bucket"), "total")
+
+
+@query
+def rollup_blast_radius(spark, sf_dir):
+    spread = dashboards.blast_radius(corpus.canonical_store(spark, sf_dir), *RAGGED)
+    return spread.withColumn("pattern", F.translate("pattern", "\x1f", "|"))
+
+
+@query
+def rollup_of_runs(spark, sf_dir):
+    """Counts per service of a store written in five runs: as they are, merged, and merged alone."""
+    store = corpus.store_of_days(spark, sf_dir, CUTS)
+    folder = corpus.new_folder(spark)
+    phases = (
+        ("before", lambda: None),
+        ("after", lambda: compaction.compact(store)),
+        ("vacuumed", lambda: compaction.vacuum(store)),
+    )
+    for name, step in phases:
+        step()
+        found = dashboards.by_service(store, *RAGGED).withColumn("phase", F.lit(name))
+        found.write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 # --- lists -------------------------------------------------------------------------------
 
 

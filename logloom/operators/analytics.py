@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import severity
@@ -18,8 +18,19 @@ SPIKE_FACTOR = 3
 Instant = str | datetime
 
 
+def counted(records: DataFrame) -> DataFrame:
+    """Records as rows of counts, each with a count of one; a rollup has larger ones."""
+    one = F.lit(1).cast("bigint").alias("total")
+    return records.select("timestamp", "fingerprint", "service_name", "severity_number", one)
+
+
+def _total():
+    return F.sum("total")
+
+
 def _errors():
-    return F.count_if(F.col("severity_number") >= severity.ERROR)
+    error = F.when(F.col("severity_number") >= severity.ERROR, F.col("total"))
+    return F.coalesce(F.sum(error), F.lit(0).cast("bigint"))
 
 
 def buckets(records: DataFrame, window: Window) -> DataFrame:
@@ -37,16 +48,19 @@ def buckets(records: DataFrame, window: Window) -> DataFrame:
 def error_rate(records: DataFrame, start: Instant, end: Instant) -> DataFrame:
     """Records, errors and their ratio per bucket, empty buckets included."""
     window = Window.of(start, end)
-    counted = (
-        within(records, window)
-        .groupBy(F.date_trunc(window.bucket_unit(), "timestamp").alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("total"), _errors().alias("errors"))
-    )
+    return rate_of(counted(within(records, window)), window)
+
+
+def rate_of(counts: DataFrame, window: Window) -> DataFrame:
+    """``error_rate`` from counts inside the window."""
+    per_bucket = counts.groupBy(
+        F.date_trunc(window.bucket_unit(), "timestamp").alias("bucket")
+    ).agg(_total().alias("total"), _errors().alias("errors"))
     total = F.coalesce("total", F.lit(0)).cast("bigint")
     errors = F.coalesce("errors", F.lit(0)).cast("bigint")
     return (
-        buckets(records, window)
-        .join(counted, "bucket", "left")
+        buckets(counts, window)
+        .join(per_bucket, "bucket", "left")
         .select(
             "bucket",
             total.alias("total"),
@@ -61,10 +75,13 @@ def error_rate(records: DataFrame, start: Instant, end: Instant) -> DataFrame:
 
 def by_service(records: DataFrame, start: Instant, end: Instant) -> DataFrame:
     """Records and errors per service, largest first; no service counts as unknown."""
+    return services_of(counted(within(records, Window.of(start, end))))
+
+
+def services_of(counts: DataFrame) -> DataFrame:
     return (
-        within(records, Window.of(start, end))
-        .groupBy(F.coalesce("service_name", F.lit(severity.UNKNOWN)).alias("service_name"))
-        .agg(F.count(F.lit(1)).alias("total"), _errors().alias("errors"))
+        counts.groupBy(F.coalesce("service_name", F.lit(severity.UNKNOWN)).alias("service_name"))
+        .agg(_total().alias("total"), _errors().alias("errors"))
         .orderBy(F.desc("total"), "service_name")
     )
 
@@ -91,11 +108,14 @@ def new_issues(issues: DataFrame, start: Instant, end: Instant) -> DataFrame:
 def top_fingerprints(
     records: DataFrame, start: Instant, end: Instant, limit: int = TOP_ISSUES
 ) -> DataFrame:
+    return top_of(counted(within(records, Window.of(start, end))), limit)
+
+
+def top_of(counts: DataFrame, limit: int = TOP_ISSUES) -> DataFrame:
     check_limit(limit, MOST_TOP_ISSUES)
     return (
-        within(records, Window.of(start, end))
-        .groupBy("fingerprint")
-        .agg(F.count(F.lit(1)).alias("window_count"))
+        counts.groupBy("fingerprint")
+        .agg(_total().alias("window_count"))
         .orderBy(F.desc("window_count"), "fingerprint")
         .limit(limit)
     )
@@ -112,7 +132,10 @@ def top_issues(
 
     Ranking and cutting come before the join, so its small side has at most 50 rows.
     """
-    top = top_fingerprints(records, start, end, limit)
+    return with_issues(top_fingerprints(records, start, end, limit), issues)
+
+
+def with_issues(top: DataFrame, issues: DataFrame) -> DataFrame:
     return (
         issue_summary(issues)
         .join(F.broadcast(top), "fingerprint")
@@ -131,14 +154,19 @@ def spike_counts(records: DataFrame, start: Instant, end: Instant) -> DataFrame:
     window = Window.of(start, end)
     before = window.previous()
     boundary = instant_lit(window.start)
-    both = Window(before.start, window.end)
+    both = counted(within(records, Window(before.start, window.end)))
+    return grown(both.withColumn("current", F.col("timestamp") >= boundary))
+
+
+def grown(counts: DataFrame) -> DataFrame:
+    """``spike_counts`` from counts marked as ``current`` or of the window before."""
+
+    def of(mark: Column) -> Column:
+        return F.coalesce(F.sum(F.when(mark, F.col("total"))), F.lit(0).cast("bigint"))
+
     return (
-        within(records, both)
-        .groupBy("fingerprint")
-        .agg(
-            F.count_if(F.col("timestamp") >= boundary).alias("current_count"),
-            F.count_if(F.col("timestamp") < boundary).alias("previous_count"),
-        )
+        counts.groupBy("fingerprint")
+        .agg(of(F.col("current")).alias("current_count"), of(~F.col("current")).alias("previous_count"))
         .where(
             (F.col("previous_count") > 0)
             & (F.col("current_count") >= F.col("previous_count") * SPIKE_FACTOR)
@@ -148,9 +176,13 @@ def spike_counts(records: DataFrame, start: Instant, end: Instant) -> DataFrame:
 
 def spikes(records: DataFrame, issues: DataFrame, start: Instant, end: Instant) -> DataFrame:
     """Spiking issues with both counts and the growth factor."""
+    return with_growth(spike_counts(records, start, end), issues)
+
+
+def with_growth(counts: DataFrame, issues: DataFrame) -> DataFrame:
     return (
         issue_summary(issues)
-        .join(spike_counts(records, start, end), "fingerprint")
+        .join(counts, "fingerprint")
         .withColumn(
             "multiplier", F.col("current_count").cast("double") / F.col("previous_count")
         )
@@ -175,6 +207,10 @@ def blast_radius(records: DataFrame, start: Instant, end: Instant) -> DataFrame:
         .groupBy("pattern", "service_name", "host")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return spread_of(spread)
+
+
+def spread_of(spread: DataFrame) -> DataFrame:
     return spread.groupBy("pattern").agg(
         F.count_distinct("service_name").alias("services"),
         F.count_distinct("host").alias("hosts"),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom import schema
-from logloom.plans.store import RUNS, Store
+from logloom.operators import rollups
+from logloom.plans.store import RECORD, RUNS, Store, rollup_name
 
 
 def compact(store: Store) -> int:
@@ -37,7 +38,7 @@ def compact(store: Store) -> int:
     if rows:
         new = store._loose_lines().where(F.col("run").isin(names))
         merged = reduce(DataFrame.unionByName, [new, *(store.packed_lines([part]) for part in joining)])
-        part = {"name": f"lines-{now}", "rows": rows}
+        part = {"name": f"lines-{now}", "rows": rows, "rolled": True}
         (
             # Partitions of the advised size; a large day is split, small days share one.
             merged.hint("rebalance", F.col("outcome"), F.col("event_date"))
@@ -46,6 +47,9 @@ def compact(store: Store) -> int:
             .partitionBy("outcome", "event_date")
             .parquet(f"{store.base}/packed/{part['name']}")
         )
+        for kind in rollups.ROLLUPS:
+            whole = _counts(store, kind, joining)
+            store.write_rollup(whole, kind, f"{store.base}/packed/{rollup_name(kind, part)}")
         parts.append(part)
     for name, frame, columns in (("runs", runs, RUNS), ("jobs", jobs, schema.JOBS)):
         known = frame.drop("_file")
@@ -61,6 +65,21 @@ def compact(store: Store) -> int:
     return now
 
 
+def _counts(store: Store, kind: str, joining: list[dict]) -> DataFrame:
+    """Rollup of the runs since the last time and of the parts that join them.
+
+    Runs and parts of a store older than its rollups are counted here, from their lines.
+    """
+    found = [store.loose_rollup(kind), rollups.rolled(store.loose_uncounted(), kind)]
+    for part in joining:
+        if part.get("rolled"):
+            found.append(store.packed_rollup(kind, part))
+        else:
+            records = store.packed_lines([part]).where(F.col("outcome") == RECORD)
+            found.append(rollups.rolled(records, kind))
+    return rollups.added(found, kind)
+
+
 def vacuum(store: Store) -> int:
     """Delete what the newest generation and the newest issues no longer need; returns the number of paths.
 
@@ -73,10 +92,12 @@ def vacuum(store: Store) -> int:
         folder = store.generation_path(generation)
         gone += [r["_file"] for r in spark.read.schema("_file string").parquet(f"{folder}/sources").collect()]
         merged = {r["run"] for r in spark.read.schema(RUNS).parquet(f"{folder}/runs").select("run").collect()}
-        for table in ("lines", "folds", "progress"):
+        for table in ("lines", "folds", "progress", *rollups.ROLLUPS):
             found = store._names(f"{store.base}/{table}")
             gone += [f"{store.base}/{table}/{x}" for x in found if x.removeprefix("run=") in merged]
-        kept = {f"generation={generation}", *(part["name"] for part in store.line_parts(generation))}
+        parts_now = store.line_parts(generation)
+        kept = {f"generation={generation}", *(part["name"] for part in parts_now)}
+        kept |= {rollup_name(kind, part) for part in parts_now for kind in rollups.ROLLUPS}
         gone += [f"{store.base}/packed/{x}" for x in store._names(f"{store.base}/packed") if x not in kept]
     parts = store.issue_parts()
     newest = store.issues_version()

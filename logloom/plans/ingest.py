@@ -117,7 +117,8 @@ def commit_run(store: Store, run: str, at: datetime, failed: Sequence[str] = ())
         F.min("timestamp").alias("first_event"),
         F.max("timestamp").alias("last_event"),
     )
-    store.publish(run, version + 1, parts, totals, at, failed)
+    store.write_rollups(run)
+    store.publish(run, version + 1, parts, totals, at, failed, rolled=True)
     return store.runs().where(F.col("run") == run)
 
 

@@ -3,6 +3,8 @@
 Layout under the base folder::
 
     lines/run=<run>/outcome=<record|reject>/event_date=<day>/...   append only
+    minutes/run=<run>/event_date=<day>/...      counts of a run's records per minute
+    days/run=<run>/event_date=<day>/...            the same per day and host
     folds/run=<run>/...                            issues of one run alone
     issues/version=<n>/bucket=<b>/...   buckets of issues that version n rewrote
     jobs/...                                     one row per job transition
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 
 from logloom import schema
 from logloom.functions.times import instant_lit, parse_instant
-from logloom.operators import ledger
+from logloom.operators import ledger, rollups
 
 RECORD, REJECT = "record", "reject"
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -52,6 +54,8 @@ RUNS = T.StructType(
         T.StructField("issue_parts", T.ArrayType(T.LongType())),
         # Files that could not be read.
         T.StructField("failed", T.ArrayType(T.StringType())),
+        # Whether the run's records are counted in the rollups; runs of older stores are not.
+        T.StructField("rolled", T.BooleanType()),
     ]
 )
 
@@ -220,6 +224,43 @@ class Store:
             .select(*schema.RECORD_COLUMNS, "event_date")
         )
 
+    def _loose_rolled(self, counted: bool) -> DataFrame:
+        """Names of runs that no compaction has merged, with or without rollups."""
+        has = F.coalesce("rolled", F.lit(False)) == counted
+        runs = self.loose("runs", RUNS, self.generation())
+        return runs.where(has & (F.col("processed_lines") > 0)).select("run")
+
+    def loose_rollup(self, kind: str) -> DataFrame:
+        """Rollup of the runs that no compaction has merged."""
+        columns = rollups.ROLLUPS[kind]
+        path = f"{self.base}/{kind}"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], columns)
+        found = self.spark.read.schema(T.StructType([*columns, T.StructField("run", T.StringType())])).parquet(path)
+        return found.join(self._loose_rolled(True), "run", "left_semi").select(*columns.names)
+
+    def packed_rollup(self, kind: str, part: dict) -> DataFrame:
+        return self.spark.read.schema(rollups.ROLLUPS[kind]).parquet(f"{self.base}/packed/{rollup_name(kind, part)}")
+
+    def rollup(self, kind: str) -> DataFrame:
+        """Counts of the records of all runs that have them; a key may occur once per run."""
+        parts = [part for part in self.line_parts(self.generation()) if part.get("rolled")]
+        found = [self.packed_rollup(kind, part) for part in parts]
+        return reduce(DataFrame.unionByName, [*found, self.loose_rollup(kind)])
+
+    def loose_uncounted(self) -> DataFrame:
+        """Records of the runs that neither a compaction has merged nor a rollup counts."""
+        lines = self._loose_lines().join(self._loose_rolled(False), "run", "left_semi")
+        return lines.where(F.col("outcome") == RECORD)
+
+    def uncounted(self) -> DataFrame | None:
+        """Records that no rollup counts, written before there were any; None if there are none."""
+        parts = [part for part in self.line_parts(self.generation()) if not part.get("rolled")]
+        found = [self.packed_lines([part]).where(F.col("outcome") == RECORD) for part in parts]
+        if not self._loose_rolled(False).isEmpty():
+            found.append(self.loose_uncounted())
+        return reduce(DataFrame.unionByName, found) if found else None
+
     def rejects(self) -> DataFrame:
         return (
             self.lines()
@@ -294,6 +335,24 @@ class Store:
             .parquet(f"{self.base}/lines/run={run}")
         )
 
+    def write_rollups(self, run: str) -> None:
+        """Count the written records of a run; only the columns of the keys are read."""
+        records = self.run_lines(run).where(F.col("outcome") == RECORD)
+        for kind in rollups.ROLLUPS:
+            self.write_rollup(rollups.rolled(records, kind), kind, f"{self.base}/{kind}/run={run}")
+
+    def write_rollup(self, rollup: DataFrame, kind: str, path: str) -> None:
+        """Partitions of the advised size; a large day is split, small days share one."""
+        order = [name for name in ("event_date", "minute", "fingerprint") if name in rollup.columns]
+        (
+            rollup.select(*rollups.ROLLUPS[kind].names)
+            .hint("rebalance", F.col("event_date"))
+            .sortWithinPartitions(*order)
+            .write.mode("overwrite")
+            .partitionBy("event_date")
+            .parquet(path)
+        )
+
     def write_fold(self, folded: DataFrame, run: str) -> DataFrame:
         """Keep the issues of one run alone, and read them back."""
         path = f"{self.base}/folds/run={run}"
@@ -347,8 +406,9 @@ class Store:
         totals: DataFrame,
         at: datetime,
         failed: Sequence[str] = (),
+        rolled: bool = False,
     ) -> None:
-        """Make a run visible. ``totals`` holds its single row of counts."""
+        """Make a run visible. ``totals`` holds its single row of counts, ``rolled`` tells of its rollups."""
         row = totals.select(
             F.lit(run).alias("run"),
             F.lit(issues_version).cast("bigint").alias("issues_version"),
@@ -359,9 +419,15 @@ class Store:
             instant_lit(parse_instant(at)).alias("published_at"),
             F.array(*[F.lit(p) for p in issue_parts]).cast("array<bigint>").alias("issue_parts"),
             F.array(*[F.lit(f) for f in failed]).cast("array<string>").alias("failed"),
+            F.lit(rolled).alias("rolled"),
         )
         row.coalesce(1).write.mode("append").parquet(f"{self.base}/runs")
 
 
+def rollup_name(kind: str, part: dict) -> str:
+    """Folder of a merged part's rollup, beside that of its lines."""
+    return part["name"].replace("lines-", f"{kind}-", 1)
+
+
 def bucket_of(fingerprint: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(fingerprint), F.lit(buckets)).cast("int")

@@ -89,6 +89,27 @@ LINES = T.StructType(
     ]
 )
 
+# Counts of records: per minute and issue, and per day, issue and host.
+MINUTES = T.StructType(
+    [
+        T.StructField("minute", T.TimestampType()),
+        T.StructField("fingerprint", T.StringType()),
+        T.StructField("service_name", T.StringType()),
+        T.StructField("severity_number", T.IntegerType()),
+        T.StructField("total", T.LongType()),
+        T.StructField("event_date", T.DateType()),
+    ]
+)
+DAYS = T.StructType(
+    [
+        T.StructField("fingerprint", T.StringType()),
+        T.StructField("service_name", T.StringType()),
+        T.StructField("host", T.StringType()),
+        T.StructField("total", T.LongType()),
+        T.StructField("event_date", T.DateType()),
+    ]
+)
+
 # Issue states.
 UNRESOLVED, RESOLVED, IGNORED = "unresolved", "resolved", "ignored"
 STATUSES = (UNRESOLVED, RESOLVED, IGNORED)
