@@ -49,7 +49,7 @@ def compact(store: Store) -> int:
         )
         for kind in rollups.ROLLUPS:
             whole = _counts(store, kind, joining)
-            store.write_rollup(whole, kind, f"{store.base}/packed/{rollup_name(kind, part)}")
+            store.write_rollup(whole, kind, f"{store.base}/rolled/{rollup_name(kind, part)}")
         parts.append(part)
     for name, frame, columns in (("runs", runs, RUNS), ("jobs", jobs, schema.JOBS)):
         known = frame.drop("_file")
@@ -97,8 +97,9 @@ def vacuum(store: Store) -> int:
             gone += [f"{store.base}/{table}/{x}" for x in found if x.removeprefix("run=") in merged]
         parts_now = store.line_parts(generation)
         kept = {f"generation={generation}", *(part["name"] for part in parts_now)}
-        kept |= {rollup_name(kind, part) for part in parts_now for kind in rollups.ROLLUPS}
+        counted = {rollup_name(kind, part) for part in parts_now for kind in rollups.ROLLUPS}
         gone += [f"{store.base}/packed/{x}" for x in store._names(f"{store.base}/packed") if x not in kept]
+        gone += [f"{store.base}/rolled/{x}" for x in store._names(f"{store.base}/rolled") if x not in counted]
     parts = store.issue_parts()
     newest = store.issues_version()
     for name in store._names(f"{store.base}/issues"):

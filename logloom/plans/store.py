@@ -11,7 +11,7 @@ Layout under the base folder::
     progress/run=<run>/...                  counts taken while a run is written
     refused/run=<run>/...                          actions that could not be taken
     runs/...                                     one row per published run
-    packed/...                                 what ``compaction`` has merged
+    packed/..., rolled/...         what ``compaction`` has merged, and its counts
 
 Readers follow the ``runs`` table only, so the records and issues of a run
 appear together and a run that died half way is never seen. Issues are dealt over
@@ -240,7 +240,7 @@ class Store:
         return found.join(self._loose_rolled(True), "run", "left_semi").select(*columns.names)
 
     def packed_rollup(self, kind: str, part: dict) -> DataFrame:
-        return self.spark.read.schema(rollups.ROLLUPS[kind]).parquet(f"{self.base}/packed/{rollup_name(kind, part)}")
+        return self.spark.read.schema(rollups.ROLLUPS[kind]).parquet(f"{self.base}/rolled/{rollup_name(kind, part)}")
 
     def rollup(self, kind: str) -> DataFrame:
         """Counts of the records of all runs that have them; a key may occur once per run."""
@@ -425,7 +425,7 @@ class Store:
 
 
 def rollup_name(kind: str, part: dict) -> str:
-    """Folder of a merged part's rollup, beside that of its lines."""
+    """Folder of a merged part's rollup."""
     return part["name"].replace("lines-", f"{kind}-", 1)
 
 
