@@ -285,20 +285,37 @@ def word_spans(
     return mapped, begin, end, counts
 
 
-# --- rows of a few ids ----------------------------------------------------------
+# --- rows with wanted keys ------------------------------------------------------
 
-#: Fixed number of hash slots that tell which ids are wanted at all.
-SLOTS = 1 << 20
+#: Slots of a filter per key, and slots of the largest filter, which has 128 MB.
+SLOTS_PER_KEY, MOST_SLOTS = 8, 1 << 30
+#: Bits of one of Spark's bitmaps, as a power of two.
+_BITS = 15
 
 
-def slot(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")
+def slots_for(keys: int) -> int:
+    """Slots of a filter for so many keys: a power of two, of which an eighth is taken at most."""
+    return 1 << max(_BITS, (SLOTS_PER_KEY * keys - 1).bit_length())
 
 
-def slots(ids: DataFrame, column: str) -> DataFrame:
-    """Slots of the ids, a million at most, to be broadcast.
+def marked(frame: DataFrame, keys: DataFrame, names: Sequence[str], mark: str, most: int | None = None) -> DataFrame:
+    """``frame`` with a boolean ``mark``: true for all rows whose ``names`` are in ``keys``, and for few others.
 
-    Rows outside these slots need not be shuffled to find those with the ids; a
-    taken slot only costs a needless row.
+    The keys become one bit each of a filter that grows with their number and is
+    broadcast. Rows that are not marked need not be shuffled to find those with the
+    keys. Keys that need a filter beyond ``most`` slots have none: all rows are
+    marked, and the join that follows sorts them out. Null is a key like any other.
     """
-    return F.broadcast(ids.select(slot(column).alias("_slot")).distinct())
+    slots = slots_for(keys.count())
+    if slots > (MOST_SLOTS if most is None else most):
+        return frame.withColumn(mark, F.lit(True))
+    place = F.pmod(F.xxhash64(*names), F.lit(slots))
+    bit = F.col("_slot") % (1 << _BITS)
+    word = F.shiftright("_slot", _BITS).alias("_word")
+    bits = keys.select(place.alias("_slot")).select(word, bit.alias("_bit"))
+    bits = stored(bits.groupBy("_word").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "slots")
+    here = frame.withColumn("_slot", place).select("*", word)
+    byte = F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))
+    taken = F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), (bit % 8).cast("int")) == 1
+    met = here.join(F.broadcast(bits), "_word", "left")
+    return met.withColumn(mark, F.coalesce(taken, F.lit(False))).drop("_word", "_slot", "_bits")

@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import ascii_lower, join_unique, stored, without
+from logloom.llm import common
+from logloom.llm.common import ascii_lower, join_unique, marked, slots_for, stored, without
 
 #: Bytes of the text that the second level looks at.
 PREFIX = 64
-#: Fixed number of buckets of (length, prefix) that are handed to all tasks.
-BUCKETS = 1 << 18
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("_size", "_prefix"), F.lit(BUCKETS)).cast("int")
+def levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``_level``, the level that settles a row: 1 length, 2 prefix, 3 full text.
+
+    Lengths are counted first, prefixes are hashed only where the length occurs
+    again. Filters of the lengths and prefixes that occur again grow with their
+    number; a shared slot takes a row one level further than it need go. Beyond the
+    largest filter rows meet the prefixes that occur again in a join.
+    """
+    docs = without(docs, ["_level", "_size", "_prefix", "_again", "_slot", "_word", "_bits", "_fan", "_salt"])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sized = docs.withColumn("_size", F.octet_length(text))
+    lengths = sized.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = marked(sized, stored(lengths, "lengths"), ["_size"], "_again")
+    again = first.where("_again").drop("_again")
+    again = again.withColumn("_prefix", F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX))))
+
+    shape = ["_size", "_prefix"]
+    shapes = stored(again.groupBy(*shape).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shapes")
+    if slots_for(shapes.count()) <= common.MOST_SLOTS:
+        second = marked(again, shapes, shape, "_again")
+    else:
+        known = shapes.select(*shape, F.lit(True).alias("_again"))
+        second = join_unique(again, known, shape, [id_col], "left", shapes)
+    third = F.when(F.col("_again"), 3).otherwise(2).alias("_level")
+    alone = first.where(~F.col("_again")).select(*docs.columns, F.lit(1).alias("_level"))
+    return alone.unionByName(second.select(*docs.columns, third))
 
 
 def exact_dedup(
@@ -26,13 +49,10 @@ def exact_dedup(
     Texts are equal when they are identical after lower-casing A-Z; of equal texts
     the row with the largest id stays.
 
-    1. One narrow scan counts texts by length in bytes; a length that occurs once
-       settles its document.
-    2. The same counts, by prefix hash within a length, settle more.
-    3. Only texts whose length and prefix occur again are hashed in full and
-       grouped. Which ones that are comes as a list of hash buckets with a fixed
-       bound. A shared bucket only costs a needless hash, and past the size at which
-       all buckets are taken every text is hashed; the result is the same.
+    1. One scan counts texts by length in bytes; a length that occurs once settles
+       its document.
+    2. Prefixes of the others are hashed and counted by length, which settles more.
+    3. Only texts whose length and prefix occur again are hashed in full and grouped.
 
     Only rows of the third level are shuffled. A group that holds many rows is dealt
     over several tasks. ``digests`` gives ``text_sha256`` to settled rows, too;
@@ -42,22 +62,11 @@ def exact_dedup(
     share its fate; null is the smallest id. Empty tables give empty results. Input
     columns named like a result column are replaced.
     """
-    docs = without(docs, [*RESULT, "_size", "_prefix", "_bucket", "_again", "_hash", "_best", "_n", "_fan", "_salt"])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    size = F.octet_length(text)
-    prefix = F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX)))
-
-    shapes = docs.select(size.alias("_size"), prefix.alias("_prefix")).groupBy("_size", "_prefix")
-    shapes = stored(shapes.agg(F.count(F.lit(1)).alias("_n")), "shapes")
-    lengths = shapes.groupBy("_size").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_size")
-    again = shapes.where("_n > 1").join(lengths, "_size", "left_semi")
-    buckets = again.select(_bucket().alias("_bucket")).distinct().withColumn("_again", F.lit(True))
-
-    shaped = docs.withColumns({"_size": size, "_prefix": prefix}).withColumn("_bucket", _bucket())
-    marked = shaped.join(F.broadcast(buckets), "_bucket", "left").drop("_bucket", "_size", "_prefix")
-    full = F.sha2(ascii_lower(text).cast("binary"), 256)
-    survivors = marked.where("_again").drop("_again").withColumn("_hash", full)
-    settled = marked.where("_again IS NULL").drop("_again")
+    docs = without(docs, [*RESULT, "_hash", "_best", "_n"])
+    found = levels(docs, id_col, text_col)
+    full = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
+    survivors = found.where("_level = 3").drop("_level").withColumn("_hash", full)
+    settled = found.where("_level < 3").drop("_level")
 
     groups = stored(
         survivors.groupBy("_hash").agg(F.max(id_col).alias("_best"), F.count(F.lit(1)).alias("_n")),

@@ -14,10 +14,9 @@ from logloom.llm.common import (
     WordHasher,
     components,
     join_unique,
+    marked,
     mix,
     slices,
-    slot,
-    slots,
     small_batches,
     stored,
     text_buffer,
@@ -158,8 +157,8 @@ def candidate_components(classes: DataFrame) -> DataFrame:
 
 def _with_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Shingle sets of the wanted classes, from the text of one of their documents."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("_slot", slot("id"))
-    texts = texts.join(slots(wanted, "id"), "_slot", "left_semi").drop("_slot")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = marked(texts, wanted, ["id"], "_hit").where("_hit").drop("_hit")
     # Null is an id like any other here.
     met = texts.alias("t").join(wanted.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")))
     chosen = met.select("text", "set_key", "node", "component", "size", "copies", "signature")
@@ -361,12 +360,11 @@ def similar(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the document of the largest id left of each class.
 
-    Rows with the same id share a fate. Documents whose id is in no hash slot of a
+    Rows with the same id share a fate. Documents whose id is in no filter slot of a
     dropped one pass by without a shuffle.
     """
     found = similar(docs, id_col, text_col, threshold)
     dropped = stored(found.where(F.col(id_col) < F.col("class_id")).select(id_col).distinct(), "dropped")
-    here = without(docs, ["_slot", "_hit"]).withColumn("_slot", slot(id_col))
-    marked = here.join(slots(dropped, id_col).withColumn("_hit", F.lit(True)), "_slot", "left").drop("_slot")
-    safe = marked.where("_hit IS NULL").drop("_hit")
-    return safe.unionByName(marked.where("_hit").drop("_hit").join(dropped, id_col, "left_anti"))
+    here = marked(without(docs, ["_slot", "_word", "_bits", "_hit"]), dropped, [id_col], "_hit")
+    safe = here.where(~F.col("_hit")).drop("_hit")
+    return safe.unionByName(here.where("_hit").drop("_hit").join(dropped, id_col, "left_anti"))

@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.llm import common
 from logloom.llm import similar as similar_module
-from logloom.llm.common import components
-from logloom.llm.exact import exact_dedup
+from logloom.llm.common import components, marked, slots_for
+from logloom.llm.exact import PREFIX, exact_dedup, levels
 from logloom.llm.similar import least_matches, one_of_each, similar
 from logloom.llm.substrings import packed, remove_repeated, unpacked
 
@@ -50,6 +51,43 @@ def test_exact_dedup_equals_brute_force(spark):
             assert r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def by_level(rows):
+    """Rows that each level settles: a length of its own, a prefix of its own, the others."""
+    folded = [(t or "").translate(FOLD) for _, t in rows]
+    size = Counter(len(t.encode()) for t in folded)
+    shape = Counter((len(t.encode()), t[:PREFIX]) for t in folded)
+    found = Counter()
+    for t in folded:
+        n = len(t.encode())
+        found[1 if size[n] == 1 else 2 if shape[n, t[:PREFIX]] == 1 else 3] += 1
+    return found
+
+
+@pytest.mark.parametrize("most", [common.MOST_SLOTS, 0])
+def test_each_level_decides(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_SLOTS", most)
+    rows = copies(random.Random(4))
+    rows += [(1000 + i, f"{i:04d}" + "same length") for i in range(50)]
+    rows += [(2000 + i, "y" * (400_000 + i)) for i in range(20)]
+    wanted = by_level(rows)
+    assert min(wanted[k] for k in (1, 2, 3)) >= 10
+    got = {r["_level"]: r["count"] for r in levels(frame(spark, rows)).groupBy("_level").count().collect()}
+    # Without a filter of lengths all rows reach the second level; a row may share a slot by chance.
+    assert got.get(1, 0) == (wanted[1] if most else 0)
+    assert got[3] == wanted[3] and sum(got.values()) == len(rows)
+    kept = {r["doc_id"] for r in exact_dedup(frame(spark, rows)).where("kept").collect()}
+    assert kept == set({(t or "").translate(FOLD): i for i, t in sorted(rows)}.values())
+
+
+def test_filter_grows_with_its_keys(spark):
+    keys = spark.range(100_000).select((F.col("id") * 7).alias("k"))
+    found = marked(spark.range(700_000).withColumnRenamed("id", "k"), keys, ["k"], "hit")
+    wanted = F.col("k") % 7 == 0
+    missed, wrong = found.agg(F.count_if(wanted & ~F.col("hit")), F.count_if(~wanted & F.col("hit"))).first()
+    assert missed == 0 and wrong < 0.13 * 600_000
+    assert slots_for(100_000) == 1 << 20 and slots_for(0) == slots_for(1) == 1 << 15
+
+
 def test_exact_dedup_without_digests_hashes_survivors_only(spark):
     rows = exact_dedup(frame(spark, [(1, "one"), (2, "two"), (3, "TWO"), (4, "longer text")]), digests=False).collect()
     assert {r["doc_id"] for r in rows if r["text_sha256"]} == {2, 3}
