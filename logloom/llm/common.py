@@ -287,15 +287,15 @@ def word_spans(
 
 # --- rows with wanted keys ------------------------------------------------------
 
-#: Slots of a filter per key, and slots of the largest filter, which has 128 MB.
-SLOTS_PER_KEY, MOST_SLOTS = 8, 1 << 30
-#: Bits of one of Spark's bitmaps, as a power of two.
-_BITS = 15
+#: Slots of a filter per key, of the smallest and of the largest filter: four million words, some 200 MB.
+SLOTS_PER_KEY, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 15, 1 << 28
+#: Bits of a word, as a power of two.
+_BITS = 6
 
 
 def slots_for(keys: int) -> int:
     """Slots of a filter for so many keys: a power of two, of which an eighth is taken at most."""
-    return 1 << max(_BITS, (SLOTS_PER_KEY * keys - 1).bit_length())
+    return max(LEAST_SLOTS, 1 << (SLOTS_PER_KEY * keys - 1).bit_length())
 
 
 def marked(frame: DataFrame, keys: DataFrame, names: Sequence[str], mark: str, most: int | None = None) -> DataFrame:
@@ -313,9 +313,9 @@ def marked(frame: DataFrame, keys: DataFrame, names: Sequence[str], mark: str, m
     bit = F.col("_slot") % (1 << _BITS)
     word = F.shiftright("_slot", _BITS).alias("_word")
     bits = keys.select(place.alias("_slot")).select(word, bit.alias("_bit"))
-    bits = stored(bits.groupBy("_word").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "slots")
+    own = F.expr("bit_or(shiftleft(1L, cast(_bit AS int)))").alias("_bits")
+    bits = stored(bits.groupBy("_word").agg(own), "slots")
     here = frame.withColumn("_slot", place).select("*", word)
-    byte = F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))
-    taken = F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), (bit % 8).cast("int")) == 1
+    taken = F.getbit("_bits", bit.cast("int")) == 1
     met = here.join(F.broadcast(bits), "_word", "left")
     return met.withColumn(mark, F.coalesce(taken, F.lit(False))).drop("_word", "_slot", "_bits")
