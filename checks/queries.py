@@ -13,7 +13,7 @@ from checks.corpus import shown
 from logloom import schema
 from logloom.functions import jsontext, severity, times, tokenizer
 from logloom.functions.fingerprint import pattern
-from logloom.functions.text import first_line
+from logloom.functions.text import first_line, once
 from logloom.functions.times import iso_text
 from logloom.operators import analytics, filters, integrity, issues, ledger, listing, records
 from logloom.plans import compaction, dashboards
@@ -1188,8 +1188,11 @@ def long_spans(spark, sf_dir):
     """Addresses behind long runs of their signs."""
     found = corpus.log_events(spark, sf_dir).select(F.col("sequence").alias("event_id"), corpus.long_runs().alias("m"))
     spans = F.filter(tokenizer.tokenize(F.col("m")), lambda s: s["type"] == "variable")
-    return found.select(
-        "event_id",
-        F.array_join(F.transform(spans, lambda s: s["kind"]), ",").alias("kinds"),
-        F.aggregate(spans, F.lit(0), lambda n, s: n + F.length(s["value"])).alias("signs"),
+    both = once(
+        spans,
+        lambda found: F.struct(
+            F.array_join(F.transform(found, lambda s: s["kind"]), ",").alias("kinds"),
+            F.aggregate(found, F.lit(0), lambda n, s: n + F.length(s["value"])).alias("signs"),
+        ),
     )
+    return found.select("event_id", F.inline(F.array(both)))

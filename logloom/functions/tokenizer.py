@@ -65,7 +65,8 @@ _PATH = (
 # An e-mail address is looked for once per run of its signs, however long the run is:
 # if the run's first sign begins none, no later sign does. It is looked for again only
 # past what may have taken the run's first signs before: a date, the end of a time, a
-# UUID or a path. Else a long run would be read to its end again from every sign.
+# UUID or a path. Else a long run would be read to its end again from every sign. The
+# looks back of many lengths are taken only where the last two signs allow for one.
 _LOCAL, _SIGN = "[A-Za-z0-9._%+-]", "[.%+-]"
 _AFTER = (
     r"(?<=[0-9]{4}-[0-9]{2}-[0-9]{2}" + _SIGN + ")",
@@ -73,18 +74,24 @@ _AFTER = (
     f"(?<=-{_HEX}{{12}}{_SIGN})",
     rf"(?<=\+)(?<=/{_SEGMENT}{{0,255}}\+)",
 )
-_ONCE_PER_RUN = f"(?:(?<!{_LOCAL})|\\G|{'|'.join(_AFTER)})"
+_ONCE_PER_RUN = (
+    f"(?:(?<!{_LOCAL})|\\G|(?<=[0-9a-fA-FZ]{_SIGN})(?:{'|'.join(_AFTER[:3])})|{_AFTER[3]})"
+)
+
+
+# Signs that a value other than an address begins with: at most signs of a text none does.
+_FIRST = "[0-9a-fA-F:]"
 
 
 def _variable(email: bool) -> str:
-    scalars = "|".join(
-        (_ONCE_PER_RUN if kind == "email" else "") + f"(?>{pattern})(?!{_WORD})"
-        for kind, pattern in SCALARS
-        if email or kind != "email"
-    )
-    return (
-        f"\"[^\"]++\"|'[^']++'|(?=/){_PATH}|(?<!{_WORD})(?:{scalars}|(?>{NUMBER}){_WORD}*+)"
-    )
+    def scalar(kind: str, pattern: str) -> str:
+        return (_ONCE_PER_RUN if kind == "email" else "") + f"(?>{pattern})(?!{_WORD})"
+
+    scalars = "|".join(scalar(kind, pattern) for kind, pattern in SCALARS if email or kind != "email")
+    found = f"(?={_FIRST})(?:{scalars}|(?>{NUMBER}){_WORD}*+)"
+    if email:
+        found += f"|(?!{_FIRST}){scalar('email', dict(SCALARS)['email'])}"
+    return f"\"[^\"]++\"|'[^']++'|(?=/){_PATH}|(?<!{_WORD})(?:{found})"
 
 
 _WITH_EMAIL, _WITHOUT_EMAIL = _variable(True), _variable(False)
