@@ -1024,12 +1024,14 @@ def stream_issues(spark, sf_dir):
 
 @query
 def stream_batches(spark, sf_dir):
-    """The same files in batches of three; the size of a batch changes no issue."""
+    """The same files in batches of three of eight; the size of a batch changes no issue."""
     folder = corpus.new_folder(spark)
     corpus.write_landing(spark, sf_dir, f"{folder}/landing")
+    # A service has more files where there are more events, not the stream more batches.
+    files = line_ops.file_sizes(spark, f"{folder}/landing/*").count()
     streaming.start_import(
         spark, f"{folder}/landing/*", f"{folder}/store", f"{folder}/progress",
-        max_files_per_batch=3, now=corpus.OBSERVED_AT,
+        max_files_per_batch=max(3, -(-3 * files // len(corpus.SERVICES))), now=corpus.OBSERVED_AT,
     ).awaitTermination()
     return _issue_view(Store(spark, f"{folder}/store").issues()).drop("resolved_at")
 
@@ -1170,10 +1172,12 @@ def stream_state(spark, sf_dir):
     """Issues kept as state of a stream that takes the lines in several batches."""
     folder = corpus.new_folder(spark)
     rows = corpus.mixed_lines(spark, sf_dir).select("arrival", "value", "kind")
-    rows.repartition(4, F.col("arrival.row")).write.parquet(f"{folder}/queue")
+    # Two batches, of more files where there are more events.
+    half = 2 * corpus.tasks_of(corpus.table(spark, sf_dir, "events"))
+    rows.repartition(2 * half, F.col("arrival.row")).write.parquet(f"{folder}/queue")
 
     def lines(kind):
-        reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2)
+        reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", half)
         return reader.parquet(f"{folder}/queue").where(F.col("kind") == kind).drop("kind")
 
     kinds = [source.source_type for source in registry.SOURCES]

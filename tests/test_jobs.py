@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from checks import corpus
 from logloom.operators import analytics, integrity, listing
 from logloom.plans.actions import store_actions
 from logloom.plans.ingest import EmptyInput, choose_formats, ingest, reprocess, reprocess_into
@@ -273,3 +274,31 @@ def test_batches_of_a_stream_without_files(spark, tmp_path):
     assert store.runs().count() == 1 and store.records().count() == 34
     assert store.rejects().count() == 2 and store.issues().count() == 3
     assert {r["status"] for r in store.jobs().collect()} == {"COMPLETED"}
+
+
+def _events_in_one_row_group(spark, folder, rows):
+    events = spark.range(rows - 1, -1, -1, 1).select(
+        F.when(F.col("id") != 7, F.col("id")).alias("event_id"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 100).alias("user_id"),
+        F.lit("error").alias("event_type"),
+        F.lit(1.5).alias("value"),
+        F.lit('{"k": 3}').alias("props"),
+    )
+    events.coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+
+def test_rows_of_one_row_group_are_worked_on_by_several_tasks(spark, tmp_path):
+    _events_in_one_row_group(spark, tmp_path, 3 * corpus.LEAST_ROWS)
+    found = corpus.log_events(spark, str(tmp_path)).select("sequence", F.spark_partition_id().alias("task"))
+    tasks = found.groupBy("task").agg(F.count("*").alias("n"), F.min("sequence").alias("a"), F.max("sequence").alias("b"))
+    tasks = tasks.orderBy("task").collect()
+    assert len(tasks) == 3 and max(t["n"] for t in tasks) < 2 * corpus.LEAST_ROWS
+    assert sum(t["n"] for t in tasks) == 3 * corpus.LEAST_ROWS
+    assert all(first["b"] < second["a"] for first, second in zip(tasks, tasks[1:]))
+
+
+def test_a_task_holds_a_bounded_number_of_rows():
+    assert [corpus.tasks_for(n, 12) for n in (0, 1, 10_000, 10_001, 100_000, 6_000_000, 36_000_000)] == [
+        1, 1, 1, 2, 10, 24, 144,
+    ]
