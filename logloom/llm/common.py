@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +161,30 @@ def small_batches(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The task of a worker, which hands back at its end what it held at its height.
+
+    Spark keeps workers for later tasks, and takes the one that rested longest: without
+    this all workers that ever ran together stay as large as their largest task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    """Give free memory of this process back to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a column of strings, and where each begins; null counts as empty."""
     if column.null_count:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +13,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from logloom.llm.common import mix, slices, small_batches, text_buffer, without
+from logloom.llm.common import frugal, mix, slices, small_batches, text_buffer, without
 from logloom.llm.packing import TOKENIZERS, read_bytes
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 #: Words of more signs go through the agenda one by one, shorter ones many at a time.
 WIDE = 48
+#: Words are merged together with those up to the next of these lengths.
+WIDTHS = np.array([4, 8, 12, 16, 24, WIDE])
 RESULT = ("pieces",)
 
 _SPACE = 0x2581
 _OUTSIDE = 1 << 21  # symbols of signs that the vocabulary lacks, plus the code point
-_NONE = np.iinfo(np.int64).max
+_PAIR = 22  # bits of the right symbol in the key of a pair
+_FILL = (1 << _PAIR) - 1  # behind the end of a word, part of no pair
+_NONE = np.iinfo(np.int32).max
 _ROWS = 1 << 15
-_SLICE = 1 << 21
+_SLICE = 1 << 20
 
 
 class PieceModel:
@@ -42,27 +46,14 @@ class PieceModel:
             not (held.is_byte(i) or held.is_control(i) or held.is_unknown(i) or held.is_unused(i))
             for i in range(n)
         ]
+        self._plain = plain
         scores = np.array([held.get_score(i) for i in range(n)])
         #: Merges with the higher score come first.
-        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)
+        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
         self.byte_ids = np.zeros(256, np.int64)
         for i in range(n):
             if held.is_byte(i):
                 self.byte_ids[int(self.pieces[i][3:5], 16)] = i
-        self.sign = np.full(0x110000, -1, np.int64)
-        ids = {p: i for i, p in enumerate(self.pieces) if plain[i]}
-        for piece, i in ids.items():
-            if len(piece) == 1:
-                self.sign[ord(piece)] = i
-        self.sign[0x20], self.sign[_SPACE] = self.sign[_SPACE], -1
-        merges = {}
-        for piece, i in ids.items():
-            for cut in range(1, len(piece)):
-                left, right = ids.get(piece[:cut]), ids.get(piece[cut:])
-                if left is not None and right is not None:
-                    merges[left * _OUTSIDE + right] = i
-        self.merge_keys = np.array(sorted(merges), np.int64)
-        self.merge_ids = np.array([merges[k] for k in sorted(merges)], np.int64)
         raw = [
             bytes([int(p[3:5], 16)]) if held.is_byte(i) else p.replace("▁", " ").encode() if plain[i] else b""
             for i, p in enumerate(self.pieces)
@@ -71,15 +62,67 @@ class PieceModel:
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
+    @cached_property
+    def sign(self) -> np.ndarray:
+        """Piece of each sign, or the symbol of one that the vocabulary lacks."""
+        sign = np.arange(_OUTSIDE, _OUTSIDE + 0x110000, dtype=np.int32)
+        for i, piece in enumerate(self.pieces):
+            if self._plain[i] and len(piece) == 1:
+                sign[ord(piece)] = i
+        # A literal U+2581 would decode to a space, so it goes as bytes.
+        if sign[_SPACE] < _OUTSIDE:
+            sign[0x20], sign[_SPACE] = sign[_SPACE], _OUTSIDE + _SPACE
+        return sign
+
     @cached_property
     def merge_of(self) -> dict[int, int]:
-        return dict(zip(self.merge_keys.tolist(), self.merge_ids.tolist()))
+        """Piece that a pair of pieces makes."""
+        ids = {p: i for i, p in enumerate(self.pieces) if self._plain[i]}
+        merges: dict[int, int] = {}
+        for piece, i in ids.items():
+            for cut in range(1, len(piece)):
+                left, right = ids.get(piece[:cut]), ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    merges[left << _PAIR | right] = i
+        return merges
 
-    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Piece that two symbols make together, -1 if none."""
-        key = left * _OUTSIDE + right
-        at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
-        return np.where((self.merge_keys[at] == key) & (left < _OUTSIDE) & (right < _OUTSIDE), self.merge_ids[at], -1)
+    @cached_property
+    def _slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+        """Keys of the pairs in order, their pieces and ranks, and where each slot's pair is.
+
+        The last entry stands for no pair; a slot that several pairs share has -1.
+        """
+        keys = np.array(sorted(self.merge_of), np.int64)
+        made = np.array([self.merge_of[k] for k in keys.tolist()], np.int32)
+        bits = max(len(keys), 1).bit_length() + 3
+        shift = np.uint64(64 - bits)
+        slot = _hashed(keys, shift)
+        at = np.full(1 << bits, len(keys), np.int32)
+        at[slot] = np.arange(len(keys))
+        at[np.flatnonzero(np.bincount(slot, minlength=1 << bits) > 1)] = -1
+        rank = np.append(self.rank[made], np.int32(_NONE))
+        return np.append(keys, -1), np.append(made, np.int32(-1)), rank, at, shift
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece that two symbols make together and its rank, -1 and the highest if none."""
+        keys, made, rank, slots, shift = self._slots
+        key = left.astype(np.int64) << _PAIR | right
+        at = slots[_hashed(key, shift)]
+        shared = np.nonzero(at < 0)
+        if len(shared[0]):
+            at[shared] = np.searchsorted(keys[:-1], key[shared])
+        at[keys[at] != key] = len(keys) - 1
+        return made[at], rank[at]
+
+
+def _hashed(key: np.ndarray, shift: np.uint64) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def piece_model(model: bytes) -> PieceModel:
+    """The same model for all tasks of a worker."""
+    return PieceModel(model)
 
 
 def units(text: str) -> list[str]:
@@ -137,7 +180,7 @@ def _agenda(model: PieceModel, symbols: list[int], key: int, limit: int) -> list
         j = after[i]
         if j >= n or symbols[i] >= _OUTSIDE or symbols[j] >= _OUTSIDE:
             return
-        made = merges.get(symbols[i] * _OUTSIDE + symbols[j])
+        made = merges.get(symbols[i] << _PAIR | symbols[j])
         if made is not None:
             heapq.heappush(heap, (int(rank[made]), i, end[j], made))
 
@@ -149,7 +192,7 @@ def _agenda(model: PieceModel, symbols: list[int], key: int, limit: int) -> list
         if not alive[i] or after[i] >= n or end[after[i]] != stop:
             continue
         j = after[i]
-        if merges.get(symbols[i] * _OUTSIDE + symbols[j]) != made:
+        if merges.get(symbols[i] << _PAIR | symbols[j]) != made:
             continue
         if limit and _skipped(word, _spot(np.array([i]), np.array([j]), np.array([stop])), limit)[0]:
             continue
@@ -166,11 +209,12 @@ def _agenda(model: PieceModel, symbols: list[int], key: int, limit: int) -> list
 def _together(
     model: PieceModel,
     symbols: np.ndarray,
+    size: np.ndarray,
     keys: np.ndarray | None = None,
     limit: int = 0,
     barred: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for many words of one length at once: in each round every word takes its best merge.
+    """The same for many words at once, filled up to one length: in each round every word takes its best merge.
 
     Whether a candidate is skipped follows from its place in the word and the key
     alone, so the rounds take the same merges as the agenda. ``barred`` names one
@@ -178,62 +222,58 @@ def _together(
     each row are left, and the candidates that were merged, with 0 after the last.
     """
     n, width = symbols.shape
-    left_over = np.full(n, width)
-    done = np.zeros((n, width), np.int64)
+    left_over = np.zeros(n, np.int64)
+    done = np.zeros((n, width), np.int32)
     rows = np.arange(n)
-    s = symbols.copy()
+    s = symbols.astype(np.int32)
     taken = np.zeros((n, width), np.uint64)
-    edge = np.broadcast_to(np.arange(width + 1), (n, width + 1)).copy()
+    edge = np.broadcast_to(np.arange(width + 1, dtype=np.int16), (n, width + 1))
 
-    def weigh(row: np.ndarray, at: np.ndarray) -> np.ndarray:
-        made = model.merged(s[row, at], s[row, at + 1])
-        rank = np.where(made >= 0, model.rank[made], _NONE)
+    def weigh(row: np.ndarray, left, right, start, middle, end) -> np.ndarray:
+        rank = model.merged(left, right)[1]
         if limit or barred is not None:
-            spot = _spot(edge[row, at], edge[row, at + 1], edge[row, at + 2])
+            spot = _spot(start, middle, end)
             if limit:
-                rank[_skipped(keys[rows[row]], spot, limit)] = _NONE
+                rank[_skipped(keys[row], spot, limit)] = _NONE
             if barred is not None:
-                rank[spot == barred[rows[row]]] = _NONE
+                rank[spot == barred[row]] = _NONE
         return rank
 
-    if width > 1:
-        row, at = np.indices((n, width - 1)).reshape(2, -1)
-        cost = weigh(row, at).reshape(n, width - 1)
-    else:
-        cost = np.full((n, 0), _NONE)
-    count = np.full(n, width)
+    cost = weigh(rows[:, None], s[:, :-1], s[:, 1:], edge[:, :-2], edge[:, 1:-1], edge[:, 2:])
     while True:
-        best = cost.argmin(axis=1) if cost.shape[1] else np.zeros(len(rows), np.int64)
-        go = (cost[np.arange(len(rows)), best] < _NONE) if cost.shape[1] else np.zeros(len(rows), bool)
+        now = s.shape[1]
+        if now > 1:
+            best = cost.argmin(axis=1)
+            go = cost[np.arange(len(rows)), best] < _NONE
+        else:
+            best, go = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
         if not go.all():
             stay = ~go
-            done[rows[stay], : s.shape[1]] = s[stay]
-            left_over[rows[stay]] = count[stay]
-            rows, s, edge, cost, count, best = rows[go], s[go], edge[go], cost[go], count[go], best[go]
+            done[rows[stay], :now] = s[stay]
+            left_over[rows[stay]] = size[rows[stay]] - (width - now)
+            rows, s, edge, cost, best = rows[go], s[go], edge[go], cost[go], best[go]
         if not len(rows):
             return done, left_over, taken
         r = np.arange(len(rows))
-        taken[rows, width - s.shape[1]] = _spot(edge[r, best], edge[r, best + 1], edge[r, best + 2])
-        s[r, best] = model.merged(s[r, best], s[r, best + 1])
-        cols = np.arange(s.shape[1] - 1)[None, :]
-        s = np.take_along_axis(s, cols + (cols > best[:, None]), axis=1)
-        cols = np.arange(edge.shape[1] - 1)[None, :]
-        edge = np.take_along_axis(edge, cols + (cols > best[:, None]), axis=1)
-        cols = np.arange(cost.shape[1] - 1)[None, :]
-        cost = np.take_along_axis(cost, cols + (cols >= best[:, None]), axis=1)
-        count = count - 1
+        taken[rows, width - now] = _spot(edge[r, best], edge[r, best + 1], edge[r, best + 2])
+        s[r, best] = model.merged(s[r, best], s[r, best + 1])[0]
+        # The symbol behind the best place goes, with the edge and the candidate between them.
+        before = np.arange(now)[None, :] <= best[:, None]
+        s = np.where(before[:, :-1], s[:, :-1], s[:, 1:])
+        edge = np.where(before, edge[:, :-1], edge[:, 1:])
+        cost = np.where(before[:, 1:-1], cost[:, :-1], cost[:, 1:])
         for side in (-1, 0):
             at = best + side
-            ok = np.flatnonzero((at >= 0) & (at < count - 1))
-            cost[ok, at[ok]] = weigh(ok, at[ok])
+            ok = np.flatnonzero((at >= 0) & (at < now - 2))
+            i = at[ok]
+            cost[ok, i] = weigh(rows[ok], s[ok, i], s[ok, i + 1], edge[ok, i], edge[ok, i + 1], edge[ok, i + 2])
 
 
 def _symbols(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all words, each with a space before it, and how many each has."""
     text = "".join([" " + w for w in words])
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    symbols = model.sign[points]
-    return np.where(symbols >= 0, symbols, _OUTSIDE + points), np.array([len(w) + 1 for w in words], np.int64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return model.sign[points], np.array([len(w) + 1 for w in words], np.int64)
 
 
 def _first_skipped(taken: np.ndarray, row: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
@@ -286,33 +326,37 @@ def encode_units(
         word = np.arange(len(words))
     forms = _Forms(len(word))
     width_of = size[word]
-    order = np.argsort(width_of, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(width_of[order])) + 1):
+    wide = np.flatnonzero(width_of > WIDE)
+    kinds, kind = np.unique(word[wide], return_inverse=True)
+    each = [(wide[i : i + 1], k) for i, k in enumerate(kind.tolist())]
+    for some, k in each if limit else [(wide[kind == k], k) for k in range(len(kinds))]:
+        x = symbols[begin[kinds[k]] :][: size[kinds[k]]].tolist()
+        out = np.array([_agenda(model, x, int(keys[some[0]]), limit)])
+        forms.add(some, np.zeros(len(some), np.int64), out, np.array([out.shape[1]]))
+    group = np.where(width_of > WIDE, -1, np.searchsorted(WIDTHS, width_of))
+    for g, width in enumerate(WIDTHS.tolist()):
+        own = np.flatnonzero(group == g)
         if not len(own):
             continue
-        width = int(width_of[own[0]])
         kinds, kind = np.unique(word[own], return_inverse=True)
-        start = symbols[begin[kinds][:, None] + np.arange(width)]
-        if width > WIDE:
-            each = [(own[i : i + 1], k) for i, k in enumerate(kind.tolist())]
-            for some, k in each if limit else [(own[kind == k], k) for k in range(len(kinds))]:
-                out = np.array([_agenda(model, start[k].tolist(), int(keys[some[0]]), limit)])
-                forms.add(some, np.zeros(len(some), np.int64), out, np.array([out.shape[1]]))
-            continue
-        got, left, taken = _together(model, start)
+        own_size, cols = size[kinds], np.arange(width)
+        start = symbols[np.minimum(begin[kinds][:, None] + cols, len(symbols) - 1)]
+        start[cols >= own_size[:, None]] = _FILL
+        got, left, taken = _together(model, start, own_size)
         if limit:
             first = _first_skipped(taken, kind, keys[own], limit)
             calm = first < 0
             forms.add(own[calm], kind[calm], got, left)
             own, kind, first = own[~calm], kind[~calm], first[~calm]
             pairs, pair = np.unique(kind * width + first, return_inverse=True)
-            got, left, taken = _together(model, start[pairs // width], barred=taken[pairs // width, pairs % width])
+            of = pairs // width
+            got, left, taken = _together(model, start[of], own_size[of], barred=taken[of, pairs % width])
             calm = _first_skipped(taken, pair, keys[own], limit) < 0
             forms.add(own[calm], pair[calm], got, left)
             own, kind = own[~calm], kind[~calm]
             for a in range(0, len(own), _ROWS):
-                part = own[a : a + _ROWS]
-                got, left, _ = _together(model, start[kind[a : a + _ROWS]], keys[part], limit)
+                part, of = own[a : a + _ROWS], kind[a : a + _ROWS]
+                got, left, _ = _together(model, start[of], own_size[of], keys[part], limit)
                 forms.add(part, np.arange(len(part)), got, left)
         else:
             forms.add(own, kind, got, left)
@@ -331,27 +375,36 @@ def encode_units(
     return ids, size
 
 
+def _words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different units of all texts, which of them each unit is, and how many each text has."""
+    odd = np.array([not t or t[0] == " " or t[-1] == " " or "  " in t for t in texts], bool)
+    plain = pc.split_pattern(pa.array([t for t, o in zip(texts, odd) if not o], pa.large_string()), " ")
+    loose = [units(t) if t else [] for t, o in zip(texts, odd) if o]
+    count = np.zeros(len(texts), np.int64)
+    count[~odd] = pc.list_value_length(plain).to_numpy(zero_copy_only=False)
+    count[odd] = [len(found) for found in loose]
+    rest = pa.array([unit for found in loose for unit in found], pa.large_string())
+    coded = pa.concat_arrays([plain.flatten(), rest]).dictionary_encode()
+    order = np.argsort(odd, kind="stable")
+    begin = np.zeros(len(texts), np.int64)
+    begin[order] = np.cumsum(count[order]) - count[order]
+    word = coded.indices.to_numpy()[ranges(count, begin)].astype(np.int64)
+    return coded.dictionary.to_pylist(), word, count
+
+
 def encode_texts(model: PieceModel, texts: list[str], seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts one after the other, and how many each has."""
-    known: dict[str, int] = {}
-    place: list[int] = []
-    counts = []
-    for text in texts:
-        words = units(text) if text else []
-        counts.append(len(words))
-        place += [known.setdefault(w, len(known)) for w in words]
-    if not place:
+    known, word, count = _words(texts)
+    if not len(word):
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    word, count = np.array(place, np.int64), np.array(counts, np.int64)
     keys = np.zeros(len(word), np.uint64)
     if dropout > 0:
         nth = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
         own = np.array([xxhash.xxh3_64_intdigest(t, seed) for t in texts], np.uint64)
         keys = mix(np.repeat(own, count) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    ids, size = encode_units(model, list(known), keys, dropout, word)
-    per_text = np.zeros(len(texts), np.int64)
-    np.add.at(per_text, np.repeat(np.arange(len(texts)), count), size)
-    return ids, per_text
+    ids, size = encode_units(model, known, keys, dropout, word)
+    ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(count)]
+    return ids, np.diff(ends, prepend=0)
 
 
 def encode_pieces(
@@ -380,7 +433,7 @@ def encode_pieces(
     schema = StructType([*docs.schema.fields, StructField("pieces", ArrayType(IntegerType()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = PieceModel(held.value)
+        own = piece_model(held.value)
         for batch in batches:
             _, starts = text_buffer(batch.column(at))
             for a, z in slices(starts, _SLICE):
@@ -391,7 +444,7 @@ def encode_pieces(
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "pieces"])
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(frugal(task), schema)
 
 
 def decode_pieces(
@@ -411,7 +464,7 @@ def decode_pieces(
     schema = StructType([*frame.schema.fields, StructField(to, StringType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = PieceModel(held.value)
+        own = piece_model(held.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
@@ -429,4 +482,4 @@ def decode_pieces(
                     [*part.columns, pa.array(texts, pa.string())], [*part.schema.names, to]
                 )
 
-    return frame.mapInArrow(task, schema)
+    return frame.mapInArrow(frugal(task), schema)

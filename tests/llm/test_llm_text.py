@@ -152,6 +152,25 @@ def test_saved_merges_are_those_of_the_agenda(monkeypatch):
         assert all((x == y).all() for x, y in zip(a, b))
 
 
+def test_words_of_near_lengths_are_merged_together(monkeypatch):
+    model = pieces_module.piece_model(read_bytes(f"{TOKENIZERS}/{MODEL}"))
+    assert pieces_module.piece_model(read_bytes(f"{TOKENIZERS}/{MODEL}")) is model
+    rounds, merged = [], pieces_module.PieceModel.merged
+    monkeypatch.setattr(pieces_module.PieceModel, "merged", lambda *a: rounds.append(1) or merged(*a))
+    words = ["internationalisation of the whole of the world wide".replace(" ", "")[:n] for n in range(1, 44)]
+    pieces_module.encode_units(model, words, np.zeros(43, np.uint64), 0.0)
+    # Each round asks up to three times; one length at a time took some 2,000 calls.
+    assert len(rounds) < 400
+
+
+def test_units_of_texts_with_odd_gaps():
+    texts = ["a b", "", " a", "a  b a", "b ", "  ", " ", "x\n y", "é 日 a"]
+    known, word, count = pieces_module._words(texts)
+    found = [known[i] for i in word]
+    assert found == [u for t in texts if t for u in pieces_module.units(t)]
+    assert count.tolist() == [len(pieces_module.units(t)) if t else 0 for t in texts]
+
+
 def test_pieces_odd_tables(spark):
     assert decode_pieces(encode_pieces(docs(spark, []))).count() == 0
     none = spark.createDataFrame([(None,)], "pieces array<int>")
