@@ -45,7 +45,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of each document, and a digest of the text that they decode to."""
-    decoded = decode_pieces(encode_pieces(docs))
+    # Written in between: in one job the workers of both steps would be there at once.
+    decoded = decode_pieces(stored(encode_pieces(docs), "pieces"))
     return decoded.select(
         "doc_id",
         "pieces",

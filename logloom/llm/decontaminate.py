@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import small_batches, without
+from logloom.llm.common import frugal, small_batches, without
 
 #: Edits allowed, as a share of the item's length.
 ERROR_RATE = 0.1
@@ -214,4 +214,4 @@ def _search(docs: DataFrame, text_col: str, block: Items) -> DataFrame:
             columns[found_at] = pa.array(after, before.type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(frugal(task), docs.schema)

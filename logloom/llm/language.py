@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import mix, slices, small_batches, stored, text_buffer, without
+from logloom.llm.common import frugal, mix, slices, small_batches, stored, text_buffer, without
 
 UNDETERMINED = "und"
 #: Bytes of an n-gram (lower-case ASCII letters; bytes beyond ASCII as they are).
@@ -146,7 +146,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
                 ["lang", "gram", "n"],
             )
 
-    grams = _sampled(labelled, sample).select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
+    grams = _sampled(labelled, sample).select("text", "lang").mapInArrow(frugal(count), "lang string, gram bigint, n bigint")
     # Occurrences of an n-gram by language: a row per n-gram, of which only the frequent
     # ones are of use. The cut is the feature: a filter holds GRAMS n-grams a language.
     masks = np.zeros((-(-len(languages) // 64), POSITIONS), np.uint64)
@@ -208,4 +208,4 @@ def identify(docs: DataFrame, filters: LanguageFilter, text_col: str = "text") -
                     [*part.schema.names, "lang_pred", "score"],
                 )
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(frugal(task), schema)

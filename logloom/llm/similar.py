@@ -13,6 +13,7 @@ from logloom.llm.common import (
     LOWERED,
     WordHasher,
     components,
+    frugal,
     join_unique,
     marked,
     mix,
@@ -122,7 +123,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(task, f"id {kind}, {_SIGNED}")
+    return chosen.mapInArrow(frugal(task), f"id {kind}, {_SIGNED}")
 
 
 def candidate_components(classes: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: st
                 )
 
     kinds = "node bigint, component bigint, size bigint, copies bigint, signature binary, shingles binary"
-    return chosen.mapInArrow(task, kinds)
+    return chosen.mapInArrow(frugal(task), kinds)
 
 
 def linked_pairs(
@@ -297,7 +298,7 @@ def _links(members: DataFrame, threshold: float) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return met.mapInArrow(task, "node bigint, linked bigint, other bigint")
+    return met.mapInArrow(frugal(task), "node bigint, linked bigint, other bigint")
 
 
 def similar(

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.llm import codes as codes_module
+from logloom.llm import common
 from logloom.llm import resample as resample_module
 from logloom.llm import toxicity
 from logloom.llm.codes import decoded, digests, vector_codes
@@ -286,3 +287,13 @@ def test_segments_are_of_one_size(spark):
     splitters = resample_module._splitters(runs, 20_000, 10)
     sizes = [r["count"] for r in resample_module._in_segments(runs, splitters).groupBy("segment").count().collect()]
     assert len(sizes) == 10 and sum(sizes) == 20_000 and max(sizes) < 2600
+
+
+def test_workers_hand_memory_back(monkeypatch):
+    released = []
+    monkeypatch.setattr(common, "release_memory", lambda: released.append(1))
+    assert list(common.frugal(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and released == [1]
+    cut = common.frugal(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    next(cut)
+    cut.close()
+    assert released == [1, 1]

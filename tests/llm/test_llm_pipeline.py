@@ -47,3 +47,13 @@ def test_an_empty_corpus_passes(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pieces_are_written_before_they_are_decoded(spark):
+    docs = spark.createDataFrame([(1, "a b  c"), (2, None), (3, "é 日本")], "doc_id bigint, text string")
+    found = corpus_pipeline.sentence_pieces(spark, docs, "")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # no job holds the workers of both steps
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert rows.keys() == {1, 2, 3} and all(r["lossless"] for r in rows.values())
+    assert rows[2]["pieces"] == [] and rows[1]["n_pieces"] == len(rows[1]["pieces"]) > 0
