@@ -27,7 +27,11 @@ HASHES = 2
 SHARE = 0.4
 RESULT = ("lang_pred", "score")
 
-_SLICE = 1 << 20
+#: Counts of n-grams that a task holds at most, over all languages; more go on in parts.
+HELD = 1 << 20
+
+Counts = tuple[np.ndarray, np.ndarray]
+_SLICE = 1 << 18
 _SPACE = 0x20
 #: ASCII letters in lower case, other ASCII signs as one space, bytes beyond ASCII as they are.
 _FOLD = np.full(256, _SPACE, np.uint8)
@@ -55,6 +59,45 @@ def _grams(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray
     return value[whole], owner[:n][whole]
 
 
+def _merged(parts: list[Counts]) -> Counts:
+    """Different n-grams, and how often each occurs in all parts."""
+    values, place = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    n = np.zeros(len(values), np.int64)
+    np.add.at(n, place, np.concatenate([c for _, c in parts]))
+    return values, n
+
+
+def _rows_of(name: str, parts: list[Counts]) -> pa.RecordBatch:
+    values, n = _merged(parts)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([name] * len(values)), pa.array(values.astype(np.int64)), pa.array(n)],
+        ["lang", "gram", "n"],
+    )
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each n-gram occurs in texts of each language, in one part or several."""
+    held: dict[str, list[Counts]] = {}
+    size = 0
+    for batch in batches:
+        names = np.array(batch.column(1).to_pylist(), object)
+        for name in set(names.tolist()):
+            data, starts = text_buffer(batch.column(0).filter(pa.array(names == name)))
+            for a, z in slices(starts, _SLICE):
+                cut = starts[a : z + 1]
+                for width in WIDTHS:
+                    grams = _grams(data[cut[0] : cut[-1]], cut - cut[0], width)[0]
+                    held.setdefault(name, []).append(np.unique(grams, return_counts=True))
+                    size += len(held[name][-1][0])
+                if size > HELD:
+                    held = {k: [_merged(parts)] for k, parts in held.items()}
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if size > HELD // 2:
+                        yield from map(_rows_of, held, held.values())
+                        held, size = {}, 0
+    yield from map(_rows_of, held, held.values())
+
+
 @dataclass(frozen=True)
 class LanguageFilter:
     """For each position of the filter a mask of languages, in as many rows of words as they need."""
@@ -121,32 +164,14 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     About ``sample`` documents per language are counted (a documented bound). All
     languages are learned, however many; a filter has 16 MB per 64 of them.
     """
-    labelled = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")).dropna()
+    labelled = small_batches(docs).select(docs[text_col].alias("text"), docs[lang_col].alias("lang")).dropna()
     prior = {
         r["lang"]: r["n"]
         for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     }
     languages = tuple(sorted(prior))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        for batch in batches:
-            names = np.array(batch.column(1).to_pylist(), object)
-            for name in set(names.tolist()):
-                part = batch.column(0).filter(pa.array(names == name))
-                data, starts = text_buffer(part)
-                for a, z in slices(starts, _SLICE):
-                    for width in WIDTHS:
-                        cut = starts[a : z + 1]
-                        held.setdefault(name, []).append(_grams(data[cut[0] : cut[-1]], cut - cut[0], width)[0])
-        for name, parts in held.items():
-            values, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(values)), pa.array(values.astype(np.int64)), pa.array(n)],
-                ["lang", "gram", "n"],
-            )
-
-    grams = _sampled(labelled, sample).select("text", "lang").mapInArrow(frugal(count), "lang string, gram bigint, n bigint")
+    grams = _sampled(labelled, sample).select("text", "lang").mapInArrow(frugal(_count_grams), "lang string, gram bigint, n bigint")
     # Occurrences of an n-gram by language: a row per n-gram, of which only the frequent
     # ones are of use. The cut is the feature: a filter holds GRAMS n-grams a language.
     masks = np.zeros((-(-len(languages) // 64), POSITIONS), np.uint64)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -457,3 +458,26 @@ def test_language_names_need_not_be_column_names(spark):
     assert filters.languages == tuple(sorted(names))
     found = language.identify(frame, filters).collect()
     assert all(r["lang_pred"] == r["lang"] for r in found)
+
+
+def test_counting_ngrams_holds_little(monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(400)) for _ in range(120)]
+    langs = [f"l{k % 3}" for k in range(120)]
+    rows = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 10]), pa.array(langs[k : k + 10])], ["text", "lang"]) for k in range(0, 120, 10)]
+    monkeypatch.setattr(language, "HELD", 20_000)
+    monkeypatch.setattr(language, "_SLICE", 1 << 12)
+    parts = list(language._count_grams(iter(rows)))
+    assert len(parts) > 3 and max(p.num_rows for p in parts) <= 30_000
+    got, expected = Counter(), Counter()
+    for part in parts:
+        for lang, gram, n in zip(*(c.to_pylist() for c in part.columns)):
+            got[lang, gram] += n
+    for text, lang in zip(texts, langs):
+        for width in language.WIDTHS:
+            for k in range(len(text) - width + 1):
+                value = width
+                for sign in text[k : k + width].encode():
+                    value = value << 8 | sign
+                expected[lang, value] += 1
+    assert got == expected
