@@ -77,6 +77,7 @@ def join_unique(
     spread: Sequence[str],
     how: str = "left",
     counts: DataFrame | None = None,
+    known: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Join each row of ``left`` with the one row of ``right`` that has its keys.
 
@@ -84,19 +85,18 @@ def join_unique(
     keys with over a thousandth of its rows (fewer than a thousand keys, so their
     list may be broadcast) are dealt over several tasks by the columns in
     ``spread``, and their row of ``right`` goes to each of these. ``counts`` gives
-    rows per key as ``keys, n`` where they are known.
+    rows per key as ``keys, n`` where they are known, ``known`` their sum and the largest.
     """
     keys = list(keys)
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, most = known or counts.agg(F.sum("n"), F.max("n")).first()
+    if not total or most <= HEAVY_LEAST or most * HEAVY_SHARE <= total:
+        return left.join(right, keys, how)
     often = (F.col("n") > HEAVY_LEAST) & (F.col("n") * HEAVY_SHARE > total)
-    fan = F.ceil(F.col("n") * HEAVY_SHARE / F.lit(max(total, 1))).cast("int").alias("_fan")
+    fan = F.ceil(F.col("n") * HEAVY_SHARE / F.lit(total)).cast("int").alias("_fan")
     listed = counts.where(often).select(*keys, fan)
-    rows = listed.collect()
-    if not rows:
-        return left.join(right, keys, how)
-    heavy = F.broadcast(left.sparkSession.createDataFrame(rows, listed.schema))
+    heavy = F.broadcast(left.sparkSession.createDataFrame(listed.collect(), listed.schema))
     salt = F.when(
         F.col("_fan").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_fan")).cast("int")
     ).otherwise(0)
@@ -114,33 +114,39 @@ def without(frame: DataFrame, names: Sequence[str]) -> DataFrame:
 # --- connected components ----------------------------------------------------
 
 
+def _least_of(links: DataFrame) -> DataFrame:
+    """Per node ``u`` its least neighbour ``m`` and the number ``n`` of its links."""
+    return links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of the links ``a, b``; a component is named by its least node.
 
     Large-star and small-star steps by turns, each a grouped minimum and a join, so
     that the number of rounds grows with the logarithm of the longest path. Hubs
-    are dealt over several tasks. Each round is a written table.
+    are dealt over several tasks. Each round is a written table; none is spent on
+    links that are stars already.
     """
     pairs = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "edges",
     )
-    seen = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = join_unique(both, least, ["u"], ["v"], "inner").where("v > u")
-        large = large.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        ends = _least_of(both)
+        # In a star a node has one neighbour, or only greater ones.
+        *known, unlike = ends.agg(F.sum("n"), F.max("n"), F.max(F.expr("m < u AND n > 1"))).first()
+        if not unlike:
+            break
+        least = ends.select("u", F.least("m", "u").alias("m"))
+        large = join_unique(both, least, ["u"], ["v"], "inner", ends.select("u", "n"), known).where("v > u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
         # In the small star every node links its smaller neighbours to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_unique(large, low, ["u"], ["v"], "inner")
+        low = _least_of(large)
+        small = join_unique(large, low.drop("n"), ["u"], ["v"], "inner", low.select("u", "n"))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         pairs = stored(small, "edges")
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -144,10 +144,10 @@ def candidate_components(classes: DataFrame) -> DataFrame:
     # that a node has in common, which are few where a group of copies is large.
     led = shared.groupBy("node").agg(F.collect_set("lead").alias("leads"))
     led = stored(led.select("node", "leads", F.array_min("leads").alias("parent")), "led")
-    pairs = led.select(F.explode("leads").alias("a"), F.col("parent").alias("b")).where("a <> b").distinct()
+    pairs = led.select(F.explode("leads").alias("a"), F.col("parent").alias("b")).where("a <> b")
     tops = components(pairs).select(F.col("node").alias("parent"), "component")
     known = join_unique(led.select("node", "parent"), tops, ["parent"], ["node"])
-    found = stored(known.select("node", F.coalesce("component", "parent").alias("component")), "components")
+    found = known.select("node", F.coalesce("component", "parent").alias("component"))
     weighed = found.join(classes.select("node", "n_shingles"), "node")
     long = F.ceil(F.sum("n_shingles") * BLOCK / BLOCK_SHINGLES)
     sizes = weighed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), long.cast("bigint").alias("long"))
@@ -335,7 +335,6 @@ def similar(
     links = stored(_links(members, threshold), "links")
     counted = links.groupBy("node").agg(F.sum("linked").alias("linked"))
     joined = components(links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    joined = stored(joined, "joined")
     named = joined.join(classes.select("node", "rep"), "node")
     sizes = named.groupBy("component").agg(F.max("rep").alias("top"), F.count(F.lit(1)).alias("n"))
     sizes = stored(sizes, "sizes")

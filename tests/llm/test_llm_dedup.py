@@ -236,3 +236,25 @@ def test_components(spark):
     hub = spark.range(1, 3000).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
     assert {r["component"] for r in components(hub).collect()} == {0}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_equal_brute_force_and_write_a_table_a_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(common, "stored", lambda frame, name, f=common.stored: written.append(name) or f(frame, name))
+    stars = [(1, 7), (9, 1), (30, 20), (1, 7), (5, 5), (None, 3)]
+    got = components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()
+    assert {tuple(r) for r in got} == {(1, 1), (7, 1), (9, 1), (20, 20), (30, 20)} and len(got) == 5
+    assert written == ["edges"]
+    rng = random.Random(12)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(0, k) for k in range(400, 900)]
+    links += [(k, 1000) for k in range(700, 1000)]
+    top = {x: x for pair in links for x in pair}
+    for _ in top:
+        before = dict(top)
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+        if top == before:
+            break
+    alone = {x for x in top if all(a == b for a, b in links if x in (a, b))}
+    got = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, y) for x, y in top.items() if x not in alone)
