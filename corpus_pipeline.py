@@ -27,9 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of equal texts goes on; rows that repeat an id and text count once."""
-    found = exact_dedup(docs, digests=False).where("kept")
-    again = found.where("group_size > 1").dropDuplicates(["doc_id", "text_sha256"])
-    return found.where("group_size = 1").unionByName(again).select(docs.columns)
+    return exact_dedup(docs, digests=False, dropped=False).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

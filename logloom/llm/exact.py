@@ -42,7 +42,7 @@ def levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = True, dropped: bool = True
 ) -> DataFrame:
     """``docs`` with ``keep_id, group_size, kept, text_sha256``.
 
@@ -58,11 +58,16 @@ def exact_dedup(
     over several tasks. ``digests`` gives ``text_sha256`` to settled rows, too;
     without it these are never hashed, and have null there.
 
+    Without ``dropped`` only the rows that stay come back, and of those that repeat
+    an id and text a single one. Then filters of the hashes that occur again, and of
+    the rows that stay, go to all tasks; a text moves only where it is one of several
+    copies and stays, or shares a slot with such a one.
+
     Null text counts as empty. Rows with the same id and text are one document and
     share its fate; null is the smallest id. Empty tables give empty results. Input
     columns named like a result column are replaced.
     """
-    docs = without(docs, [*RESULT, "_hash", "_best", "_n"])
+    docs = without(docs, [*RESULT, "_hash", "_best", "_n", "_again", "_stays", "_slot", "_word", "_bits"])
     found = levels(docs, id_col, text_col)
     full = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
     survivors = found.where("_level = 3").drop("_level").withColumn("_hash", full)
@@ -72,9 +77,20 @@ def exact_dedup(
         survivors.groupBy("_hash").agg(F.max(id_col).alias("_best"), F.count(F.lit(1)).alias("_n")),
         "groups",
     )
+    single = []
+    if not dropped:
+        often = groups.where("_n > 1").select("_hash", F.col("_best").alias(id_col))
+        again = marked(survivors, often, ["_hash"], "_again")
+        single = [again.where(~F.col("_again")).drop("_again").withColumnRenamed("_hash", "text_sha256")]
+        # Rows that are marked by chance are the best of their groups, too.
+        best = groups.select("_hash", F.col("_best").alias(id_col))
+        survivors = marked(again.where("_again").drop("_again"), best, ["_hash", id_col], "_stays")
+        survivors = survivors.where("_stays").drop("_stays")
     joined = join_unique(
         survivors, groups, ["_hash"], [id_col], "inner", groups.select("_hash", F.col("_n").alias("n"))
     )
+    if not dropped:
+        joined = joined.where(F.col(id_col).eqNullSafe(F.col("_best"))).dropDuplicates([id_col, "_hash"])
     grouped = joined.withColumns(
         {
             "keep_id": F.col("_best"),
@@ -83,12 +99,8 @@ def exact_dedup(
             "text_sha256": F.col("_hash"),
         }
     ).drop("_hash", "_best", "_n")
-    alone = settled.withColumns(
-        {
-            "keep_id": F.col(id_col),
-            "group_size": F.lit(1).cast("bigint"),
-            "kept": F.lit(True),
-            "text_sha256": full if digests else F.lit(None).cast("string"),
-        }
-    )
-    return grouped.unionByName(alone)
+    settled = settled.withColumn("text_sha256", full if digests else F.lit(None).cast("string"))
+    for rows in [settled, *single]:
+        alone = {"keep_id": F.col(id_col), "group_size": F.lit(1).cast("bigint"), "kept": F.lit(True)}
+        grouped = grouped.unionByName(rows.withColumns(alone))
+    return grouped

@@ -101,6 +101,24 @@ def test_exact_dedup_odd_tables(spark):
     )
 
 
+@pytest.mark.parametrize("most", [common.MOST_SLOTS, 0])
+def test_rows_that_stay_are_the_same_without_the_dropped_ones(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_SLOTS", most)
+    rows = copies(random.Random(5))
+    rows += [(2000 + i, f"{i:04d}" + "same length") for i in range(50)] + [(1000 + i, "many") for i in range(300)]
+    rows += [(1299, "many")] * 3 + [(None, "no id"), (None, "NO ID"), (None, "Many"), (None, "lone")]
+    groups = defaultdict(list)
+    for i, text in rows:
+        groups[(text or "").translate(FOLD)].append(i)
+    wanted = Counter((max((i for i in ids if i is not None), default=None), len(ids)) for ids in groups.values())
+    got = exact_dedup(frame(spark, rows), digests=False, dropped=False).collect()
+    assert Counter((r["doc_id"], r["group_size"]) for r in got) == wanted
+    assert all(r["kept"] and r["keep_id"] == r["doc_id"] for r in got)
+    for r in got:
+        text = (r["text"] or "").translate(FOLD)
+        assert r["group_size"] == len(groups[text]) and r["text_sha256"] in (None, hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_exact_dedup_stays_native(spark):
     plan = exact_dedup(frame(spark, [(1, "a"), (2, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

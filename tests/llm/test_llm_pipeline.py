@@ -57,3 +57,11 @@ def test_pieces_are_written_before_they_are_decoded(spark):
     rows = {r["doc_id"]: r for r in found.collect()}
     assert rows.keys() == {1, 2, 3} and all(r["lossless"] for r in rows.values())
     assert rows[2]["pieces"] == [] and rows[1]["n_pieces"] == len(rows[1]["pieces"]) > 0
+
+
+def test_texts_meet_their_groups_in_one_join(spark):
+    rows = [(i, f"text {i % 7}" + " more" * (i % 5)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = corpus_pipeline.exact_copies(spark, docs, "")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    assert sorted(r["doc_id"] for r in found.collect()) == list(range(5, 40))
